@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, packing
+from palimpsest.llm import mixing, packing, secrets
 from palimpsest.session import table
 
 
@@ -25,6 +25,17 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = {k: secrets.count_of(F.col("found"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")}
+    return found.select(
+        "doc_id",
+        *count.values(),
+        F.sha2(secrets.written(secrets.base_only(F.col("found"))), 256).alias("base_sha256"),
+        secrets.written(F.col("found")).alias("spans"),
+    )
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), output=["doc_id"]).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -33,6 +44,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op3_secrets": op3_secrets,
     "op6_mix": op6_mix,
 }
 
