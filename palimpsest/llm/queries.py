@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, packing, secrets
+from palimpsest.llm import mixing, packing, quality, secrets
 from palimpsest.session import table
 
 
@@ -42,10 +42,16 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), output=["doc_id"])
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op3_secrets": op3_secrets,
     "op6_mix": op6_mix,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = {}
