@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, packing, quality, secrets, simhash, urls
-from palimpsest.session import table
+from palimpsest.llm import mixing, packing, quality, secrets, simhash, tokenfile, urls
+from palimpsest.session import new_folder, table
 
 
 def vocabulary(name: str) -> str:
@@ -47,6 +47,13 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    coding = tokenfile.Coding(vocabulary("word_bpe_49k.json"), spaced=False, end_id=2)
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, coding)
+    return tokenfile.read(spark, folder, digest_only=True)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), output=["doc_id"])
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
     "op6_mix": op6_mix,
+    "op7_tokens": op7_tokens,
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
 }
