@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, packing, quality, secrets, simhash, tokenfile, urls
+from palimpsest.llm import mixing, packing, quality, secrets, simhash, tokenfile, urls, vptree
 from palimpsest.session import new_folder, table
 
 
@@ -41,6 +41,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), output=["doc_id"]).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
+    "op4_vptree": op4_vptree,
     "op6_mix": op6_mix,
     "op7_tokens": op7_tokens,
     "op8_quality": op8_quality,
