@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, packing, quality, secrets, simhash, tokenfile, urls, vptree
+from palimpsest.llm import html, mixing, packing, quality, secrets, simhash, tokenfile, urls, vptree
 from palimpsest.session import new_folder, table
 
 
@@ -46,6 +46,11 @@ def op4_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html.extract(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), output=["doc_id"]).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
     "op4_vptree": op4_vptree,
+    "op5_html": op5_html,
     "op6_mix": op6_mix,
     "op7_tokens": op7_tokens,
     "op8_quality": op8_quality,
