@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import html, mixing, packing, quality, secrets, simhash, tokenfile, urls, vptree
+from palimpsest.llm import classifier, html, mixing, packing, quality, secrets, simhash, tokenfile, urls, vptree
 from palimpsest.session import new_folder, table
 
 
@@ -75,6 +75,16 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_simhash": op2_simhash,
@@ -85,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_tokens": op7_tokens,
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
+    "op10_classifier": op10_classifier,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
