@@ -1,10 +1,519 @@
-"""The registered queries of the library's own operators and their SQL."""
+"""The registered queries of the library's operators on the given tables, each beside its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from palimpsest.functions import numbers, refs, text
+from palimpsest.operators import graph, matching, ordering, stores
+from palimpsest.plans import history, replay, retrieval, rules
+from palimpsest.session import table
+from palimpsest.sources import lawxml, web
+from palimpsest.streaming.stores import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql is not None:
+            ORACLES[query.__name__] = sql
+        return query
+
+    return add
+
+
+def cosine(a, b):
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+# --- retrieval ------------------------------------------------------------------------------------
+
+
+@registered("""
+    with q as (select embedding::double[] as v from embeddings where vec_id = 0),
+    hits as (select vec_id, vec_id % 2 as store_ord, label, list_cosine_similarity(embedding::double[], q.v) as s
+             from embeddings, q where vec_id <> 0)
+    select vec_id, store_ord::int as store_ord, label, round(s, 6) as score from hits order by s desc, store_ord, vec_id limit 10""")
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stores merged, equal hits once, the ten best."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    wanted = F.broadcast(vectors.where("vec_id = 0").limit(1).select(F.col("v").alias("q")))  # one row
+    scored = vectors.where("vec_id <> 0").crossJoin(wanted).select(
+        "vec_id", "label", F.col("label").cast("string").alias("file_id"), F.concat(F.lit("vector "), "vec_id").alias("text"), cosine("v", "q").alias("score"), F.col("vec_id").alias("ord")
+    )
+    _, named = ordering.checked("vector 0", 10, ["0", "1"])
+    merged = ordering.merged_stores(named, lambda s: scored.where(F.col("vec_id") % 2 == int(s)))
+    return ordering.search_topk(merged, 10).select("vec_id", "store_ord", "label", F.round("score", 6).alias("score"))
+
+
+@registered("""
+    with o as (select l_orderkey, list_distinct(list(l_suppkey) filter (l_linenumber % 2 = 0)) as allowed,
+                      list_distinct(list(l_suppkey) filter (l_linenumber % 2 = 1)) as cited from lineitem group by 1),
+    c as (select l_orderkey, coalesce(allowed, []) as allowed, coalesce(cited, []) as cited,
+                 len(list_filter(coalesce(cited, []), lambda x: list_contains(coalesce(allowed, []), x))) as ok from o)
+    select l_orderkey, case when ok > 0 then ok else len(allowed) end::int as citations, (len(cited) - ok)::int as rejected,
+           case when ok = 0 and len(allowed) = 0 then 'no allowed source' end as problem from c""")
+def strict_sourcing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations kept only if retrieved; none kept: all sources."""
+    lines = table(spark, sf_dir, "lineitem")
+    cite = F.struct(F.col("l_suppkey").cast("string").alias("file_id"), F.concat(F.lit("supplier "), "l_suppkey").alias("filename"))
+    answers = lines.groupBy("l_orderkey").agg(
+        F.collect_list(F.when(F.col("l_linenumber") % 2 == 1, cite)).alias("citations"), F.collect_list(F.when(F.col("l_linenumber") % 2 == 0, cite)).alias("sources")
+    )
+    answers = answers.withColumns({"output_text": F.lit("efter § 9 C"), "chunks": F.lit(None).cast(f"array<{retrieval.CHUNK}>")})
+    return retrieval.audit(answers).select("l_orderkey", F.size("citations").alias("citations"), F.size("rejected").alias("rejected"), "problem")
+
+
+@registered("""
+    with w as (select conv_id, role, unnest(list_distinct(regexp_extract_all(lower(text), '[0-9a-zæøå]+'))) as word from conversations where role in ('user', 'assistant')),
+    u as (select distinct conv_id, word from w where role = 'user'), a as (select distinct conv_id, word from w where role = 'assistant')
+    select u.conv_id, count(*) as asked, count(*) filter (a.word is null) as missing from u left join a on u.conv_id = a.conv_id and u.word = a.word group by 1""")
+def reference_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that users name and answers don't, by conversation."""
+    said = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    w = said.select("conv_id", "role", F.explode(F.array_distinct(text.words("text"))).alias("word")).distinct()
+    both = w.groupBy("conv_id", "word").agg(F.bool_or(F.col("role") == "user").alias("u"), F.bool_or(F.col("role") == "assistant").alias("a"))
+    return both.where("u").groupBy("conv_id").agg(F.count("*").alias("asked"), F.count_if(~F.col("a")).alias("missing"))
+
+
+@registered("""
+    select event_type, count(*) as results, min(try_cast(s as double)) as score_min, max(try_cast(s as double)) as score_max
+    from (select event_type, case when event_id % 7 = 0 then 'n/a' else value::varchar end as s from events) group by 1""")
+def score_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and largest score of those that can be read as numbers."""
+    rows = table(spark, sf_dir, "events").withColumn("s", F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("value").cast("string")))
+    score = F.col("s").try_cast("double")
+    return rows.groupBy("event_type").agg(F.count("*").alias("results"), F.min(score).alias("score_min"), F.max(score).alias("score_max"))
+
+
+@registered("""
+    select conv_id, turn, md5(trim(regexp_replace(regexp_replace(replace(text, '**', ''), '[ \\t]+\\n', E'\\n', 'g'), E'\\n{3,}', E'\\n\\n', 'g'), E' \\n\\t')) as digest from conversations""")
+def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    return said.select("conv_id", "turn", F.md5(text.clean_answer("text").cast("binary")).alias("digest"))
+
+
+# --- text and overlap -----------------------------------------------------------------------------
+
+
+@registered("""
+    with p as (select doc_id, string_split(regexp_replace(text, '\\.(\\s+)([A-ZÆØÅ])', '.' || chr(1) || '\\2', 'g'), chr(1)) as parts from documents)
+    select doc_id, (len(parts) - len(list_filter(parts[1:len(parts) - 1], lambda x: regexp_matches(lower(x), '(jf\\.|ca\\.|f\\.eks\\.|bl\\.a\\.|litra|art\\.|kap\\.)$'))))::int as sentences
+    from p""")
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences("text")).alias("sentences"))
+
+
+@registered("""
+    select min(doc_id) as first_doc, count(*) as n from documents
+    group by md5(lower(regexp_replace(regexp_replace(text, '^\\s*\\d+\\.\\s*', ''), '\\s+', '', 'g'))) having count(*) > 1""")
+def fingerprint_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are equal but for white space, case and a leading number."""
+    marked = table(spark, sf_dir, "documents").select("doc_id", F.md5(text.fingerprint("text").cast("binary")).alias("fp"))
+    return marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("fp")
+
+
+@registered("""
+    with d as (select doc_id, regexp_extract_all(lower(text), '[0-9a-zæøå]+') as w from documents),
+    b as (select item_id, regexp_extract_all(lower(text), '[0-9a-zæøå]+') as w from benchmark),
+    ds as (select distinct doc_id, array_to_string(w[i:i+7], ' ') as s from d, unnest(range(1, len(w) - 6)) t(i)),
+    bs as (select distinct item_id, array_to_string(w[i:i+7], ' ') as s from b, unnest(range(1, len(w) - 6)) t(i))
+    select doc_id, item_id, count(*) as shared from ds join bs using (s) group by 1, 2""")
+def shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items that share eight words in a row."""
+    return matching.shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+@registered("""
+    with d as (select a.doc_id, trim(regexp_replace(a.text, '\\s+', ' ', 'g')) as a, trim(regexp_replace(b.text, '\\s+', ' ', 'g')) as b from documents a join documents b on b.doc_id = a.doc_id + 1)
+    select case when a = b then 'ens' when replace(a, ' ', '') = replace(b, ' ', '') then 'kun mellemrum'
+                when starts_with(b, a) then 'vi mangler tekst til sidst' when starts_with(a, b) then 'vi har for meget til sidst'
+                when contains(a, b) then 'vi har tekst udenom facit' when contains(b, a) then 'facit har tekst udenom vores'
+                when length(a) < 20 or length(b) < 20 or left(a, 20) <> left(b, 20) then 'helt forskellig tekst' else 'forskel midt i teksten' end as difference, count(*) as n
+    from d group by 1""")
+def difference_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each document differs from the next."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.collapse("text").alias("t"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return docs.join(after, "doc_id").groupBy(text.difference_class("t", "u").alias("difference")).agg(F.count("*").alias("n"))
+
+
+@registered("""
+    with t as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<svg[^>]*>.*?</svg>', ' ', 'gis') as h from pages),
+    u as (select page_id, replace(replace(regexp_replace(h, '<[^>]+>', ' ', 'gs'), '&nbsp;', ' '), '&amp;', '&') as h from t)
+    select page_id, length(x)::int as n_chars, md5(x) as digest from (select page_id, trim(regexp_replace(regexp_replace(h, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', E'\\n', 'g')) as x from u)""")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", web.strip_html("html").alias("x"))
+    return pages.select("page_id", F.length("x").alias("n_chars"), F.md5(F.col("x").cast("binary")).alias("digest"))
+
+
+@registered("""
+    select regexp_replace(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1), '\\d+', 'N', 'g') as shape, count(*) as n from pages group by 1""")
+def path_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(web.path_shape("url").alias("shape")).agg(F.count("*").alias("n"))
+
+
+@registered("""
+    select regexp_replace(props, '\\d+', 'N', 'g') as reason, event_type as status, count(*) as n from events group by 1, 2""")
+def masked_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(replay.masked_reason(F.col("props")).alias("reason"), F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+
+
+@registered("""
+    select doc_id from documents where contains(lower(text), 'the') and contains(lower(text), 'ing') and contains(lower(text), 'st')""")
+def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(matching.token_search(F.col("text"), "THE ing st")).select("doc_id")
+
+
+@registered("""
+    select doc_id, source, (doc_id % 30)::bigint as article from documents
+    where starts_with(source, 'src1') and doc_id % 30 = 15 and contains(lower(text), 'en')""")
+def catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog query read into prefix, article and tokens, then filters."""
+    sections = table(spark, sf_dir, "documents").withColumn("article", F.col("doc_id") % 30)
+    parsed = matching.parse_catalog_query("Nordisk overenskomst artikel 15 en", {"nordisk": "src0", "nordisk overenskomst": "src1"})
+    return matching.catalog_search(sections, parsed, id_col="source", text="text").select("doc_id", "source", "article")
+
+
+@registered()
+def similarity_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part of an even key the most alike part of an odd key of its brand."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    even, odd = parts.where("p_partkey % 2 = 0"), parts.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "other")
+    return matching.best_match(even, odd, ["p_brand"], wanted_id="p_partkey", proposed_id="other", least=0.6)
+
+
+# --- order, budgets, titles -----------------------------------------------------------------------
+
+
+@registered("""
+    with m as (select conv_id, arg_min(text, turn) filter (role = 'user') as t from conversations group by 1)
+    select conv_id, coalesce(case when length(t) > 50 then rtrim(left(t, 50)) || '...' else t end, '') as title from m""")
+def chat_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.default_title(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@registered("""
+    select conv_id, count(*) as messages, md5(string_agg(role || ': ' || trim(text), E'\\n' order by turn)) as digest from conversations
+    where text is not null and trim(text) <> '' group by 1""")
+def chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = ordering.transcript(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return said.select("conv_id", "messages", F.md5(F.col("transcript").cast("binary")).alias("digest"))
+
+
+@registered("""
+    select user_id, arg_max(event_id, ts) as event_id, arg_max(event_type, ts) as event_type, max(ts) as ts from events group by 1""")
+def latest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return ordering.latest_wins(events, ["user_id"], "ts")
+
+
+@registered("""
+    with o as (select user_id, arg_max(event_type, ts) as event_type, arg_max(value, ts) as value from events where event_id % 3 = 0 group by 1),
+    n as (select user_id, arg_max(event_type, ts) as event_type, arg_max(value, ts) as value from events where event_id % 3 = 1 and user_id % 2 = 0 group by 1)
+    select coalesce(o.user_id, n.user_id) as user_id, coalesce(o.event_type, n.event_type) as event_type, case when n.user_id is not null then n.value else o.value end as value
+    from o full join n on o.user_id = n.user_id""")
+def log_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New records replace old ones; the first type is kept."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    last = lambda df: ordering.latest_wins(df, ["user_id"], "ts").select("user_id", "event_type", "value")
+    return stores.upsert(last(events.where("event_id % 3 = 0")), last(events.where("event_id % 3 = 1 and user_id % 2 = 0")), ["user_id"], ["event_type"])
+
+
+@registered("""
+    select event_id, case when props like '{%}' then left(props, length(props) - 1) || ', "kind": "' || event_type || '"}' end as merged from events""")
+def deep_merge_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patch = F.to_json(F.struct(F.col("event_type").alias("kind"), F.lit(0).alias("id")))
+    return table(spark, sf_dir, "events").select("event_id", stores.deep_merge(F.col("props"), patch, protected=["id"]).alias("merged"))
+
+
+@registered("""
+    with w as (select conv_id, turn, length(text) as n, coalesce(sum(length(text)) over (partition by conv_id order by turn desc rows between unbounded preceding and 1 preceding), 0) as used
+               from conversations where length(text) > 0)
+    select conv_id, turn, least(n, 600 - used)::int as kept from w where used < 600""")
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest messages of each conversation that fit into 600 characters."""
+    kept = ordering.char_budget(table(spark, sf_dir, "conversations"), "text", 600, [F.desc("turn")], ["conv_id"])
+    return kept.select("conv_id", "turn", F.length("kept_text").alias("kept"))
+
+
+@registered("""
+    with c as (select conv_id, turn, least(length(text), greatest(100, floor(900.0 / count(*) over (partition by conv_id)))) as n from conversations),
+    w as (select *, coalesce(sum(n) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as used from c where n > 0)
+    select conv_id, turn, least(n, 900 - used)::int as kept from w where used < 900""")
+def shared_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = ordering.shared_budget(table(spark, sf_dir, "conversations"), "text", 900, ["turn"], ["conv_id"], least=100)
+    return kept.select("conv_id", "turn", F.length("kept_text").alias("kept"))
+
+
+@registered("""
+    with l as (select doc_id, string_split(text, E'\\n') as lines from documents), n as (select *, greatest(ceil(len(lines) / 5.0), 1)::int as total_pages from l)
+    select doc_id, page::int as page, total_pages, md5(array_to_string(lines[(page - 1) * 5 + 1:page * 5], E'\\n\\n')) as digest from n, unnest(range(1, total_pages + 1)) t(page)""")
+def page_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    paged = ordering.pages(lines, ["doc_id"], "lines", 5)
+    return paged.select("doc_id", "page", "total_pages", F.md5(F.col("page_text").cast("binary")).alias("digest"))
+
+
+@registered("""
+    select o_orderkey, case o_orderpriority when '1-URGENT' then 1 when '2-HIGH' then 2 when '3-MEDIUM' then 3 else 999 end::int as priority from orders""")
+def priority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = ordering.by_priority(table(spark, sf_dir, "orders"), "o_orderpriority", {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3})
+    return ranked.select("o_orderkey", "priority")
+
+
+@registered("""
+    select event_id, last_value(case when event_type = 'error' then value end ignore nulls) over (partition by user_id order by ts rows between unbounded preceding and current row) as heading from events""")
+def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last error's value carried along each user's events."""
+    rows = table(spark, sf_dir, "events").withColumn("heading", F.when(F.col("event_type") == "error", F.col("value")))
+    return ordering.forward_fill(rows, "heading", ["user_id"], "ts").select("event_id", "heading")
+
+
+@registered("""
+    with u as (select n_nationkey as id, n_name as name, 0 as o, n_nationkey::bigint as k from nation union all select s_nationkey, s_name, 1, s_suppkey from supplier)
+    select id, name, o as catalog from u qualify row_number() over (partition by id order by o, k) = 1""")
+def catalog_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two catalogs joined; of an id's entries the first."""
+    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(0).alias("catalog"), F.col("n_nationkey").cast("long").alias("k"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id"), F.col("s_name").alias("name"), F.lit(1).alias("catalog"), F.col("s_suppkey").alias("k"))
+    return ordering.first_wins(a.unionByName(b), ["id"], "catalog", "k").select("id", "name", "catalog")
+
+
+@registered("""
+    select p_brand, p_type, p_size, count(*) as n from part group by all having count(*) > 1""")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.duplicates(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
+
+
+@registered("""
+    with d as (select o_custkey, o_orderdate as day, sum(cast(o_totalprice as decimal(18, 2))) as total from orders group by 1, 2),
+    q as (select distinct o_custkey, o_orderdate + interval 45 day as at from orders where o_orderkey % 3 = 0)
+    select q.o_custkey, q.at, d.day, d.total::double as total from q asof left join d on q.o_custkey = d.o_custkey and q.at >= d.day""")
+def valid_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer's last day of orders as of a date."""
+    orders = table(spark, sf_dir, "orders")
+    days = orders.groupBy("o_custkey", F.col("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    asked = orders.where("o_orderkey % 3 = 0").select("o_custkey", (F.col("o_orderdate") + F.expr("interval 45 days")).alias("at")).distinct()
+    return stores.valid_as_of(days, asked, "o_custkey", "at", "day").select("o_custkey", "at", "day", F.col("total").cast("double").alias("total"))
+
+
+@registered("""
+    select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2""")
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "value")
+    return counts.withColumn("total", F.round("total", 4))
+
+
+# --- graphs and triples ---------------------------------------------------------------------------
+
+_PREVIOUS = """prev as (select o_custkey, o_orderkey as src, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as dst from orders),
+    last as (select o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as node from orders where o_custkey % 10 = 0 group by 1)"""
+
+
+@registered(f"""
+    with recursive {_PREVIOUS},
+    chain(start, node, depth) as (select node, node, 0 from last union all select c.start, p.dst, c.depth + 1 from chain c join prev p on c.node = p.src where p.dst is not null and c.depth + 1 < 8)
+    select start, node, depth::int as depth from chain""")
+def chain_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders from the last back, eight at most; customers of every tenth key start."""
+    orders = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    edges = orders.select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(w).alias("dst")).where("dst is not null")
+    starts = orders.where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node")).select("node")
+    return graph.walk(edges, starts, 8)
+
+
+@registered("""
+    with n as (select o_orderkey, o_custkey, o_orderpriority, o_orderkey + i as other from orders, unnest(range(1, 6)) t(i)),
+    e as (select n.o_orderkey as src, max(b.o_orderkey) as dst from n join orders b on b.o_orderkey = n.other and b.o_orderpriority = n.o_orderpriority group by 1)
+    select src, dst from e""")
+def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five later orders listed for each, the last of its own priority."""
+    orders = table(spark, sf_dir, "orders")
+    listed = orders.select(F.col("o_orderkey").alias("src"), F.posexplode(F.sequence(F.col("o_orderkey") + 1, F.col("o_orderkey") + 5)).alias("ord", "dst"))
+    return graph.next_version(listed, orders.select(F.col("o_orderkey").alias("document"), F.col("o_orderpriority").alias("law_name"))).select("src", "dst")
+
+
+@registered("""
+    select user_id, arg_max(value, event_id) filter (event_type = 'error') as last_error, coalesce(array_to_string(list(value order by event_id) filter (event_type = 'click' and event_id % 5 = 0), ','), '') as clicks
+    from events group by 1""")
+def triples_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a scalar property the last value, of a relation all in order."""
+    events = table(spark, sf_dir, "events")
+    relation = F.when((F.col("event_type") == "click") & (F.col("event_id") % 5 != 0), "other").otherwise(F.col("event_type"))
+    wide = web.pivot_triples(events.withColumn("p", relation), "user_id", "p", "value", "event_id", {"last_error": "error"}, {"clicks": "click"})
+    return wide.select("user_id", "last_error", F.array_join(F.transform("clicks", lambda x: x.cast("string")), ",").alias("clicks"))
+
+
+@registered("""
+    with c as (select 'eli/lta/' || year(o_orderdate) || '/' || o_orderkey as p, o_orderstatus, o_orderkey from orders)
+    select p as document_path, case when split_part(p, '/', 3)::int > 1997 then 'newer' when o_orderstatus = 'P' then 'declared' end as excuse from c where o_orderkey % 4 <> 0""")
+def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts that no version lists, with what excuses them."""
+    path = F.concat(F.lit("eli/lta/"), F.year("o_orderdate").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"))
+    acts = table(spark, sf_dir, "orders").withColumn("document_path", path)
+    return history.leaks(acts, acts.where("o_orderkey % 4 = 0"), acts.where("o_orderstatus = 'P'"), 1997)
+
+
+@registered("""
+    with w as (select distinct p_brand || case when p_size % 2 = 0 then 'A' else '' end as k from part),
+    t as (select p_brand || case when p_size % 2 = 0 then 'A' else '' end as k, count(*) as items, bool_or(p_retailprice > 1500) as hit from part where p_size > 25 group by 1)
+    select w.k as section, case when t.k is null then 'missing' when hit then 'found' else 'only_inserted' end as verdict, coalesce(items, 0) as items from w left join t using (k)""")
+def coverage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections found, only inserted, or missing."""
+    parts = table(spark, sf_dir, "part").withColumn("section", F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, "A").otherwise("")))
+    touched = parts.where("p_size > 25").select("section", (F.col("p_retailprice") > 1500).alias("as_target"))
+    return matching.coverage(parts, touched, "section")
+
+
+# --- numbers and rules ----------------------------------------------------------------------------
+
+
+@registered("""
+    select o_orderkey, translate(format('{:,.2f}', o_totalprice), ',.', '.,') as label, o_totalprice as amount from orders""")
+def danish_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts printed and read back."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", numbers.danish_money("o_totalprice").alias("label"))
+    return orders.select("o_orderkey", "label", numbers.danish_amount("label").alias("amount"))
+
+
+@registered("""
+    with y as (select o_custkey, list_sort(list_distinct(list(year(o_orderdate)))) as ys from orders group by 1)
+    select o_custkey, case when len(ys) = 1 then ys[1]::varchar when len(ys) = 2 then ys[1] || ' og ' || ys[2] else ys[1] || '-' || ys[-1] end as years from y""")
+def income_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(F.date_format("o_orderdate", "dd.MM.yyyy")), "; ").alias("t"))
+    return said.select("o_custkey", numbers.years_display(numbers.income_years("t")).alias("years"))
+
+
+@registered("""
+    with w as (select l_orderkey, n_name as country, sum(l_quantity)::bigint as days from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2),
+    c as (select o_orderkey, o_totalprice as amount, n_name as employer from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+    s as (select *, days::double / sum(days) over (partition by l_orderkey) as share from w join c on l_orderkey = o_orderkey)
+    select o_orderkey as case_id, country, days, floor(share * 100000 + 0.5) / 100000 as share_ratio, floor(amount * share * 100 + 0.5) / 100 as amount,
+           case when country <> employer then 'danmark' else country end as taxed_in from s""")
+def pro_rata_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' prices shared out by suppliers' countries."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    days = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    days = days.groupBy(F.col("l_orderkey").alias("case_id"), F.col("n_name").alias("country")).agg(F.sum("l_quantity").cast("long").alias("days"))
+    cases = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rules.allocate(days, cases.select(F.col("o_orderkey").alias("case_id"), F.col("o_totalprice").alias("amount"), F.col("n_name").alias("employer_country")))
+
+
+@registered("""
+    with f as (select l_orderkey, arg_min(struct_pack(c := l_returnflag, d := (l_quantity * 8)::int), l_linenumber * 1000000::bigint + l_partkey) as x from lineitem where l_returnflag <> 'N' group by 1)
+    select o_orderkey as case_id, (1 + o_orderkey % 2)::int as section, x.c as work_country, x.d as work_days,
+           case when o_orderkey % 2 = 1 then x.d <= 183 end as day_test, case when o_orderkey % 2 = 1 then 'a' <> lower(x.c) end as employer_test from orders left join f on o_orderkey = l_orderkey""")
+def article15_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day and employer tests by the first country that isn't home."""
+    days = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")).alias("ord"), F.when(F.col("l_returnflag") == "N", "Danmark").otherwise(F.col("l_returnflag")).alias("country"), (F.col("l_quantity") * 8).cast("int").alias("days")
+    )
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), (1 + F.col("o_orderkey") % 2).cast("int").alias("section"), F.lit("A").alias("employer_country"))
+    return rules.article15(cases, days).select("case_id", "section", "work_country", "work_days", "day_test", "employer_test")
+
+
+@registered("""
+    with c as (select o_orderkey as case_id, year(o_orderdate) + 26 as y, o_orderkey % 5 as k, o_custkey % 2 as two from orders)
+    select case_id, case k when 0 then 'foreign_income' when 1 then 'foreign_real_estate' when 2 then 'major_shareholder_status' when 3 then 'cross_border_commuter_taxation' end as trigger,
+           case k when 0 then '2' when 1 then '2' when 2 then '3' when 3 then '5' end as number,
+           case when y <= 2023 and y + two <= 2023 then '1305 af 14. november 2018' when y > 2023 then '49 af 24. januar 2025' else '1305 af 14. november 2018 og 49 af 24. januar 2025' end as orders,
+           (y + two + 4)::int as last_deadline, case when k = 4 then 'not just one trigger' end as problem from c""")
+def deadline_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines of cases whose facts are made from orders."""
+    year, k = F.year("o_orderdate") + 26, F.col("o_orderkey") % 5
+    named = F.element_at(F.array(*[F.lit(t) for t in ("foreign_income", "foreign_real_estate", "major_shareholder_status", "cross_border_commuter_taxation")]), (F.least(k, F.lit(3)) + 1).cast("int"))
+    cases = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("case_id"), F.concat(year.cast("string"), F.lit(" og "), (year + F.col("o_custkey") % 2).cast("string")).alias("income_years"),
+        F.when(k == 4, F.array(F.lit("foreign_income"), F.lit("foreign_real_estate"))).otherwise(F.array(named)).alias("triggers"),
+        F.lit("").alias("mode"), F.lit("løn").alias("detail"), F.lit("har bopæl").alias("residence"),
+    )
+    done = rules.deadlines(cases)
+    return done.select("case_id", "trigger", "number", numbers.danish_list(F.col("orders")).alias("orders"), "last_deadline", "problem")
+
+
+# --- law documents made from the tables -----------------------------------------------------------
+
+
+@registered("""
+    select l_orderkey, l_linenumber, '§ ' || l_quantity::int || chr(64 + l_linenumber) || ', stk. ' || (l_linenumber + 1) || ', nr. ' || l_linenumber || ', ' || l_linenumber || '. pkt., ' || (l_linenumber + 1) || '. pkt.' as label
+    from lineitem""")
+def target_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointers written, read into fields and printed again."""
+    n = F.col("l_linenumber")
+    pointer = F.format_string("I § %d %s, Stk. %d, nr. %d, ændres i %d. og %d. pkt., »x«", F.col("l_quantity").cast("int"), F.chr(64 + n), n + 1, n, n, n + 1)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", refs.target_label(refs.target(pointer)).alias("label"))
+
+
+@registered("""
+    select l_orderkey, l_linenumber, array_to_string(list_concat(list_concat(range(l_linenumber, l_linenumber + 3), [l_quantity::bigint]), [l_suppkey]), ',') as numbers from lineitem""")
+def item_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    said = F.format_string("%d-%d, %d og %d", n, n + 2, F.col("l_quantity").cast("int"), F.col("l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(refs.item_numbers(said), ",").alias("numbers"))
+
+
+def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An amending act for each order, with an item for each of its lines."""
+    q = F.col("l_quantity").cast("int").cast("string")
+    body = (
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("ændres »"), q, F.lit("« til: »"), "l_linestatus", F.lit("«.")))
+        .when(F.col("l_returnflag") == "A", F.concat(F.lit("ophæves, og efter »"), q, F.lit("« bliver stk. 2 til stk. 3.")))
+        .otherwise(F.concat(F.lit("udgår »"), q, F.lit("«.")))
+    )
+    mark = F.concat(F.lit('<Char signiChar="AendringURN">§ '), F.col("l_linenumber").cast("string"), F.lit(", stk. 1</Char>"))
+    item = F.concat(F.lit("<AendringsNummer><Explicatus>"), F.col("l_linenumber").cast("string"), F.lit(".</Explicatus>I "), mark, F.lit(" "), body, F.lit("</AendringsNummer>"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), item.alias("x")))).alias("xs"))
+    xml = F.concat(
+        F.lit('<Dokument><AendringCentreretParagraf localId="1"><Exitus>I prøveloven foretages følgende ændringer:</Exitus>'),
+        F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit("</AendringCentreretParagraf></Dokument>"),
+    )
+    return lines.select(F.col("l_orderkey").cast("string").alias("eli"), F.encode(xml, "UTF-8").alias("body"))
+
+
+@registered("""
+    with i as (select case l_returnflag when 'R' then ['aendres_til'] when 'A' then ['ophaeves', 'omnummerering'] else ['udgaar'] end as c from lineitem)
+    select construction, count(*) as items, round(count(*) / (select count(*) from lineitem), 6) as share from (select unnest(c) as construction from i) group by 1""")
+def mined_constructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constructions of all items of acts read from XML, with their share of items."""
+    hist, _ = history.mining(lawxml.instructions(acts(spark, sf_dir), "prøvelov"))
+    return hist.withColumn("share", F.round("share", 6))
+
+
+@registered("""
+    select case when l_returnflag = 'A' then '' when l_returnflag = 'R' then 'replace_text' else 'delete_phrase' end as op_type, case when l_returnflag = 'A' then 'unsupported' else 'parsed' end as status,
+           l_linenumber::varchar as paragraph_id, count(*) as n from lineitem group by all""")
+def parsed_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = replay.operations(lawxml.instructions(acts(spark, sf_dir), "prøvelov"))
+    return ops.groupBy("op_type", "status", F.col("target.paragraph_id").alias("paragraph_id")).agg(F.count("*").alias("n"))
+
+
+@registered("""
+    select o_custkey, count(*) as applied, md5('Saldo er nul.' || string_agg(' Ordre ' || o_orderkey || ' er ' || o_orderstatus || '.', '' order by o_orderkey)) as digest from orders group by 1""")
+def replayed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer is a unit of text, each order an operation that adds a sentence to it."""
+    orders = table(spark, sf_dir, "orders")
+    unit = F.col("o_custkey").cast("string")
+    units = orders.select(unit.alias("paragraph_id")).distinct().select(
+        "paragraph_id", F.concat(F.lit("§ "), "paragraph_id").alias("paragraph_label"), F.lit(1).alias("stk_number"), F.lit(None).cast("int").alias("nr_number"), F.array(F.lit("Saldo er nul.")).alias("sentences"), F.lit(0).alias("ord")
+    )
+    target = F.struct(unit.alias("paragraph_id"), F.lit(1).alias("stk_number"), F.lit(None).cast("int").alias("nr_number"), F.array().cast("array<int>").alias("sentence_numbers"))
+    ops = orders.select(
+        F.col("o_orderkey").cast("string").alias("eli"), F.col("o_orderkey").cast("int").alias("seq"), F.lit(0).alias("ord"), F.lit("§ 1, nr. 1").alias("amendment_path"), F.lit("insert_sentence").alias("op_type"),
+        target.alias("target"), F.lit("").alias("old_text"), F.concat(F.lit("Ordre "), F.col("o_orderkey").cast("string"), F.lit(" er "), "o_orderstatus", F.lit(".")).alias("new_part"),
+        F.lit(None).cast("int").alias("count"), F.lit("parsed").alias("status"), F.lit("").alias("note"),
+    )
+    results, texts = replay.replay(units, ops)
+    applied = results.where("status = 'applied'").groupBy("paragraph_id").agg(F.count("*").alias("applied"))
+    digest = F.md5(F.array_join("sentences", " ").cast("binary"))
+    return texts.join(applied, "paragraph_id").select(F.col("paragraph_id").cast("long").alias("o_custkey"), "applied", digest.alias("digest"))
