@@ -26,7 +26,7 @@ def listed_amendments(consolidations: DataFrame) -> DataFrame:
 
 def places(items: DataFrame, section: Column) -> Column:
     """array of struct(place, sentences) at which an item touches a section; none: empty."""
-    targets = F.transform("probable_targets", refs.target)
+    targets = F.transform("probable_targets", lambda t: refs.target(t))
     hits = F.filter(targets, lambda t: F.upper(t["paragraph_id"]) == section)
     named = F.transform(
         hits,
