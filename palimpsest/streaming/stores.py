@@ -62,6 +62,7 @@ def replay_stream(ops: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, ts: str, key: str, value: str, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by time window and key; in a stream, events later than ``late`` are left out."""
-    timed = events.withWatermark(ts, late) if events.isStreaming else events
+    kind = events.schema[ts].dataType
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     counts = timed.groupBy(F.window(ts, size).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-    return counts.select(F.col("w.start").alias("window_start"), key, "n", "total")
+    return counts.select(F.col("w.start").cast(kind).alias("window_start"), key, "n", "total")
