@@ -411,13 +411,14 @@ def pro_rata_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-    with f as (select l_orderkey, arg_min(struct_pack(c := l_returnflag, d := (l_quantity * 8)::int), l_linenumber * 1000000::bigint + l_partkey) as x from lineitem where l_returnflag <> 'N' group by 1)
+    with f as (select l_orderkey, arg_min(struct_pack(c := l_returnflag, d := (l_quantity * 8)::int), ((l_linenumber * 10000000::bigint + l_partkey) * 1000 + l_quantity::bigint) * 2 + (l_returnflag = 'R')::int) as x from lineitem where l_returnflag <> 'N' group by 1)
     select o_orderkey as case_id, (1 + o_orderkey % 2)::int as section, x.c as work_country, x.d as work_days,
            case when o_orderkey % 2 = 1 then x.d <= 183 end as day_test, case when o_orderkey % 2 = 1 then 'a' <> lower(x.c) end as employer_test from orders left join f on o_orderkey = l_orderkey""")
 def article15_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day and employer tests by the first country that isn't home."""
     days = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")).alias("ord"), F.when(F.col("l_returnflag") == "N", "Danmark").otherwise(F.col("l_returnflag")).alias("country"), (F.col("l_quantity") * 8).cast("int").alias("days")
+        F.col("l_orderkey").alias("case_id"), F.expr("((l_linenumber * 10000000L + l_partkey) * 1000 + cast(l_quantity as bigint)) * 2 + cast(l_returnflag = 'R' as int)").alias("ord"),
+        F.when(F.col("l_returnflag") == "N", "Danmark").otherwise(F.col("l_returnflag")).alias("country"), (F.col("l_quantity") * 8).cast("int").alias("days")
     )
     cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), (1 + F.col("o_orderkey") % 2).cast("int").alias("section"), F.lit("A").alias("employer_country"))
     return rules.article15(cases, days).select("case_id", "section", "work_country", "work_days", "day_test", "employer_test")
