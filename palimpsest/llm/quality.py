@@ -164,3 +164,31 @@ def judge(
         .withColumn("kept", ~F.col("base_failed") & ~F.col("domain_rejected"))
         .select(*keep, *COUNTS, "n_lines", "base_failed", "domain_rejected", "kept")
     )
+
+
+def oracle() -> str:
+    """The same in DuckDB's SQL, for rows with distinct ids."""
+    space = f"[{SPACES}]"
+    shrunk, moments, rejected = [], [], []
+    for r, (test, limit) in RULES.items():
+        moments.append(f"avg({r} / n) as {r}_mean, var_pop({r} / n) as {r}_var, avg(1.0 / n) as {r}_inv")
+        noise = f"{r}_mean * (1 - {r}_mean) * {r}_inv"
+        strength = f"greatest({r}_mean * (1 - {r}_mean) / greatest(({r}_var - {noise}) / greatest(1 - {r}_inv, 1e-6), 1e-6) - 1, 1.0)"
+        rejected.append(f"({r} + {r}_mean * {strength}) / (n + {strength}) > {limit}")
+        shrunk.append(f"count(*) filter ({test}) as {r}")
+    return f"""
+        with t as (select doc_id, source, coalesce(text, '') as t from documents),
+        w as (select *, list_filter(string_split_regex(t, '{space}+'), lambda x: x <> '') as w,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACES}]')) as l from t),
+        grams as (select doc_id, i, array_to_string(w[i:i + {NGRAM - 1}], ' ') as g from w, unnest(range(1, len(w) - {NGRAM - 2})) r(i)),
+        twice as (select doc_id, unnest(list(i)) as i from grams group by doc_id, g having count(*) > 1),
+        covered as (select doc_id, count(distinct i + k) as n from twice, unnest(range({NGRAM})) r(k) group by 1),
+        c as (select doc_id, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+                     (length(t) - length(translate(t, '{SYMBOLS}', '')))::bigint as n_symbols, len(l) as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+                     coalesce(n, 0)::bigint as n_repeat_words from w left join covered using (doc_id)),
+        hosts as (select source, count(*) as n, {", ".join(shrunk)} from c group by 1),
+        prior as (select {", ".join(moments)} from hosts),
+        verdicts as (select source, {" or ".join(rejected)} as rejected from hosts, prior),
+        base as (select *, {RULES["few_words"][0]} or {RULES["repeated"][0]} as base_failed from c)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not rejected as kept
+        from base join verdicts on base.source is not distinct from verdicts.source"""

@@ -100,5 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_secrets": secrets.oracle(),
+    "op4_vptree": vptree.oracle(),
+    "op8_quality": quality.oracle(),
     "op9_urls": urls.oracle(),
 }

@@ -25,6 +25,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import spool
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -233,7 +235,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text")
     grams, terms, full = _vocabulary(rules)
     keyed = docs.select("*", *text_key(F.col(text_col)))
     if terms:
-        hits = candidates(trigram_index(docs, text_col, grams), grams, terms)
+        # Written out, so that the join reads plain rows on both sides and Spark may split a busy key.
+        hits = spool(candidates(trigram_index(docs, text_col, grams), grams, terms), "secret-candidates")
         keyed = keyed.join(hits, ["_k1", "_k2"], "left")
     else:
         keyed = keyed.withColumn("_rules", F.lit(None).cast("array<int>"))
@@ -278,3 +281,22 @@ def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     clean = F.aggregate("found", start, step, rest)
     return scanned.withColumn(text_col, F.when(F.size("found") > 0, clean).otherwise(text)).drop("found")
+
+
+def oracle(rules: Sequence[Rule] = RULES) -> str:
+    """The same in DuckDB's SQL, without an index: every rule on every text."""
+
+    def spans(number: int, r: Rule) -> str:
+        p = r.pattern.replace("'", "''")
+        return f"""
+            select doc_id, {number} as kind, '{r.kind}' as name, {r.base} as base, list_sum(list_transform(gaps[1:k], lambda x: length(x)))
+                     + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) as s, length(m[k]) as n, length(g[k]) as need, {r.least} as least
+            from (select doc_id, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}', 0) as m, regexp_extract_all(t, '{p}', {r.group}) as g from docs), unnest(range(1, len(m) + 1)) u(k)"""
+
+    every = " union all ".join(spans(i, r) for i, r in enumerate(rules))
+    joined = "coalesce(string_agg(name || ':' || s::bigint || ':' || (s + n)::bigint, ',' order by s, kind, n)"
+    counts = ", ".join(f"count(*) filter (name = '{r.kind}') as n_{r.kind}" for r in rules if r.base)
+    return f"""
+        with docs as (select doc_id, coalesce(text, '') as t from documents), found as ({every}), kept as (select * from found where need >= least)
+        select docs.doc_id, {counts}, sha256({joined} filter (base), '')) as base_sha256, {joined} filter (name is not null), '') as spans
+        from docs left join kept using (doc_id) group by 1"""

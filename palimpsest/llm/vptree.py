@@ -127,7 +127,9 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     q, row = found.results()
     apart = query_ids[q] != ids[row]
     q, row = q[apart], row[apart]
-    score = np.concatenate([np.einsum("ij,ij->i", queries[q[a : a + 65536]], vectors[row[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.empty(0)])
+    score = np.zeros(len(q))
+    for d in range(vectors.shape[1]):  # term by term, as the sum is written
+        score += queries[q, d] * vectors[row, d]
     order = np.lexsort((ids[row], -score, q))
     q, row, score = q[order], row[order], score[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -185,3 +187,13 @@ def nearest(
     found = left.cogroup(right).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def oracle(k: int = 20, every: int = 20) -> str:
+    """Exact search in DuckDB's SQL: all candidates of each query, ranked."""
+    return f"""
+        with v as (select vec_id, embedding::double[] as v from embeddings where len(embedding) > 0
+                   and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % {every} = 0)
+        select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+        from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= {k}"""

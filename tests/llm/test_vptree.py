@@ -7,7 +7,9 @@ from palimpsest.llm import queries, vptree
 def brute(ids, x, query_ids, q, k):
     out = {}
     for i, v in zip(query_ids, q, strict=True):
-        s = np.einsum("ij,ij->i", x, np.broadcast_to(v, x.shape))
+        s = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            s += v[d] * x[:, d]
         order = np.lexsort((ids, -s))
         out[i] = [(int(ids[j]), float(s[j])) for j in order if ids[j] != i][:k]
     return out
