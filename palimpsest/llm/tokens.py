@@ -2,7 +2,8 @@
 
 A chunk is cut only where the tokenizer's own pre-tokenizer always cuts, so the joined chunk ids are
 the ids of the whole text. Words recur, so most chunks come from a bounded in-worker memo instead of
-the byte-pair merge loop; the memo changes speed only, never ids.
+the byte-pair merge loop; a chunk that doesn't is cut into runs of letters and of marks, which recur
+more, and those go to the library's merge model. The memo changes speed only, never ids.
 """
 
 from __future__ import annotations
@@ -16,30 +17,68 @@ _RARE = re.compile("[" + SPACE.replace("\t-\r ", "\t\v-\r") + "]")
 _CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 #: Entries a worker keeps before it starts the memo afresh, and the longest chunk it keeps.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 1_000_000
 MEMO_CHUNK = 48
 
 _ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a printable character: itself, or the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+#: Chunks of letters and ASCII punctuation (no apostrophe, which may begin a contraction), and their
+#: pieces: the tokenizers cut just between those, so a piece goes straight to the merge model.
+_MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+_SIMPLE = re.compile(rf" ?(?:[^\W\d_]|[{_MARKS}])+")
+_PIECES = re.compile(rf" ?[^\W\d_]+| ?[{_MARKS}]+")
+
+
 class _Memo(dict):
     """chunk -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self._encode = tokenizer.encode
+        self._merge = tokenizer.model.tokenize
+        self._normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else None
 
     def whole(self, chunk: str) -> bytes:
         return array("I", self._encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """A run of letters or of marks, normalised: one unit of the pre-tokenizer."""
+        letters = piece.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self._merge(letters)]).tobytes()
+
+    def _ids(self, chunk: str) -> bytes:
+        text = chunk
+        if self._normal:
+            if "Σ" in chunk:  # its lower case depends on what stands beside it
+                return self.whole(chunk)
+            text = (chunk.lower() if chunk.isascii() else self._normal(chunk)).strip(" ")
+        core = text[1:] if text[:1] == " " else text
+        if core.isalpha():
+            return self._piece(text)
+        if not _SIMPLE.fullmatch(text):
+            return self.whole(chunk)
+        if len(pieces := _PIECES.findall(text)) > 1:
+            return b"".join([self[x] for x in pieces])
+        return self.whole(chunk) if core[:1].isalnum() else self._piece(text)
+
     def __missing__(self, chunk: str) -> bytes:
         if len(chunk) > MEMO_CHUNK:
             return self.whole(chunk)
         if "\n" in chunk and len(inner := _CHUNKS.findall(chunk)) > 1:  # e.g. "end.\nNext": its parts recur
             return b"".join([self[x] for x in inner])
+        ids = self._ids(chunk)
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        ids = self[chunk] = self.whole(chunk)
+        self[chunk] = ids
         return ids
 
 
@@ -66,12 +105,13 @@ class ChunkEncoder:
         memo = self._memo
         if any(t in text for t in self._special):  # a special token also ends the run of white space before it
             return memo.whole(text)
+        ids = memo.__getitem__
         if not self._spaced:
-            return b"".join([memo[w] for w in text.split(" ")])
+            return b"".join(map(ids, text.split(" ")))
         if "  " in text or "\n " in text or " \n" in text or "\0" in text or _RARE.search(text):
-            return b"".join([memo[w] for w in _CHUNKS.findall(text)])
+            return b"".join(map(ids, _CHUNKS.findall(text)))
         # Single spaces only: every one begins a word.
-        return b"".join([memo[w] for w in text.replace(" ", "\0 ").split("\0")])
+        return b"".join(map(ids, text.replace(" ", "\0 ").split("\0")))
 
 
 def encoder(path: str, spaced: bool) -> ChunkEncoder:
