@@ -147,20 +147,20 @@ def mix(
     written too, so that Spark knows how small it is and broadcasts it only then.
     """
     keep = [c for c in (docs.columns if output is None else output) if c not in ADDED]
-    wide = output is None or text_col in keep
-    drawn = docs.select(
-        *[F.col(c) for c in dict.fromkeys([*([] if wide else keep), source])],
-        word_count(text_col).alias("size"),
-        draw(id_col, text_col, seed=seed).alias("draw"),
-    )
-    drawn = spool(drawn, "mix-sizes")
+    own = {
+        "_mx_source": F.col(source), "_mx_size": word_count(text_col), "_mx_draw": draw(id_col, text_col, seed=seed),
+    }
+    wide = text_col in keep
+    rows = docs.select(*([] if wide else keep), *[v.alias(k) for k, v in own.items()])
+    narrow = spool(rows, "mix-sizes")
+    drawn = narrow.select(F.col("_mx_source").alias(source), F.col("_mx_size").alias("size"), F.col("_mx_draw").alias("draw"))
     plan = spool(mixing_plan(drawn, source, weights, max_repeat), "mix-plan")
-    rows = docs.select(*keep, *([source] if source not in keep else []), word_count(text_col).alias("size"), draw(id_col, text_col, seed=seed).alias("draw")) if wide else drawn
-    plan = plan.select(F.col(source).alias("_source"), "source_size", "target", "whole", "threshold")
-    copies = (F.col("whole") + (F.col("draw") <= F.col("threshold")).cast("int")).alias("copies")
+    plan = plan.select(F.col(source).alias("_mx_s"), "source_size", "target", F.col("whole").alias("_mx_whole"), F.col("threshold").alias("_mx_threshold"))
+    rows = docs.select(*keep, *[v.alias(k) for k, v in own.items()]) if wide else narrow
+    copies = (F.col("_mx_whole") + (F.col("_mx_draw") <= F.col("_mx_threshold")).cast("int")).alias("copies")
     return (
-        rows.join(plan, F.col(source).eqNullSafe(F.col("_source")))
-        .select(*keep, "size", "source_size", "target", copies)
+        rows.join(plan, F.col("_mx_source").eqNullSafe(F.col("_mx_s")))
+        .select(*keep, F.col("_mx_size").alias("size"), "source_size", "target", copies)
         .withColumn("taken", F.col("size") * F.col("copies"))
     )
 

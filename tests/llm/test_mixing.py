@@ -52,7 +52,8 @@ def test_query(spark, middle):
 def test_caps_nulls_and_code_points(spark):
     rows = [(i, "w " * (1 + i % 7), ["a", "Z", "é", None, "", "b"][i % 6] if i < 300 else "big") for i in range(2000)]
     rows += [(5000, None, "empty"), (5001, "x " * 4000, "one")]
-    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, taken int")
+    docs = spark.createDataFrame([(*r, 9, 1, 2) for r in rows], "doc_id long, text string, source string, taken int, draw int, whole int")
+    assert mixing.mix(docs).columns == ["doc_id", "text", "source", "draw", "whole", "size", "source_size", "target", "copies", "taken"]
     check(mixing.mix(docs).collect(), {i: s for i, _, s in rows})
     out = mixing.emit(mixing.mix(docs), ["doc_id", "source"])
     assert out.count() == sum(r.copies for r in mixing.mix(docs).collect())
