@@ -38,6 +38,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_CHARS = 16 << 20
 LEVEL = 3
 BLOCK_BYTES = 1 << 20
+PART_BYTES = 64 << 20  # of raw text in a range of ids, whatever the session's number of partitions
 
 
 @dataclass(frozen=True)
@@ -123,7 +124,8 @@ def write(docs: DataFrame, folder: str, coding: Coding, *, id_col: str = "doc_id
         if keys:
             yield flush()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange(n, F.col("key").asc_nulls_first(), "h").sortWithinPartitions(F.col("key").asc_nulls_first(), "h")
     schema = f"part int, block int, dict_hash bigint, doc_ids array<{id_type}>, offsets array<bigint>, lengths array<bigint>, tokens array<bigint>, payload binary"
