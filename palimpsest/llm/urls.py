@@ -37,7 +37,7 @@ STRICT = (
 SOFT = (
     "ads", "bet", "bets", "betting", "bonus", "buy", "cheap", "click", "coupon", "crack", "deal", "deals", "discount",
     "farm", "free", "gamble", "loan", "loans", "lottery", "money", "offer", "prize", "promo", "replica", "tracker",
-    "track", "win", "winner", "x",
+    "track", "win", "winner",
 )
 SOFT_LIMIT = 2
 ADDED = ("host", "path", "rule", "verdict")
