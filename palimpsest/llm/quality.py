@@ -116,19 +116,19 @@ def domain_verdicts(counted: DataFrame, domain: str = "source", rules: Mapping[s
     the variance without what the domains' sizes alone cause.
     """
     fails = {r: F.count_if(F.expr(test)).alias(f"{r}_failed") for r, (test, _) in rules.items()}
-    hosts = counted.groupBy(domain).agg(F.count("*").alias("documents"), *fails.values())
+    hosts = spool(counted.groupBy(domain).agg(F.count("*").alias("documents"), *fails.values()), "quality-failures")
     n = F.col("documents")
     moments = []
     for r in rules:
         rate = F.col(f"{r}_failed") / n
         moments += [F.avg(rate).alias(f"{r}_mean"), F.var_pop(rate).alias(f"{r}_var"), F.avg(1 / n).alias(f"{r}_inv")]
-    prior = hosts.agg(*moments)
-    out = hosts.crossJoin(F.broadcast(prior))  # one row
+    prior = {k: F.lit(v or 0.0) for k, v in hosts.agg(*moments).first().asDict().items()}  # three numbers a rule
+    out = hosts
     rejected = F.lit(False)
     for r, (_, limit) in rules.items():
-        mean, inv = F.col(f"{r}_mean"), F.col(f"{r}_inv")
+        mean, inv = prior[f"{r}_mean"], prior[f"{r}_inv"]
         noise = mean * (1 - mean) * inv
-        var = F.greatest((F.col(f"{r}_var") - noise) / F.greatest(1 - inv, F.lit(1e-6)), F.lit(1e-6))
+        var = F.greatest((prior[f"{r}_var"] - noise) / F.greatest(1 - inv, F.lit(1e-6)), F.lit(1e-6))
         strength = F.greatest(mean * (1 - mean) / var - 1, F.lit(1.0))
         shrunk = (F.col(f"{r}_failed") + mean * strength) / (n + strength)
         out = out.withColumn(f"{r}_rate", shrunk)
