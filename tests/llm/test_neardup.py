@@ -52,14 +52,13 @@ def test_keeps_one_of_each_group(spark):
     assert got == kept_by_brute_force(rows)
 
 
-def test_one_large_group_and_split_buckets(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BUCKET_ROWS", 8)
+def test_one_large_group_and_split_buckets(spark):
     rows = near_copies(2, groups=3, copies=60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    classes = neardup.with_fingerprints(docs, "text", 5).dropDuplicates(["_nd_class"])
+    classes = neardup.with_fingerprints(docs, "doc_id", "text", 5).dropDuplicates(["_nd_class"])
     search = neardup.plan_search(classes, 0.8, 0.97)
-    whole = neardup.candidate_edges(neardup.index_rows(classes, search), 100, bucket_rows=10**6)
-    split = neardup.candidate_edges(neardup.index_rows(classes, search), 100, bucket_rows=8)
+    whole = neardup.candidate_edges(classes, search, 50, bucket_rows=10**6)
+    split = neardup.candidate_edges(classes, search, 50, bucket_rows=8)
     same = [dict(neardup.components(e).collect()) for e in (whole, split)]
     assert same[0] == same[1]
 
@@ -72,6 +71,11 @@ def test_forest_spans_what_is_close():
     assert len(neardup.forest(fps, 60)) == 595  # beyond SMALL: the other way
 
 
+def test_many_losers_take_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    test_keeps_one_of_each_group(spark)
+
+
 def test_edges(spark):
     rows = [(5, None), (4, ""), (None, " "), (9, "Only four words here"), (8, "only  FOUR words here"), (7, "x y z"), (7, "x y z"), (6, "long " * 20000), (None, "alone with a null id and more words")]
     docs = spark.createDataFrame([(i, t, "f") for i, t in rows], "doc_id long, text string, fp string")
