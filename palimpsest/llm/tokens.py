@@ -17,7 +17,7 @@ _RARE = re.compile("[" + SPACE.replace("\t-\r ", "\t\v-\r") + "]")
 _CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 #: Entries a worker keeps before it starts the memo afresh, and the longest chunk it keeps.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 MEMO_CHUNK = 48
 
 _ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
