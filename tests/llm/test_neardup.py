@@ -82,3 +82,36 @@ def test_edges(spark):
     got = sorted(((r.doc_id, r.fp) for r in neardup.dedup(docs).collect()), key=str)
     assert got == [(4, "f"), (6, "f"), (7, "f"), (8, "f"), (None, "f")]
     assert neardup.dedup(docs.limit(0)).count() == 0
+
+
+def straddling(seed, groups=25, words=400):
+    """Groups whose similarities lie on both sides of 0.8: 0.816 with eight words changed in all, 0.796 with nine."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(words)]
+        for k in range(6):
+            other = list(base)
+            for x in rng.sample(range(words // 6), rng.randrange(4, 6)):
+                other[6 * x] = f"x{g}_{k}_{x}"
+            texts.append(" ".join(other))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_failed_edges_leave_no_close_pair_unverified(spark):
+    rows = straddling(5)
+    got = sorted(r.doc_id for r in neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == kept_by_brute_force(rows)
+
+
+def test_nearest_leaves_nothing_in_the_end():
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (300, 4), dtype=np.uint64))
+    group = rng.integers(0, 40, 300)
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if group[a] != group[b] and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 7}
+    seen, each = set(), 1
+    while got := neardup.nearest(fps, 7, group, np.array(sorted(seen), dtype=np.int64).reshape(-1, 2), each):
+        assert not seen & set(got)
+        seen, each = seen | set(got), 4 * each
+    assert seen == want
