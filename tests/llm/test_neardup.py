@@ -115,3 +115,16 @@ def test_nearest_leaves_nothing_in_the_end():
         assert not seen & set(got)
         seen, each = seen | set(got), 4 * each
     assert seen == want
+
+
+def test_repeats_of_a_line_do_not_part_near_copies(spark):
+    rng = random.Random(7)
+    rows, apart = [], []
+    for g in range(20):
+        words, line = [f"g{g}w{rng.randrange(10**6)}" for _ in range(400)], " ".join(f"g{g}line{i}" for i in range(10))
+        pair = [" ".join([*words[:200], *[line] * n, *words[200:]]) for n in (1, 10)]
+        rows += [(2 * g + k, t) for k, t in enumerate(pair)]
+        apart.append(int(np.bitwise_count(neardup.wide_fingerprint(pair[0]) ^ neardup.wide_fingerprint(pair[1])).sum()))
+    assert np.mean(apart) < 0.06 * neardup.BITS, np.mean(apart)
+    got = sorted(r.doc_id for r in neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == kept_by_brute_force(rows) == list(range(0, 40, 2))
