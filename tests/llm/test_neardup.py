@@ -128,3 +128,31 @@ def test_repeats_of_a_line_do_not_part_near_copies(spark):
     assert np.mean(apart) < 0.06 * neardup.BITS, np.mean(apart)
     got = sorted(r.doc_id for r in neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == kept_by_brute_force(rows) == list(range(0, 40, 2))
+
+
+def test_pairs_meet_whatever_the_number_of_rows():
+    rng = np.random.default_rng(8)
+    missed = {0: 0, 1: 0}
+    search = neardup.plan_search(OfMany(), 0.8, neardup.RECALL)
+    common = np.sort(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    for _ in range(4000):  # nothing in the plan, the keys or the limit depends on the number of rows
+        shared, own = rng.integers(0, 1 << 63, (2, 120), dtype=np.uint64)
+        shared[: rng.integers(0, 60)] = common[: rng.integers(1, 60)][0]
+        a, b = (np.unique(np.concatenate([shared, own[k : k + 15]])) for k in (0, 15))
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        p, q = (neardup.prefix(x, 0.8, common, np.arange(60)) for x in (a, b))
+        missed[0] += not len(np.intersect1d(p, q))
+        x, y = (neardup.fingerprint_of(s)[: neardup.COMPARED] for s in (a, b))
+        missed[1] += int(np.bitwise_count(x ^ y).sum()) > search
+    assert missed == {0: 0, 1: 0}
+
+
+class OfMany:
+    """Stands for a table of many rows."""
+
+    def limit(self, n):
+        return self
+
+    def count(self):
+        return 10**9
