@@ -1,10 +1,14 @@
-"""Walks along version chains as recursive queries."""
+"""Walks along version chains, as recursive queries or in written rounds."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import spool
+
 
 def walk(edges: DataFrame, starts: DataFrame, max_steps: int = 40, src: str = "src", dst: str = "dst") -> DataFrame:
     """start, node, depth (from 0) along one edge a node; a walk ends at a node without an edge, at one it
@@ -22,6 +26,18 @@ def walk(edges: DataFrame, starts: DataFrame, max_steps: int = 40, src: str = "s
         SELECT start, node, depth FROM chain""")
 
 
+def walk_whole(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """As ``walk``, to the end of every chain: a join and a written round a step, for any number of starts and steps."""
+    steps = spool(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")), "walk-edges")
+    at = spool(starts.select(F.col(starts.columns[0]).alias("node")).select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.array("node").alias("seen")), "walk-0")
+    rounds = []
+    while not at.isEmpty():
+        rounds.append(at.select("start", "node", "depth"))
+        on = at.join(steps, at["node"] == steps["src"]).where(~F.array_contains("seen", F.col("dst")))
+        at = spool(on.select("start", F.col("dst").alias("node"), F.col("depth") + 1, F.array_append("seen", F.col("dst"))).toDF("start", "node", "depth", "seen"), f"walk-{len(rounds)}")
+    return reduce(DataFrame.unionByName, rounds or [at.select("start", "node", "depth")])
+
+
 def next_version(relations: DataFrame, names: DataFrame) -> DataFrame:
     """src, dst: of the newer versions listed for a document, the last that bears its law's name.
 

@@ -229,6 +229,14 @@ def log_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.upsert(last(events.where("event_id % 3 = 0")), last(events.where("event_id % 3 = 1 and user_id % 2 = 0")), ["user_id"], ["event_type"])
 
 
+@registered()
+def log_upsert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``log_upsert``, with every event in one of the two stores: even ids in the old one, the others in the new."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    last = lambda df: ordering.latest_wins(df, ["user_id"], "ts").select("user_id", "event_type", "value")
+    return stores.upsert(last(events.where("event_id % 2 = 0")), last(events.where("event_id % 2 <> 0")), ["user_id"], ["event_type"])
+
+
 @registered("""
     select event_id, case when props like '{%}' then left(props, length(props) - 1) || ', "kind": "' || event_type || '"}' end as merged from events""")
 def deep_merge_props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,6 +315,15 @@ def valid_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.valid_as_of(days, asked, "o_custkey", "at", "day").select("o_custkey", "at", "day", F.col("total").cast("double").alias("total"))
 
 
+@registered()
+def valid_as_of_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``valid_as_of``, asked for every order."""
+    orders = table(spark, sf_dir, "orders")
+    days = orders.groupBy("o_custkey", F.col("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    asked = orders.select("o_custkey", (F.col("o_orderdate") + F.expr("interval 45 days")).alias("at")).distinct()
+    return stores.valid_as_of(days, asked, "o_custkey", "at", "day").select("o_custkey", "at", "day", F.col("total").cast("double").alias("total"))
+
+
 @registered("""
     select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2""")
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,6 +350,16 @@ def chain_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walk(edges, starts, 8)
 
 
+@registered()
+def chain_walk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders from the last back to the first."""
+    orders = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    edges = orders.select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(w).alias("dst")).where("dst is not null")
+    starts = orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node")).select("node")
+    return graph.walk_whole(edges, starts)
+
+
 @registered("""
     with n as (select o_orderkey, o_custkey, o_orderpriority, o_orderkey + i as other from orders, unnest(range(1, 6)) t(i)),
     e as (select n.o_orderkey as src, max(b.o_orderkey) as dst from n join orders b on b.o_orderkey = n.other and b.o_orderpriority = n.o_orderpriority group by 1)
