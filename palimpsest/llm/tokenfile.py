@@ -4,20 +4,23 @@ A token folder holds three Parquet tables that Spark itself writes and reads, so
 copes with lost tasks and any store will do:
 
 * ``dictionary``: one row, (dict_hash, dictionary): the trained dictionary, of bounded size.
-* ``blocks``: rows of (part, block, dict_hash, doc_ids, offsets, lengths, tokens, payload), ascending by
-  id within and across parts. ``payload`` is the concatenation of the documents' frames; ``offsets`` and
-  ``lengths`` find a single document's frame without touching the others.
+* ``blocks``: rows of (part, block, dict_hash, min_id, max_id, doc_ids, offsets, lengths, tokens, payload),
+  ascending by id within and across parts. ``payload`` is the concatenation of the documents' frames;
+  ``offsets`` and ``lengths`` find a single document's frame without touching the others, ``min_id`` and
+  ``max_id`` (null ids apart) let Parquet skip the blocks that can't hold it.
 * ``index``: (part, part_tokens): the ids in each part, from which starts are summed.
 
 A frame is the zstandard compression of a document's ids as little-endian unsigned 32-bit integers. The
-dictionary is trained on a bounded sample of serialised documents, ``DICTIONARY_DOCS`` of least hash;
-it changes sizes only. Everything else covers every document.
+dictionary is trained on a bounded sample of serialised documents, ``DICTIONARY_DOCS`` of least hash, of
+which rows beyond a cutoff are left out before anything is shuffled; it changes sizes only. Everything
+else covers every document.
 
 Order is by a range shuffle of the raw rows on (id, hash of the text); a document is encoded and
 compressed once, in the task that writes it.
 
 Defined results: null text is an empty document, just the end id; ids that are null come first; rows of
-one id follow each other by the hash of their texts; an empty table gives empty tables.
+one id follow each other by the hash of their texts; a text of any length is one frame, made and read in
+one piece; other columns, whatever their names, are ignored; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.tokens import encoder
+from palimpsest.session import spool
 
 DICTIONARY_DOCS = 2000
 DICTIONARY_BYTES = 64 << 10
@@ -53,11 +57,13 @@ class Coding:
         return encoder(self.vocabulary, self.spaced).encode(text) + self.end_id.to_bytes(4, "little")
 
 
-def train_dictionary(docs: DataFrame, coding: Coding, text_col: str = "text") -> bytes:
-    """A zstandard dictionary for serialised ids, from the ``DICTIONARY_DOCS`` rows of least hash.
+def train_dictionary(docs: DataFrame, coding: Coding, id_col: str = "doc_id", text_col: str = "text") -> tuple[bytes, int]:
+    """A zstandard dictionary for serialised ids, from the ``DICTIONARY_DOCS`` rows of least hash, and the bytes of all texts.
 
     The bound: so many rows, of which those are left out with which the texts before and up to them
-    exceed ``SAMPLE_CHARS`` in all. Too little to train on: an empty dictionary.
+    exceed ``SAMPLE_CHARS`` in all. Too little to train on: an empty dictionary. One pass over the texts
+    sums their sizes and keeps the rows below a cutoff of hashes that twice as many are expected to reach;
+    the number of rows is in the files' footers. Rows of one hash (equal in id and text) are one.
     """
     import zstandard
 
@@ -65,16 +71,22 @@ def train_dictionary(docs: DataFrame, coding: Coding, text_col: str = "text") ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([coding.ids(t.as_py()) for t in batch.column(0)], pa.binary())], names=["ids"])
 
-    sample = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).orderBy("h").limit(DICTIONARY_DOCS)
+    cutoff = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * DICTIONARY_DOCS // max(docs.count(), 1))
+    seen = Observation()
+    hashed = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
+    low = hashed.observe(seen, F.sum(F.octet_length("t")).alias("size")).where(F.col("h") <= F.lit(cutoff))
+    low = low.where(F.coalesce(F.length("t"), F.lit(0)) <= SAMPLE_CHARS).groupBy("h").agg(F.first("t").alias("t"))
+    sample = spool(low, "dictionary-sample").orderBy("h").limit(DICTIONARY_DOCS)
     so_far = F.sum(F.coalesce(F.length("t"), F.lit(0))).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
-    bounded = sample.withColumn("_sum", so_far).where(F.col("_sum") <= SAMPLE_CHARS)
+    bounded = sample.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_CHARS)
     parts = [bytes(r[0]) for r in bounded.select("t").mapInArrow(run, "ids binary").collect()]
+    size = seen.get["size"] or 0
     if len(parts) < 8 or sum(map(len, parts)) < DICTIONARY_BYTES:
-        return b""
+        return b"", size
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, parts)) // 8), parts).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, parts)) // 8), parts).as_bytes(), size
     except zstandard.ZstdError:
-        return b""
+        return b"", size
 
 
 def dictionary_hash(dictionary: bytes) -> int:
@@ -86,7 +98,7 @@ def write(docs: DataFrame, folder: str, coding: Coding, *, id_col: str = "doc_id
     import zstandard
 
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, coding, text_col)
+    dictionary, size = train_dictionary(docs, coding, id_col, text_col)
     digest = dictionary_hash(dictionary)
     spark.createDataFrame([(digest, bytearray(dictionary))], "dict_hash bigint, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
@@ -100,12 +112,15 @@ def write(docs: DataFrame, folder: str, coding: Coding, *, id_col: str = "doc_id
         def flush() -> pa.RecordBatch:
             sizes = [len(f) for f in frames]
             starts = np.cumsum([0, *sizes[:-1]])
+            known = [k for k in (keys[0], keys[-1]) if k is not None]  # nulls come first
+            least = next((k for k in keys if k is not None), None)
             row = [
-                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([digest], pa.int64()), pa.array([keys], pa.list_(kind)),
+                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([digest], pa.int64()),
+                pa.array([least], kind), pa.array([known[-1] if known else None], kind), pa.array([keys], pa.list_(kind)),
                 pa.array([starts.tolist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.int64())),
                 pa.array([b"".join(frames)], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(row, names=["part", "block", "dict_hash", "doc_ids", "offsets", "lengths", "tokens", "payload"])
+            return pa.RecordBatch.from_arrays(row, names=["part", "block", "dict_hash", "min_id", "max_id", "doc_ids", "offsets", "lengths", "tokens", "payload"])
 
         for batch in batches:
             kind = batch.schema.field("key").type
@@ -124,11 +139,10 @@ def write(docs: DataFrame, folder: str, coding: Coding, *, id_col: str = "doc_id
         if keys:
             yield flush()
 
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange(n, F.col("key").asc_nulls_first(), "h").sortWithinPartitions(F.col("key").asc_nulls_first(), "h")
-    schema = f"part int, block int, dict_hash bigint, doc_ids array<{id_type}>, offsets array<bigint>, lengths array<bigint>, tokens array<bigint>, payload binary"
+    schema = f"part int, block int, dict_hash bigint, min_id {id_type}, max_id {id_type}, doc_ids array<{id_type}>, offsets array<bigint>, lengths array<bigint>, tokens array<bigint>, payload binary"
     blocks = ordered.select("key", "text", F.spark_partition_id().alias("part")).mapInArrow(run, schema)
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -191,7 +205,13 @@ def read(spark: SparkSession, folder: str, *, digest_only: bool = False, id_col:
     starts = sizes.select("part", "block", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("block_start")).join(parts, "part")
     starts = starts.select("part", "block", (F.col("part_start") + F.col("block_start")).alias("start"))
     id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    wanted = blocks if only is None else blocks.where(F.arrays_overlap("doc_ids", F.lit(list(only)).cast(f"array<{id_type}>")))
+    wanted = blocks
+    if only is not None:  # ranges that Parquet prunes by, then the ids themselves
+        known = [k for k in only if k is not None]
+        near = F.lit(False)
+        if known:
+            near = (F.col("min_id") <= max(known)) & (F.col("max_id") >= min(known))
+        wanted = blocks.where(near & F.arrays_overlap("doc_ids", F.lit(known).cast(f"array<{id_type}>")))
     rows = _frames(spark, folder, wanted.join(starts, ["part", "block"]), digest_only, id_type)
     out = rows.select(F.col("key").alias(id_col), "start", "n_tokens", F.col("last").alias("ids_crc32" if digest_only else "ids"))
     return out if only is None else out.where(F.col(id_col).isin(list(only)))

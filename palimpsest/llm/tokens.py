@@ -3,7 +3,9 @@
 A chunk is cut only where the tokenizer's own pre-tokenizer always cuts, so the joined chunk ids are
 the ids of the whole text. Words recur, so most chunks come from a bounded in-worker memo instead of
 the byte-pair merge loop; a chunk that doesn't is cut into runs of letters and of marks, which recur
-more, and those go to the library's merge model. The memo changes speed only, never ids.
+more, and those go to the library's merge model. The memo has two generations: when the young one is
+full it becomes the old one, and what is asked for again moves back, so that rare chunks push out only
+each other. The memo changes speed only, never ids.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RARE = re.compile("[" + SPACE.replace("\t-\r ", "\t\v-\r") + "]")
 _CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
-#: Entries a worker keeps before it starts the memo afresh, and the longest chunk it keeps.
-MEMO_ENTRIES = 500_000
+#: Entries of one of a worker's two generations, and the longest chunk it keeps.
+MEMO_ENTRIES = 350_000
 MEMO_CHUNK = 48
 
 _ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
@@ -43,6 +45,7 @@ class _Memo(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
+        self._old: dict[str, bytes] = {}
         self._encode = tokenizer.encode
         self._merge = tokenizer.model.tokenize
         self._normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else None
@@ -60,7 +63,7 @@ class _Memo(dict):
         if self._normal:
             if "Σ" in chunk:  # its lower case depends on what stands beside it
                 return self.whole(chunk)
-            text = (chunk.lower() if chunk.isascii() else self._normal(chunk)).strip(" ")
+            text = (chunk.lower() if chunk.isascii() or max(chunk) <= "\xff" else self._normal(chunk)).strip(" ")
         core = text[1:] if text[:1] == " " else text
         if core.isalpha():
             return self._piece(text)
@@ -71,12 +74,15 @@ class _Memo(dict):
         return self.whole(chunk) if core[:1].isalnum() else self._piece(text)
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > MEMO_CHUNK:
-            return self.whole(chunk)
-        if "\n" in chunk and len(inner := _CHUNKS.findall(chunk)) > 1:  # e.g. "end.\nNext": its parts recur
-            return b"".join([self[x] for x in inner])
-        ids = self._ids(chunk)
+        ids = self._old.get(chunk)
+        if ids is None:
+            if len(chunk) > MEMO_CHUNK:
+                return self.whole(chunk)
+            if "\n" in chunk and len(inner := _CHUNKS.findall(chunk)) > 1:  # e.g. "end.\nNext": its parts recur
+                return b"".join([self[x] for x in inner])
+            ids = self._ids(chunk)
         if len(self) >= MEMO_ENTRIES:
+            self._old = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
@@ -107,11 +113,11 @@ class ChunkEncoder:
             return memo.whole(text)
         ids = memo.__getitem__
         if not self._spaced:
-            return b"".join(map(ids, text.split(" ")))
-        if "  " in text or "\n " in text or " \n" in text or "\0" in text or _RARE.search(text):
+            return b"".join(map(ids, text.replace("\n", " ").split(" ")))
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or "\0" in text or _RARE.search(text):
             return b"".join(map(ids, _CHUNKS.findall(text)))
-        # Single spaces only: every one begins a word.
-        return b"".join(map(ids, text.replace(" ", "\0 ").split("\0")))
+        # Single spaces and line ends only: a space begins a word, a line end is a piece of its own.
+        return b"".join(map(ids, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 
 
 def encoder(path: str, spaced: bool) -> ChunkEncoder:
