@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from palimpsest.llm import neardup
 from palimpsest.llm.simhash import _hashes
@@ -52,27 +53,22 @@ def test_keeps_one_of_each_group(spark):
     assert got == kept_by_brute_force(rows)
 
 
-def test_one_large_group_and_split_buckets(spark):
+def test_large_keys_and_split_buckets_give_the_same_groups(spark):
     rows = near_copies(2, groups=3, copies=60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    classes = neardup.with_fingerprints(docs, "doc_id", "text", 5).dropDuplicates(["_nd_class"])
-    search = neardup.plan_search(classes, 0.8, 0.97)
-    whole = neardup.candidate_edges(classes, search, 50, bucket_rows=10**6)
-    split = neardup.candidate_edges(classes, search, 50, bucket_rows=8)
-    same = [dict(neardup.components(e).collect()) for e in (whole, split)]
-    assert same[0] == same[1]
+    classes = spark.createDataFrame(neardup.with_fingerprints(docs, "doc_id", "text", 5).dropDuplicates(["_nd_class"]).collect(), "_nd_id long, _nd_text long, _nd_fp array<bigint>, _nd_class bigint, _nd_prefix array<bigint>")
 
+    def texts_of(nodes):
+        known = classes.join(docs, F.col("_nd_id") == F.col("doc_id")).select(F.col("_nd_class").alias("class"), "text")
+        return known.join(nodes, "class", "left_semi")
 
-def test_forest_spans_what_is_close():
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 1 << 63, (5, neardup.WORDS), dtype=np.uint64)
-    fps = base[rng.integers(0, 5, 600)] ^ (np.uint64(1) << rng.integers(0, 64, (600, neardup.WORDS), dtype=np.uint64))
-    assert len(neardup.forest(fps[:100], 60)) == len(neardup.forest(np.concatenate([fps[:100]]), 60)) == 95
-    assert len(neardup.forest(fps, 60)) == 595  # beyond SMALL: the other way
+    ways = [dict(paired=10**6), dict(paired=2), dict(paired=2, bucket_rows=8)]
+    same = [dict(neardup.linked(classes, texts_of, **w).collect()) for w in ways]
+    assert same[0] and same[0] == same[1] == same[2]
 
 
 def test_many_losers_take_the_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", 0)
     test_keeps_one_of_each_group(spark)
 
 
@@ -133,7 +129,7 @@ def test_repeats_of_a_line_do_not_part_near_copies(spark):
 def test_pairs_meet_whatever_the_number_of_rows():
     rng = np.random.default_rng(8)
     missed = {0: 0, 1: 0}
-    search = neardup.plan_search(OfMany(), 0.8, neardup.RECALL)
+    search = neardup.most_bits()
     common = np.sort(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
     for _ in range(4000):  # nothing in the plan, the keys or the limit depends on the number of rows
         shared, own = rng.integers(0, 1 << 63, (2, 120), dtype=np.uint64)
@@ -143,16 +139,6 @@ def test_pairs_meet_whatever_the_number_of_rows():
             continue
         p, q = (neardup.prefix(x, 0.8, common, np.arange(60)) for x in (a, b))
         missed[0] += not len(np.intersect1d(p, q))
-        x, y = (neardup.fingerprint_of(s)[: neardup.COMPARED] for s in (a, b))
+        x, y = (neardup.fingerprint_of(s) for s in (a, b))
         missed[1] += int(np.bitwise_count(x ^ y).sum()) > search
     assert missed == {0: 0, 1: 0}
-
-
-class OfMany:
-    """Stands for a table of many rows."""
-
-    def limit(self, n):
-        return self
-
-    def count(self):
-        return 10**9
