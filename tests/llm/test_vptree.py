@@ -49,7 +49,7 @@ def test_tree_is_exact_at_factor_one_and_good_beyond(scaled):
     want = brute(ids, x, ids[:60], q, 20)
 
     def run(factor):
-        a, b, s = vptree.search_shard(ids, x, ids[:60], q, 20, factor, leaf=32)
+        a, b, s = vptree.Shard(ids, x, leaf=32).search(ids[:60], q, 20, factor)
         got = {}
         for i, j, v in zip(a.tolist(), b.tolist(), s.tolist(), strict=True):
             got.setdefault(i, []).append((j, v))
@@ -78,6 +78,25 @@ def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (20, [1.0, 2.0, 3.0]), (40, [0.0, -1.0]), (1, [0.5, 0.5])]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, rank int")
-    got = by_query(vptree.nearest(df, df.where("vec_id % 20 = 0"), 20, shard_rows=2, block_queries=1).collect())
+    got = by_query(vptree.nearest(df, df.where("vec_id % 20 = 0"), 20, shard_rows=2).collect())
     assert got == {0: [(1, 0.5), (1, 0.5), (2, 0.5), (40, 0.0)], 40: [(0, 0.0), (1, -0.5), (1, -0.5), (2, -0.5)]}
     assert vptree.nearest(df.limit(0), df.limit(0), 5).count() == 0
+
+
+def test_upper_levels_send_queries_to_few_cells_and_lose_nothing(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 12))[rng.integers(0, 40, 6000)] * 3 + 0.1 * rng.normal(size=(6000, 12))
+    x[:1500] = x[0]  # equal vectors fill several pieces of one cell
+    ids = np.arange(6000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    want = brute(ids, x, ids[::20], x[::20], 5)
+    got = by_query(vptree.nearest(df, df.where("vec_id % 20 = 0"), 5, shard_rows=250).collect())
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    upper = vptree.Upper(x, 1.0, 24)
+    floor = np.sort(x[::20] @ x.T, axis=1)[:, -6]
+    pairs = [len(upper.cells_near(x[::20], floor, f)[0]) for f in (1.0, 1.5)]
+    assert 300 <= pairs[1] < pairs[0] < 0.4 * 300 * upper.cells, pairs
+    repeated = df.unionByName(df.where("vec_id % 40 = 0"))
+    again = by_query(vptree.nearest(df, repeated.where("vec_id % 20 = 0"), 5, shard_rows=250).collect())
+    assert again == got
