@@ -13,8 +13,9 @@ a source, combined before the shuffle), and only the bin where the fraction is c
 
 Defined results: null text has size 0 and is taken floor(rate) or one more time all the same; a null
 source is a source, ordered last; rows equal in id and text are drawn alike; a source without words
-has target 0; an empty table gives an empty table. Columns of ``docs`` named like an added one are
-replaced.
+has target 0; of two draws that miss the need alike the lesser is taken; a text of any length is one count; an empty
+table gives an empty table. Columns of ``docs`` named like an added one are replaced, and those whose names start
+with ``_mx_`` are left out.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ def mix(
     The narrow table of sizes and draws is written to the shared folder once; the plan by source is
     written too, so that Spark knows how small it is and broadcasts it only then.
     """
-    keep = [c for c in (docs.columns if output is None else output) if c not in ADDED]
+    keep = [c for c in (docs.columns if output is None else output) if c not in ADDED and not c.startswith("_mx_")]
     own = {
         "_mx_source": F.col(source), "_mx_size": word_count(text_col), "_mx_draw": draw(id_col, text_col, seed=seed),
     }
@@ -167,4 +168,5 @@ def mix(
 
 def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each document as often as ``copies`` says."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    columns = [c for c in columns if not c.startswith("_mx_")]
+    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_mx_copy")).drop("_mx_copy")

@@ -6,8 +6,10 @@ moments), and a domain whose shrunk rate exceeds the rule's limit is rejected as
 joined back to its documents. A document is kept if neither it nor its domain fails.
 
 Defined results: null text has no words, so it fails; a null domain is a domain; a domain with few
-documents stays near the prior; an empty table gives an empty table; repeated rows count each; columns
-of ``docs`` named like an added one are replaced.
+documents stays near the prior; an empty table gives an empty table; repeated rows count each; a text of
+any length is counted whole, in memory of a few times its size; a rate just at its limit doesn't reject;
+columns of ``docs`` named like an added one are replaced, and those whose names start with ``_qr_`` are
+left out.
 """
 
 from __future__ import annotations
@@ -101,11 +103,11 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     symbols = long(F.length(text) - F.length(F.translate(text, SYMBOLS, "")))
     return (
         docs.drop(*ADDED)
-        .withColumns({"_w": let(words, word_counts), "_l": line_counts, "n_symbols": symbols})
-        .withColumns({c: F.col(f"_w.{c}") for c in ("n_words", "word_chars", "n_repeat_words")})
-        .withColumns({c: F.col(f"_l.{c}") for c in ("n_dup_lines", "n_lines")})
+        .withColumns({"_qr_w": let(words, word_counts), "_qr_l": line_counts, "n_symbols": symbols})
+        .withColumns({c: F.col(f"_qr_w.{c}") for c in ("n_words", "word_chars", "n_repeat_words")})
+        .withColumns({c: F.col(f"_qr_l.{c}") for c in ("n_dup_lines", "n_lines")})
         .withColumn("base_failed", F.expr(f"{RULES['few_words'][0]} or {RULES['repeated'][0]}"))
-        .drop("_w", "_l")
+        .drop("_qr_w", "_qr_l")
     )
 
 
@@ -141,29 +143,31 @@ def judge(
     *,
     domain: str = "source",
     text_col: str = "text",
+    id_col: str = "doc_id",
     rules: Mapping[str, tuple[str, float]] = RULES,
     output: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` (or its ``output`` columns) with counts, base_failed, domain_rejected and kept.
 
-    Without the text in ``output``, the counts are written once to the shared folder and read twice;
-    with it they are computed twice rather than written with whole texts.
+    Counts are made once and written to the shared folder without the texts. Where the texts are wanted, the written
+    counts go back to them by the row's hash of id (where there is one), domain and text, a shuffle of the texts: rows
+    equal in those have equal verdicts, so one of each is kept.
     """
-    docs = docs.drop(*ADDED)
+    docs = docs.drop(*ADDED, *[c for c in docs.columns if c.startswith("_qr_")])
     keep = docs.columns if output is None else output
-    counted = with_counts(docs.select(*dict.fromkeys([*keep, domain, text_col])), text_col)
-    if text_col not in keep:
-        counted = spool(counted.drop(text_col), "quality-counts")
-        verdicts = domain_verdicts(counted, domain, rules)
-    else:
-        verdicts = domain_verdicts(with_counts(docs.select(domain, text_col), text_col), domain, rules)
-    verdicts = spool(verdicts.select(F.col(domain).alias("_domain"), "domain_rejected"), "quality-domains")
-    return (
-        counted.join(verdicts, F.col(domain).eqNullSafe(F.col("_domain")))
-        .drop("_domain")
-        .withColumn("kept", ~F.col("base_failed") & ~F.col("domain_rejected"))
-        .select(*keep, *COUNTS, "n_lines", "base_failed", "domain_rejected", "kept")
-    )
+    wide = text_col in keep
+    known = [c for c in (id_col, domain, text_col) if c in docs.columns]
+    key = [F.xxhash64(*known).alias("_qr_a"), F.xxhash64(F.lit(1), *known).alias("_qr_b")]
+    narrow = docs.select(*([] if wide else keep), F.col(domain).alias("_qr_domain"), F.col(text_col).alias("_qr_text"), *(key if wide else []))
+    counted = spool(with_counts(narrow, "_qr_text").drop("_qr_text"), "quality-counts")
+    verdicts = domain_verdicts(counted, "_qr_domain", rules).select(F.col("_qr_domain").alias("_qr_d"), "domain_rejected")
+    verdicts = spool(verdicts, "quality-domains")
+    judged = counted.join(verdicts, F.col("_qr_domain").eqNullSafe(F.col("_qr_d"))).withColumn("kept", ~F.col("base_failed") & ~F.col("domain_rejected"))
+    added = [*COUNTS, "n_lines", "base_failed", "domain_rejected", "kept"]
+    if not wide:
+        return judged.select(*keep, *added)
+    judged = spool(judged.select("_qr_a", "_qr_b", *added).dropDuplicates(["_qr_a", "_qr_b"]), "quality-verdicts")
+    return docs.select(*keep, *key).join(judged, ["_qr_a", "_qr_b"]).select(*keep, *added)
 
 
 def oracle() -> str:

@@ -10,15 +10,15 @@ Copies of a text share one index entry, combined before the shuffle, so a group
 costs one entry. The index keeps only trigrams that some rule asks for.
 
 Spans are code points, end exclusive. Defined results: null text counts as empty and has no spans;
-an empty table gives an empty table; rows repeated are reported each; columns of ``docs`` named like
-an added one are replaced.
+an empty table gives an empty table; rows repeated are reported each; a text of any length is searched whole,
+its matches are placed by running sums in blocks, so that a text of many matches takes time near its length;
+spans of one start are ordered by their rule's number; a column of ``docs`` named ``found`` is replaced, and
+those whose names start with ``_sc_`` are left out.
 """
 
 from __future__ import annotations
 
-import re._constants as c
-import re._parser as parser
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -58,6 +58,9 @@ SPAN = "struct<start:int,kind:int,end:int>"
 #: Literals are multiplied out while there are at most so many, and while they are at most so long.
 MOST_LITERALS, MOST_LETTERS = 64, 64
 SMALL_CLASS = 8
+BLOCK = 128  # of running sums and of pieces of text
+OWN = "_sc_"
+KEYS = (f"{OWN}k1", f"{OWN}k2")
 
 Clauses = frozenset  # of clauses, each a frozenset of trigrams; the query holds if one clause does
 
@@ -80,66 +83,145 @@ def _asks(literals: set[str]) -> Clauses | None:
     return Clauses(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in literals)
 
 
+#: An expression as it is read: ("one", characters or None for any), ("all", parts), ("any", parts), ("times", part, least, most).
+Node = tuple
+
+
+class _Reader:
+    """Reads the expressions that rules are written in: literals, escapes, classes, groups, alternatives, repeats."""
+
+    MANY = 1 << 20
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def _next(self) -> str:
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def _sees(self, mark: str) -> bool:
+        return self.text.startswith(mark, self.at)
+
+    def either(self) -> Node:
+        parts = [self._sequence()]
+        while self._sees("|"):
+            self.at += 1
+            parts.append(self._sequence())
+        return parts[0] if len(parts) == 1 else ("any", parts)
+
+    def _sequence(self) -> Node:
+        parts = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            parts.append(self._repeated(self._item()))
+        return ("all", parts)
+
+    def _repeated(self, part: Node) -> Node:
+        while self.at < len(self.text) and self.text[self.at] in "?*+{":
+            mark = self._next()
+            if mark == "{":
+                end = self.text.index("}", self.at)
+                least, _, most = self.text[self.at : end].partition(",")
+                bounds = int(least), int(most) if most else self.MANY if "," in self.text[self.at : end] else int(least)
+                self.at = end + 1
+            else:
+                bounds = {"?": (0, 1), "*": (0, self.MANY), "+": (1, self.MANY)}[mark]
+            part = ("times", part, *bounds)
+        return part
+
+    def _item(self) -> Node:
+        mark = self._next()
+        if mark == "(":
+            if self._sees("?"):
+                self.at = self.text.index(":", self.at) + 1  # (?: or (?i:, which is the same to lower-cased trigrams
+            inner = self.either()
+            self.at += 1
+            return inner
+        if mark == "[":
+            return self._class()
+        if mark == "\\":
+            return ("one", self._escaped())
+        return ("one", None if mark == "." else {mark.lower()})
+
+    def _escaped(self) -> set[str] | None:
+        mark = self._next()
+        if mark == "x":
+            self.at += 2
+            return {chr(int(self.text[self.at - 2 : self.at], 16)).lower()}
+        return None if mark.isalnum() else {mark}
+
+    def _class(self) -> Node:
+        known: set[str] | None = set()
+        if self._sees("^"):
+            known = None
+        first = True
+        while first or not self._sees("]"):
+            first = False
+            mark = self._next()
+            letters = self._escaped() if mark == "\\" else {mark}
+            if letters and self._sees("-") and not self._sees("-]"):
+                self.at += 1
+                mark = self._next()
+                last = min(self._escaped() or "") if mark == "\\" else mark
+                span = range(ord(min(letters)), ord(last) + 1)
+                letters = {chr(x) for x in span} if len(span) <= SMALL_CLASS else None
+            known = None if known is None or letters is None else known | {x.lower() for x in letters}
+        self.at += 1
+        return ("one", known if known and len(known) <= SMALL_CLASS else None)
+
+
 def trigram_query(pattern: str) -> Clauses | None:
     """Clauses of lower-case trigrams of which a match must hold one whole; None: scan fully."""
 
-    def exact(op, arg) -> set[str] | None:
+    def exact(node: Node) -> set[str] | None:
         """All lower-cased strings that the node can match, if they are few; else None."""
-        if op is c.LITERAL:
-            return {chr(arg).lower()}
-        if op is c.IN:
-            letters: set[str] = set()
-            for kind, x in arg:
-                if kind is c.LITERAL:
-                    letters.add(chr(x).lower())
-                elif kind is c.RANGE and x[1] - x[0] < SMALL_CLASS:
-                    letters |= {chr(y).lower() for y in range(x[0], x[1] + 1)}
-                else:
-                    return None
-            return letters if len(letters) <= SMALL_CLASS else None
-        if op is c.SUBPATTERN:
-            return all_of(arg[-1])
-        if op is c.BRANCH:
-            parts = [all_of(x) for x in arg[1]]
+        kind, what = node[:2]
+        if kind == "one":
+            return what
+        if kind == "all":
+            return joined(what)
+        if kind == "any":
+            parts = [exact(x) for x in what]
             return None if any(p is None for p in parts) else set().union(*parts)
-        if op is c.MAX_REPEAT and arg[1] <= 4 and (once := all_of(arg[2])) is not None:
-            out: set[str] = set()
-            for n in range(arg[0], arg[1] + 1):
-                out |= {"".join(x) for x in product(once, repeat=n)}
-            return out if len(out) <= MOST_LITERALS else None
-        return None
-
-    def all_of(nodes) -> set[str] | None:
+        least, most = node[2:]
+        once = exact(what) if most <= 4 else None
+        if once is None:
+            return None
+        out = {"".join(x) for n in range(least, most + 1) for x in product(once, repeat=n)}
+        return out if len(out) <= MOST_LITERALS else None
+
+    def joined(parts: Sequence[Node]) -> set[str] | None:
         out = {""}
-        for op, arg in nodes:
-            if (x := exact(op, arg)) is None or len(out) * len(x) > MOST_LITERALS:
+        for part in parts:
+            x = exact(part)
+            if x is None or len(out) * len(x) > MOST_LITERALS:
                 return None
             out = {a + b for a, b in product(out, x)}
         return out
 
-    def query(nodes) -> Clauses | None:
+    def query(node: Node) -> Clauses | None:
+        kind, what = node[:2]
+        if kind == "one":
+            return None
+        if kind == "any":
+            found = [query(("all", [x])) for x in what]
+            out = found[0]
+            for x in found[1:]:
+                out = _either(out, x)
+            return out
+        if kind == "times":
+            return query(what) if node[2] >= 1 else None
         held, run = None, {""}
-        for op, arg in nodes:
-            x = exact(op, arg)
+        for part in what:
+            x = exact(part)
             if x is not None and len(run) * len(x) <= MOST_LITERALS and max(map(len, run)) < MOST_LETTERS:
                 run = {a + b for a, b in product(run, x)}
                 continue
             held, run = _both(held, _asks(run)), x or {""}
-            if x is not None:
-                continue
-            if op is c.SUBPATTERN:
-                held = _both(held, query(arg[-1]))
-            elif op is c.BRANCH:
-                parts = [query(y) for y in arg[1]]
-                joined = parts[0]
-                for p in parts[1:]:
-                    joined = _either(joined, p)
-                held = _both(held, joined)
-            elif op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] >= 1:
-                held = _both(held, query(arg[2]))
+            if x is None:
+                held = _both(held, query(part))
         return _both(held, _asks(run))
 
-    found = query(parser.parse(pattern))
+    found = query(("all", [_Reader(pattern).either()]))
     return found and Clauses(x for x in found if not any(y < x for y in found))
 
 
@@ -166,11 +248,11 @@ def _vocabulary(rules: Sequence[Rule]) -> tuple[list[str], list[tuple[int, int,
 def text_key(text: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a text; texts that agree in both share an index entry, which
     holds the trigrams of either, so that nothing is missed."""
-    return [F.xxhash64(text).alias("_k1"), F.xxhash64(text, F.lit(1)).alias("_k2")]
+    return [F.xxhash64(text).alias(KEYS[0]), F.xxhash64(text, F.lit(1)).alias(KEYS[1])]
 
 
 def trigram_index(texts: DataFrame, text: str, grams: Sequence[str]) -> DataFrame:
-    """_k1, _k2 and the entry's trigrams as bit masks of 64, one row for each distinct text."""
+    """The key and the entry's trigrams as bit masks of 64, one row for each distinct text."""
 
     def mask(t: Column, part: Sequence[str]) -> Column:
         bits = F.transform(
@@ -184,66 +266,90 @@ def trigram_index(texts: DataFrame, text: str, grams: Sequence[str]) -> DataFram
     return (
         texts.where(F.col(text).isNotNull())
         .select(*text_key(F.col(text)), masks.alias("_masks"))
-        .groupBy("_k1", "_k2")
+        .groupBy(*KEYS)
         .agg(*[F.bit_or(F.col("_masks")[i]).alias(f"_m{i}") for i in range(len(parts))])
     )
 
 
 def candidates(index: DataFrame, grams: Sequence[str], terms: Sequence[tuple[int, int, int, int]]) -> DataFrame:
-    """_k1, _k2, _rules: the rules of which a text holds all trigrams of some clause."""
+    """The key and _sc_rules: the rules of which a text holds all trigrams of some clause."""
     spark = index.sparkSession
     masks = F.array(*[F.col(x) for x in index.columns if x.startswith("_m")])
     held = F.filter(
         F.sequence(F.lit(0), F.lit(len(grams) - 1)),
         lambda i: F.get(masks, (i / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) != 0,
     )
-    postings = index.select("_k1", "_k2", F.explode(held).alias("_gram"))
+    postings = index.select(*KEYS, F.explode(held).alias("_gram"))
     # The rules' own terms: a few hundred rows at most, whatever the corpus.
     wanted = F.broadcast(spark.createDataFrame(list(terms), "_gram int, _rule int, _clause int, _need int"))
     return (
         postings.join(wanted, "_gram")
-        .groupBy("_k1", "_k2", "_rule", "_clause")
+        .groupBy(*KEYS, "_rule", "_clause")
         .agg(F.count("*").alias("_held"), F.first("_need").alias("_need"))
         .where("_held = _need")
-        .groupBy("_k1", "_k2")
-        .agg(F.collect_set("_rule").alias("_rules"))
+        .groupBy(*KEYS)
+        .agg(F.collect_set("_rule").alias(f"{OWN}rules"))
     )
 
 
+def running(numbers: Column, start: int, step: Callable[[Column, Column], Column]) -> Column:
+    """Each number's combination with all before it, itself included, in blocks, whose own results are short arrays."""
+    none = F.array().cast("array<int>")
+
+    def within(values: Column) -> Column:
+        zero = F.struct(F.lit(start).alias("at"), none.alias("out"))
+
+        def grown(acc: Column, x: Column) -> Column:
+            at = step(acc["at"], x)
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(values, zero, grown, lambda acc: acc["out"])
+
+    def blocks(xs: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        return let(F.transform(at, lambda i: within(F.slice(xs, i * BLOCK + 1, BLOCK))), combined)
+
+    def combined(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(start)), within(F.transform(parts, lambda x: F.element_at(x, -1))))
+        return let(before, lambda b: F.flatten(F.zip_with(parts, b, lambda x, at: F.transform(F.coalesce(x, none), lambda y: step(at, y)))))
+
+    return let(numbers, lambda xs: F.when(F.size(xs) > 0, blocks(xs)).otherwise(none))
+
+
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """Spans of a rule's leftmost non-overlapping matches that don't fail."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.pattern, -1)
+    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), group.alias("group")), lambda x: x["whole"].isNotNull())
+    sizes = F.transform(
+        zipped,
+        lambda x: F.struct((F.length(x["gap"]) + F.length(x["whole"])).alias("all"), F.length(x["whole"]).alias("whole"), (F.length(x["group"]) >= rule.least).alias("kept")),
+    )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        kept = F.when(F.length(x["group"]) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+    def placed(found: Column) -> Column:
+        ends = running(F.transform(found, lambda x: x["all"]), 0, lambda a, x: a + x)
+        spans = F.zip_with(found, ends, lambda x, end: F.struct((end - x["whole"]).alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["kept"].alias("kept")))
+        return F.transform(F.filter(spans, lambda x: x["kept"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), group.alias("group"))
-    found = F.aggregate(F.filter(zipped, lambda x: x["whole"].isNotNull()), start, step, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), let(sizes, placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with ``found``: array of (start, kind, end), by start, then kind (its rule's number)."""
-    docs = docs.drop(*ADDED)
+    docs = docs.drop(*ADDED, *[x for x in docs.columns if x.startswith(OWN)])
     grams, terms, full = _vocabulary(rules)
     keyed = docs.select("*", *text_key(F.col(text_col)))
     if terms:
         # Written out, so that the join reads plain rows on both sides and Spark may split a busy key.
         hits = spool(candidates(trigram_index(docs, text_col, grams), grams, terms), "secret-candidates")
-        keyed = keyed.join(hits, ["_k1", "_k2"], "left")
+        keyed = keyed.join(hits, list(KEYS), "left")
     else:
-        keyed = keyed.withColumn("_rules", F.lit(None).cast("array<int>"))
+        keyed = keyed.withColumn(f"{OWN}rules", F.lit(None).cast("array<int>"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(f"array<{SPAN}>")
     spans = [
-        rule_spans(text, r, i) if i in full else F.when(F.array_contains("_rules", i), rule_spans(text, r, i)).otherwise(none)
+        rule_spans(text, r, i) if i in full else F.when(F.array_contains(f"{OWN}rules", i), rule_spans(text, r, i)).otherwise(none)
         for i, r in enumerate(rules)
     ]
     return keyed.select(*docs.columns, F.array_sort(F.flatten(F.array(*spans))).alias("found"))
@@ -267,20 +373,31 @@ def base_only(found: Column, rules: Sequence[Rule] = RULES) -> Column:
 
 
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Put ``mark`` in place of each stretch that spans cover; overlapping spans are one stretch."""
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return (
-            F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), fresh.alias("out")))
-            .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-        )
+    """Put ``mark`` in place of each stretch that spans cover; overlapping spans are one stretch.
+
+    What stands before each stretch is cut from the text in blocks of pieces, then joined once."""
+    text, found = F.col(text_col), F.col("found")
+
+    def clean(ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        pieces = F.transform(found, lambda s, i: F.struct(before(i).alias("at"), s["start"].alias("to")))
+        fresh = F.filter(pieces, lambda x: x["to"] >= x["at"])
+        rest = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
+        return F.concat(let(fresh, joined), rest)
+
+    def joined(pieces: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda i: F.slice(pieces, i * BLOCK + 1, BLOCK))
+
+        def of_block(part: Column) -> Column:
+            base = F.get(part, F.lit(0))["at"]
+            stretch = F.substring(text, base + 1, F.element_at(part, -1)["to"] - base)
+            cut = lambda t: F.transform(part, lambda x: F.concat(F.substring(t, x["at"] - base + 1, x["to"] - x["at"]), F.lit(mark)))
+            return F.array_join(let(stretch, cut), "")
+
+        return F.array_join(F.transform(blocks, of_block), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.aggregate("found", start, step, rest)
-    return scanned.withColumn(text_col, F.when(F.size("found") > 0, clean).otherwise(text)).drop("found")
+    ends = running(F.transform(found, lambda s: s["end"]), 0, lambda a, x: F.greatest(a, x))
+    return scanned.withColumn(text_col, F.when(F.size(found) > 0, let(ends, clean)).otherwise(text)).drop("found")
 
 
 def oracle(rules: Sequence[Rule] = RULES) -> str:

@@ -6,11 +6,13 @@ counts only at boundaries: the characters beside it are no letters or digits (th
 by punctuation). One strict term rejects, and so do ``soft_limit`` distinct soft terms.
 
 Host rules are DataFrame expressions. The automaton runs in an Arrow-batched function on the urls that
-no rule decides; its size is that of the vocabulary. Distinct urls aren't gathered: no shuffle at all.
+no rule decides; its size is that of the vocabulary, which ``vocabulary`` reads from a table of terms and
+weights: a term of weight 1 or more is strict, a lighter one soft. Distinct urls aren't gathered: no shuffle at all.
 
 Defined results: a null url, or one without ://, has empty host and path, and a null url is allowed;
-repeated rows are judged each; an empty table gives an empty table; columns of ``pages`` named like an
-added one are replaced.
+repeated rows are judged each; a url of any length is scanned whole, once; of two rules of one length that fit, the
+greater (host, path) decides; an empty table gives an empty table; columns of ``pages`` named like an added one are
+replaced, and those whose names start with ``_uf_`` are left out.
 """
 
 from __future__ import annotations
@@ -43,6 +45,17 @@ SOFT_LIMIT = 2
 ADDED = ("host", "path", "rule", "verdict")
 
 
+MOST_TERMS = 1_000_000  # of a vocabulary: the automaton is built in every task
+
+
+def vocabulary(terms: DataFrame, term_col: str = "term", weight_col: str = "weight") -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) terms of a table, lower-cased; null terms and weights of 0 or less are none. At most ``MOST_TERMS``."""
+    rows = terms.where(F.length(term_col) > 0).groupBy(F.lower(term_col).alias("t")).agg(F.max(weight_col).alias("w")).where("w > 0").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a vocabulary has at most {MOST_TERMS} terms")
+    return tuple(sorted(r["t"] for r in rows if r["w"] >= 1)), tuple(sorted(r["t"] for r in rows if r["w"] < 1))
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty if null or without ://."""
     after = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -103,14 +116,16 @@ def judge(
 ) -> DataFrame:
     """``pages`` with host, path, rule (null if none fits) and verdict (allow or block)."""
     url = F.col(url_col)
-    ruled = pages.drop(*ADDED).withColumns({"host": host_of(url), "path": path_of(url)})
-    ruled = ruled.withColumn("_r", host_rule(F.col("host"), F.col("path"), rules))
-    undecided = F.when(F.col("_r").isNull(), url)
-    hits = ruled.withColumn("_h", term_hits(undecided, strict, soft))
-    bad = (F.col("_h.strict") >= 1) | (F.col("_h.soft") >= soft_limit)
-    return hits.withColumns(
-        {"rule": F.col("_r.rule"), "verdict": F.coalesce(F.col("_r.verdict"), F.when(bad, "block").otherwise("allow"))}
-    ).drop("_r", "_h")
+    pages = pages.drop(*[c for c in (*ADDED, *pages.columns) if c != url_col and (c in ADDED or c.startswith("_uf_"))])
+    ruled = pages.withColumns({"_uf_host": host_of(url), "_uf_path": path_of(url)})
+    ruled = ruled.withColumn("_uf_rule", host_rule(F.col("_uf_host"), F.col("_uf_path"), rules))
+    undecided = F.when(F.col("_uf_rule").isNull(), url)
+    hits = ruled.withColumn("_uf_hits", term_hits(undecided, strict, soft))
+    bad = (F.col("_uf_hits.strict") >= 1) | (F.col("_uf_hits.soft") >= soft_limit)
+    verdict = F.coalesce(F.col("_uf_rule.verdict"), F.when(bad, "block").otherwise("allow"))
+    return hits.select(
+        *pages.columns, F.col("_uf_host").alias("host"), F.col("_uf_path").alias("path"), F.col("_uf_rule.rule").alias("rule"), verdict.alias("verdict")
+    )
 
 
 def oracle() -> str:

@@ -56,6 +56,8 @@ def test_caps_nulls_and_code_points(spark):
     assert mixing.mix(docs).columns == ["doc_id", "text", "source", "draw", "whole", "size", "source_size", "target", "copies", "taken"]
     check(mixing.mix(docs).collect(), {i: s for i, _, s in rows})
     out = mixing.emit(mixing.mix(docs), ["doc_id", "source"])
+    named = docs.withColumnRenamed("draw", "_copy").withColumnRenamed("whole", "_mx_copy")
+    assert mixing.emit(mixing.mix(named), named.columns).columns == ["doc_id", "text", "source", "taken", "_copy"]
     assert out.count() == sum(r.copies for r in mixing.mix(docs).collect())
     assert mixing.mix(docs.limit(0)).count() == 0
 

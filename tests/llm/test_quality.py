@@ -42,3 +42,12 @@ def test_junk_domain_goes_clean_stay(spark):
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i] for i in range(400))
     assert not got[2000] and not got[2001] and not got[1000]
+
+
+def test_working_names_and_long_texts(spark):
+    rows = [(i, t, "s", 1, 2, 3) for i, t in enumerate(NASTY)] + [(50, "long words " * 60000 + "end", "s", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _w int, _domain int, _qr_w int")
+    got = quality.judge(docs)
+    assert "_w" in got.columns and "_domain" in got.columns and "_qr_w" not in got.columns
+    for r in got.collect():
+        assert r._w == 1 and r._domain == 2 and tuple(r[c] for c in (*quality.COUNTS, "base_failed")) == brute(r.text)

@@ -38,3 +38,13 @@ def test_query_matches_brute_force(spark, middle):
     got = {r.page_id: tuple(r[1:]) for r in queries.op9_urls(spark, middle).collect()}
     pages = spark.read.parquet(f"{middle}/pages.parquet").select("page_id", "url").collect()
     assert got == {i: brute(u) for i, u in pages}
+
+
+def test_working_names_a_vocabulary_table_and_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://x.com/" + "free-" * 50000, 5, 6, 7), (2, "http://x.com/darn", 5, 6, 7), (3, "http://x.com/free/bonus", 5, 6, 7)], "page_id long, url string, _r int, _h int, _uf_host int")
+    terms = spark.createDataFrame([("Darn", 2.0), ("free", 0.5), ("bonus", 0.5), ("old", 0.0), (None, 1.0)], "term string, weight double")
+    strict, soft = urls.vocabulary(terms)
+    assert (strict, soft) == (("darn",), ("bonus", "free"))
+    got = urls.judge(pages, strict=strict, soft=soft)
+    assert got.columns == ["page_id", "url", "_r", "_h", "host", "path", "rule", "verdict"]
+    assert {r.page_id: (r._r, r._h, r.verdict) for r in got.collect()} == {1: (5, 6, "allow"), 2: (5, 6, "block"), 3: (5, 6, "block")}
