@@ -1,41 +1,45 @@
-"""Walks along version chains, as recursive queries or in written rounds."""
+"""Walks along version chains, in written rounds of doubling length."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.session import spool
 
 
-def walk(edges: DataFrame, starts: DataFrame, max_steps: int = 40, src: str = "src", dst: str = "dst") -> DataFrame:
+def walk(edges: DataFrame, starts: DataFrame, max_steps: int | None = 40, src: str = "src", dst: str = "dst") -> DataFrame:
     """start, node, depth (from 0) along one edge a node; a walk ends at a node without an edge, at one it
-    has been at, or after ``max_steps`` nodes."""
-    spark = edges.sparkSession
-    edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).createOrReplaceTempView("_walk_edges")
-    starts.select(F.col(starts.columns[0]).alias("node")).createOrReplaceTempView("_walk_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(start, node, depth, seen) AS (
-            SELECT node, node, 0, array(node) FROM _walk_starts
-            UNION ALL
-            SELECT c.start, e.dst, c.depth + 1, array_append(c.seen, e.dst)
-            FROM chain c JOIN _walk_edges e ON c.node = e.src
-            WHERE c.depth + 1 < {int(max_steps)} AND NOT array_contains(c.seen, e.dst))
-        SELECT start, node, depth FROM chain""")
+    has been at, or after ``max_steps`` nodes (None: never).
+
+    Rounds double: what is known to depth n is joined with jumps of n edges, and the jumps with themselves, so a chain of n
+    nodes takes log2(n) rounds, and no round holds a path. A node that is met again is further on the second time, so the
+    least depth of each (start, node) is the walk. Of several edges of a node the least target counts; a null start or
+    target is none; starts that repeat are one.
+    """
+    jumps = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
+    jumps = spool(jumps.groupBy("src").agg(F.min("dst").alias("dst")), "walk-jumps")
+    at = starts.select(F.col(starts.columns[0]).alias("start")).where("start is not null").distinct()
+    at = spool(at.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "walk-0")
+    known, length = at.count(), 1
+    while known and (max_steps is None or length < max_steps):
+        on = at.join(jumps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("depth") + length).alias("depth"))
+        if max_steps is not None:
+            on = on.where(F.col("depth") < max_steps)
+        at = spool(at.unionByName(on).groupBy("start", "node").agg(F.min("depth").alias("depth")), f"walk-{length}")
+        before, known = known, at.count()
+        if known == before:
+            break
+        length *= 2
+        if max_steps is None or length < max_steps:
+            onward = jumps.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+            jumps = spool(jumps.join(onward, "dst").select("src", F.col("end").alias("dst")), f"walk-jumps-{length}")
+    return at
 
 
 def walk_whole(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """As ``walk``, to the end of every chain: a join and a written round a step, for any number of starts and steps."""
-    steps = spool(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")), "walk-edges")
-    at = spool(starts.select(F.col(starts.columns[0]).alias("node")).select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.array("node").alias("seen")), "walk-0")
-    rounds = []
-    while not at.isEmpty():
-        rounds.append(at.select("start", "node", "depth"))
-        on = at.join(steps, at["node"] == steps["src"]).where(~F.array_contains("seen", F.col("dst")))
-        at = spool(on.select("start", F.col("dst").alias("node"), F.col("depth") + 1, F.array_append("seen", F.col("dst"))).toDF("start", "node", "depth", "seen"), f"walk-{len(rounds)}")
-    return reduce(DataFrame.unionByName, rounds or [at.select("start", "node", "depth")])
+    """As ``walk``, to the end of every chain."""
+    return walk(edges, starts, None, src, dst)
 
 
 def next_version(relations: DataFrame, names: DataFrame) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from palimpsest.functions.text import fingerprint, words
+from palimpsest.functions.text import fingerprint, match_text, words
 from palimpsest.operators.ordering import first_wins
+from palimpsest.session import spool
 
 MATCH_THRESHOLD = 0.9
 RUN_WORDS = 8
+NAME_CHARS = 4096  # of a file's name, more than file systems allow
 
 
 @F.pandas_udf(DoubleType())
@@ -53,20 +55,27 @@ def best_match(wanted: DataFrame, proposed: DataFrame, block: Sequence[str], *,
 
 
 def shingles(df: DataFrame, key: str, text: str, n: int = RUN_WORDS) -> DataFrame:
-    """key, shingle: distinct runs of n words, as hashes of 64 bits twice."""
-    w = df.select(key, words(text).alias("_w")).where(F.size("_w") >= n)
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
-    return w.select(key, F.explode(F.array_distinct(runs)).alias("shingle"))
+    """key, h1, h2: distinct runs of n words, as two hashes of 64 bits of their words' hashes."""
+    hashed = F.transform(words(text), lambda w: F.xxhash64(w))
+    w = df.select(key, hashed.alias("_h")).where(F.size("_h") >= n)
+
+    def run(i: Column) -> Column:
+        parts = [F.get("_h", i + k) for k in range(n)]
+        return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(n), *reversed(parts)).alias("h2"))
+
+    runs = F.transform(F.sequence(F.lit(0), F.size("_h") - n), run)
+    return w.select(key, F.explode(F.array_distinct(runs)).alias("run")).select(key, "run.h1", "run.h2")
 
 
 def shared_runs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text", n: int = RUN_WORDS) -> DataFrame:
     """Pairs that share a run of n words or more: left_id, right_id, shared (distinct runs of n).
 
-    A run of n or more is the same as a common shingle of n, so this is an equi-join. Of a shingle that is
-    common on one side all pairs are wanted; ``right`` is meant to be the smaller side.
+    A run of n or more is the same as a common shingle of n, so this is an equi-join. ``right`` is meant to be the
+    smaller side: its runs are written, so that Spark knows their size and, while they are small, sends them to ``left``
+    rather than shuffling all of ``left``'s. Of a run that is common on one side all pairs are wanted.
     """
-    a, b = shingles(left, left_id, text, n), shingles(right, right_id, text, n)
-    return a.join(b, "shingle").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+    runs = spool(shingles(right, right_id, text, n), "runs")
+    return shingles(left, left_id, text, n).join(runs, ["h1", "h2"]).groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
 
 
 def confirmation(change_text: Column, note_text: Column, section: Column, run_words: int = RUN_WORDS) -> Column:
@@ -91,11 +100,13 @@ def confirmation(change_text: Column, note_text: Column, section: Column, run_wo
 
 
 def token_search(haystack: Column, query: str) -> Column:
-    """All tokens of a query occur; an empty query fits everything."""
-    tokens = query.lower().split()
+    """All tokens of a query occur, accents and case apart; an empty query fits everything."""
+    import unicodedata
+
+    plain = "".join(ch for ch in unicodedata.normalize("NFKD", query) if not unicodedata.combining(ch)).lower()
     out = F.lit(True)
-    for t in tokens:
-        out = out & F.contains(F.lower(haystack), F.lit(t))
+    for t in plain.split():
+        out = out & F.contains(match_text(haystack), F.lit(t))
     return out
 
 
@@ -128,15 +139,26 @@ def catalog_search(sections: DataFrame, parsed: dict, *, id_col: str = "source_i
     return out
 
 
-def contains_join(rows: DataFrame, files: DataFrame, row_id: str, needles: Sequence[str], name: str) -> DataFrame:
-    """For each row the first file whose name contains a needle, needles tried in order, files by name.
+def contains_join(rows: DataFrame, files: DataFrame, row_id: str, needles: Sequence[str | Column], name: str) -> DataFrame:
+    """For each row the first file, by name, whose name holds one of its needles anywhere, upper and lower case alike.
 
-    Names are cut into words once and met by equality where a needle is one word; this join is for
-    catalogs, whose ``files`` side is a listing.
+    An equi-join: a file's name gives all its stretches of the lengths that needles have. Names are of a few hundred
+    characters, so both the lengths (collected, one number each) and a name's stretches are bounded. Null and empty
+    needles are none; of rows with one id any needle counts.
     """
-    tried = rows.select(row_id, F.posexplode(F.array(*[F.lower(n) for n in needles])).alias("_try", "_needle")).where("_needle <> ''")
-    parts = files.select(name, F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace(name, r"\.[^.]*\z", "")), "[^\\p{L}\\p{N}]+"))).alias("_needle"))
-    return first_wins(tried.join(parts, "_needle"), [row_id], "_try", name).select(row_id, name)
+    as_column = lambda n: F.col(n) if isinstance(n, str) else n
+    tried = rows.select(row_id, F.explode(F.array(*[F.lower(as_column(n)) for n in needles])).alias("_needle"))
+    tried = tried.where((F.length("_needle") > 0) & (F.length("_needle") <= NAME_CHARS)).distinct()
+    lengths = [r["n"] for r in tried.select(F.length("_needle").alias("n")).distinct().collect()]
+    if not lengths:
+        return tried.select(row_id, F.lit(None).cast("string").alias(name)).limit(0)
+    low = F.left(F.lower(name), F.lit(NAME_CHARS))
+    stretches = [
+        F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        for n in sorted(lengths)
+    ]
+    parts = files.select(name, F.explode(F.array_distinct(F.flatten(F.array(*stretches)))).alias("_needle"))
+    return tried.join(parts, "_needle").groupBy(row_id).agg(F.min(name).alias(name))
 
 
 def coverage(wanted: DataFrame, touched: DataFrame, key: str) -> DataFrame:

@@ -8,9 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import spool
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:
     """The first row of each key. A least-row aggregate, combined before the shuffle, where Spark can order
@@ -44,12 +48,16 @@ def checked(query: str, k: int, stores: Sequence[str], max_chars: int = 4000, ma
 
 
 def merged_stores(stores: Sequence[str], load: Callable[[str], DataFrame]) -> DataFrame:
-    """Hits of all stores that answer; a store that fails is left out, all failing is an error."""
+    """Hits of all stores that answer; a store that fails is left out, all failing is an error.
+
+    A store may fail when it is read rather than named, so its hits are written once, here; what they are asked for is
+    meant to be hits, not the store. Failures are Spark's own and the network's; a programming error is none.
+    """
     found = []
     for k, store in enumerate(stores):
         try:
-            found.append(load(store).withColumn("store_ord", F.lit(k)))
-        except Exception:  # noqa: BLE001 - any store may be away
+            found.append(spool(load(store).withColumn("store_ord", F.lit(k)), f"hits-{k}"))
+        except (PySparkException, Py4JJavaError, OSError):
             continue
     if not found:
         raise RuntimeError("no store answered")
@@ -110,11 +118,29 @@ def transcript(messages: DataFrame, key: str, order: str, role: str, text: str)
     return said.groupBy(key).agg(joined.alias("transcript"), F.count("*").alias("messages"))
 
 
-def remaining_steps(versions: DataFrame, order: str) -> DataFrame:
-    """How many versions are left from each on, at least one."""
-    w = Window.orderBy(order)
-    n = F.count("*").over(Window.partitionBy())
-    return versions.withColumn("remaining", F.greatest(F.lit(1), n - F.row_number().over(w) + 1))
+def numbered(df: DataFrame, order: str, out: str, key: Sequence[str] = ()) -> DataFrame:
+    """``df`` with a long ``out``: each row's place by ``order``, from 1, within its key or, without one, in the table.
+
+    A table is numbered without gathering it: rows are dealt to ranges of ``order``, written, numbered in their range, and
+    what the ranges before hold is added. Rows equal in ``order`` share a range and are numbered in any order.
+    """
+    if key:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(order)).cast("long"))
+    ranged = spool(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn("_place", place).join(starts, "_range").withColumn(out, F.col("_start") + F.col("_place")).drop("_range", "_start", "_place")
+
+
+def remaining_steps(versions: DataFrame, order: str, key: Sequence[str] = ()) -> DataFrame:
+    """How many versions are left from each on, at least one; of each ``key`` apart, if there is one."""
+    placed = numbered(versions, order, "_at", key)
+    if key:
+        n = F.count("*").over(Window.partitionBy(*key))
+    else:
+        n = F.lit(versions.count())
+    return placed.withColumn("remaining", F.greatest(F.lit(1), n - F.col("_at") + 1).cast("int")).drop("_at")
 
 
 def by_priority(df: DataFrame, key: str, ranks: dict[str, int], default: int = 999) -> DataFrame:
@@ -127,9 +153,8 @@ def by_priority(df: DataFrame, key: str, ranks: dict[str, int], default: int = 9
 
 def numbered_pool(slots: DataFrame, pool: DataFrame, slot_order: str, pool_order: str) -> DataFrame:
     """The i-th slot with the i-th item of a pool; slots beyond the pool have none."""
-    a = slots.withColumn("_i", F.row_number().over(Window.orderBy(slot_order)))
-    b = pool.withColumn("_i", F.row_number().over(Window.orderBy(pool_order))).drop(pool_order)
-    return a.join(b, "_i", "left").drop("_i")
+    items = numbered(pool, pool_order, "_i").drop(pool_order)
+    return numbered(slots, slot_order, "_i").join(items, "_i", "left").drop("_i")
 
 
 def forward_fill(df: DataFrame, value: str, key: Sequence[str], order: str) -> DataFrame:

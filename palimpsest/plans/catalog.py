@@ -19,11 +19,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def registered(sql: str | None = None) -> Callable[[Query], Query]:
+def registered(sql: str | None = None, *other_names: str) -> Callable[[Query], Query]:
+    """Registers a query under its own name and those by which it was known before."""
+
     def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
-        if sql is not None:
-            ORACLES[query.__name__] = sql
+        for name in (query.__name__, *other_names):
+            QUERIES[name] = query
+            if sql is not None:
+                ORACLES[name] = sql
         return query
 
     return add
@@ -169,7 +172,8 @@ def masked_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-    select doc_id from documents where contains(lower(text), 'the') and contains(lower(text), 'ing') and contains(lower(text), 'st')""")
+    with d as (select doc_id, lower(strip_accents(text)) as t from documents)
+    select doc_id from d where contains(t, 'the') and contains(t, 'ing') and contains(t, 'st')""")
 def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(matching.token_search(F.col("text"), "THE ing st")).select("doc_id")
 
@@ -217,21 +221,16 @@ def latest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.latest_wins(events, ["user_id"], "ts")
 
 
-@registered("""
-    with o as (select user_id, arg_max(event_type, ts) as event_type, arg_max(value, ts) as value from events where event_id % 3 = 0 group by 1),
-    n as (select user_id, arg_max(event_type, ts) as event_type, arg_max(value, ts) as value from events where event_id % 3 = 1 and user_id % 2 = 0 group by 1)
+_UPSERT = """
+    with o as (select user_id, arg_max(event_type, ts) as event_type, arg_max(value, ts) as value from events where event_id % 2 = 0 group by 1),
+    n as (select user_id, arg_max(event_type, ts) as event_type, arg_max(value, ts) as value from events where event_id % 2 <> 0 group by 1)
     select coalesce(o.user_id, n.user_id) as user_id, coalesce(o.event_type, n.event_type) as event_type, case when n.user_id is not null then n.value else o.value end as value
-    from o full join n on o.user_id = n.user_id""")
-def log_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New records replace old ones; the first type is kept."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
-    last = lambda df: ordering.latest_wins(df, ["user_id"], "ts").select("user_id", "event_type", "value")
-    return stores.upsert(last(events.where("event_id % 3 = 0")), last(events.where("event_id % 3 = 1 and user_id % 2 = 0")), ["user_id"], ["event_type"])
+    from o full join n on o.user_id = n.user_id"""
 
 
-@registered()
-def log_upsert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``log_upsert``, with every event in one of the two stores: even ids in the old one, the others in the new."""
+@registered(_UPSERT, "log_upsert_whole")
+def log_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New records replace old ones; the first type is kept. Events of even ids are the old store's, the others the new one's."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
     last = lambda df: ordering.latest_wins(df, ["user_id"], "ts").select("user_id", "event_type", "value")
     return stores.upsert(last(events.where("event_id % 2 = 0")), last(events.where("event_id % 2 <> 0")), ["user_id"], ["event_type"])
@@ -305,19 +304,10 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""
     with d as (select o_custkey, o_orderdate as day, sum(cast(o_totalprice as decimal(18, 2))) as total from orders group by 1, 2),
-    q as (select distinct o_custkey, o_orderdate + interval 45 day as at from orders where o_orderkey % 3 = 0)
-    select q.o_custkey, q.at, d.day, d.total::double as total from q asof left join d on q.o_custkey = d.o_custkey and q.at >= d.day""")
+    q as (select distinct o_custkey, o_orderdate + interval 45 day as at from orders)
+    select q.o_custkey, q.at, d.day, d.total::double as total from q asof left join d on q.o_custkey = d.o_custkey and q.at >= d.day""", "valid_as_of_whole")
 def valid_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customer's last day of orders as of a date."""
-    orders = table(spark, sf_dir, "orders")
-    days = orders.groupBy("o_custkey", F.col("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
-    asked = orders.where("o_orderkey % 3 = 0").select("o_custkey", (F.col("o_orderdate") + F.expr("interval 45 days")).alias("at")).distinct()
-    return stores.valid_as_of(days, asked, "o_custkey", "at", "day").select("o_custkey", "at", "day", F.col("total").cast("double").alias("total"))
-
-
-@registered()
-def valid_as_of_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``valid_as_of``, asked for every order."""
+    """The customer's last day of orders 45 days after each order."""
     orders = table(spark, sf_dir, "orders")
     days = orders.groupBy("o_custkey", F.col("o_orderdate").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
     asked = orders.select("o_custkey", (F.col("o_orderdate") + F.expr("interval 45 days")).alias("at")).distinct()
@@ -333,31 +323,31 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graphs and triples ---------------------------------------------------------------------------
 
-_PREVIOUS = """prev as (select o_custkey, o_orderkey as src, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as dst from orders),
-    last as (select o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as node from orders where o_custkey % 10 = 0 group by 1)"""
+_CHAINS = """
+    with recursive prev as (select o_custkey, o_orderkey as src, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as dst from orders),
+    last as (select o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as node from orders group by 1),
+    chain(start, node, depth) as (select node, node, 0 from last union all select c.start, p.dst, c.depth + 1 from chain c join prev p on c.node = p.src where p.dst is not null and {bound})
+    select start, node, depth::int as depth from chain"""
 
 
-@registered(f"""
-    with recursive {_PREVIOUS},
-    chain(start, node, depth) as (select node, node, 0 from last union all select c.start, p.dst, c.depth + 1 from chain c join prev p on c.node = p.src where p.dst is not null and c.depth + 1 < 8)
-    select start, node, depth::int as depth from chain""")
-def chain_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's orders from the last back, eight at most; customers of every tenth key start."""
+def order_chains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each customer's orders point to the one before; each customer's last order is a start."""
     orders = table(spark, sf_dir, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     edges = orders.select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(w).alias("dst")).where("dst is not null")
-    starts = orders.where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node")).select("node")
-    return graph.walk(edges, starts, 8)
+    return edges, orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node")).select("node")
 
 
-@registered()
+@registered(_CHAINS.format(bound="c.depth + 1 < 40"))
+def chain_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders from the last back, forty at most."""
+    return graph.walk(*order_chains(spark, sf_dir))
+
+
+@registered(_CHAINS.format(bound="true"))
 def chain_walk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's orders from the last back to the first."""
-    orders = table(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    edges = orders.select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(w).alias("dst")).where("dst is not null")
-    starts = orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node")).select("node")
-    return graph.walk_whole(edges, starts)
+    return graph.walk_whole(*order_chains(spark, sf_dir))
 
 
 @registered("""
