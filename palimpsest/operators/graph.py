@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import spool
+from palimpsest.session import discard, spool, spooled
 
 
 def walk(edges: DataFrame, starts: DataFrame, max_steps: int | None = 40, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -20,13 +20,15 @@ def walk(edges: DataFrame, starts: DataFrame, max_steps: int | None = 40, src: s
     jumps = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null")
     jumps = spool(jumps.groupBy("src").agg(F.min("dst").alias("dst")), "walk-jumps")
     at = starts.select(F.col(starts.columns[0]).alias("start")).where("start is not null").distinct()
-    at = spool(at.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "walk-0")
+    at, path = spooled(at.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "walk-0")
     known, length = at.count(), 1
     while known and (max_steps is None or length < max_steps):
         on = at.join(jumps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("depth") + length).alias("depth"))
         if max_steps is not None:
             on = on.where(F.col("depth") < max_steps)
-        at = spool(at.unionByName(on).groupBy("start", "node").agg(F.min("depth").alias("depth")), f"walk-{length}")
+        past = path
+        at, path = spooled(at.unionByName(on).groupBy("start", "node").agg(F.min("depth").alias("depth")), f"walk-{length}")
+        discard(edges.sparkSession, past)
         before, known = known, at.count()
         if known == before:
             break

@@ -153,11 +153,12 @@ def contains_join(rows: DataFrame, files: DataFrame, row_id: str, needles: Seque
     if not lengths:
         return tried.select(row_id, F.lit(None).cast("string").alias(name)).limit(0)
     low = F.left(F.lower(name), F.lit(NAME_CHARS))
-    stretches = [
-        F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in sorted(lengths)
-    ]
-    parts = files.select(name, F.explode(F.array_distinct(F.flatten(F.array(*stretches)))).alias("_needle"))
+
+    def stretches(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1)))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    parts = files.select(name, F.explode(F.array_distinct(F.flatten(F.array(*[stretches(n) for n in sorted(lengths)])))).alias("_needle"))
     return tried.join(parts, "_needle").groupBy(row_id).agg(F.min(name).alias(name))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import numbers, refs, text
 from palimpsest.operators import graph, matching, ordering, stores
-from palimpsest.plans import history, replay, retrieval, rules
+from palimpsest.plans import history, inventory, replay, retrieval, rules
 from palimpsest.session import table
 from palimpsest.sources import lawxml, web
 from palimpsest.streaming.stores import windowed_counts
@@ -535,3 +535,105 @@ def replayed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     applied = results.where("status = 'applied'").groupBy("paragraph_id").agg(F.count("*").alias("applied"))
     digest = F.md5(F.array_join("sentences", " ").cast("binary"))
     return texts.join(applied, "paragraph_id").select(F.col("paragraph_id").cast("long").alias("o_custkey"), "applied", digest.alias("digest"))
+
+
+# --- catalogs of files, versions, profiles --------------------------------------------------------
+
+
+def _law_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part: an article, a protocol or another section of a convention, by its key."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, F.format_string("artikel %d (%s)", k % 40, F.col("p_type"))).when(k % 3 == 1, F.lit("Protokol")).otherwise(F.concat(F.lit("Bilag "), "p_brand"))
+    name = F.format_string("%d DBO %s %d.pdf", k, kind, 1950 + k % 60)
+    folder = F.when(k % 5 == 0, "norden").when(k % 5 == 1, "Danmark og Tyskland").when(k % 5 == 2, "Sverige").otherwise("andre")
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), folder.alias("folder"), F.lit("").alias("head"))
+
+
+_FILES = """
+    with f as (select p_partkey as k, p_partkey % 5 as fold, p_partkey % 3 as kind, p_partkey % 40 as number, 'v' || (1950 + p_partkey % 60) as version,
+                      p_type, p_brand, p_partkey::varchar as said from part),
+    j as (select *, case fold when 0 then 'norden' when 1 then 'dk-de' when 2 then 'se' else 'dk' end as jurisdiction from f)"""
+
+
+@registered(f"""{_FILES}
+    select k as p_partkey, jurisdiction, version, case kind when 0 then 'article' when 1 then 'protocol' else 'document' end as kind, case kind when 0 then number end::int as number,
+           case kind when 0 then jurisdiction || '_dbo_art' || lpad(number::varchar, 2, '0') || '_' || version when 1 then jurisdiction || '_dbo_protokol_' || version
+                     else jurisdiction || '_dbo_' || said || '_dbo_bilag_' || replace(lower(p_brand), '#', '_') || '_' || substr(version, 2) || '_' || version end as source_id,
+           case when jurisdiction = 'norden' then 9 when jurisdiction = 'dk-de' then 6 else 3 end + case kind when 0 then 2 when 1 then 1 else 0 end as aliases from j""")
+def law_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the names and folders of law files say of them."""
+    rows = inventory.file_rows(_law_files(spark, sf_dir), title="Overenskomst")
+    return rows.select("p_partkey", "jurisdiction", "version", "section.kind", "section.number", "source_id", F.size("aliases").alias("aliases"))
+
+
+@registered("""
+    with s as (select *, case p_partkey % 3 when 0 then 'article' when 1 then 'protocol' else 'other' end as kind, case when p_partkey % 7 = 0 then 'x' else (p_partkey % 40)::varchar end as number from part),
+    o as (select p_brand, p_partkey, row_number() over (partition by p_brand order by case kind when 'article' then 0 when 'protocol' then 1 else 2 end,
+             case when kind = 'article' then coalesce(try_cast(number as int), 9999) else 0 end, case when kind = 'article' and try_cast(number as int) is not null then '' else p_name end, p_partkey) as place from s)
+    select p_brand, string_agg(p_partkey::varchar, ',' order by place) as sections from o group by 1""")
+def nested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's parts as a catalog's sections, in their order."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "article").when(k % 3 == 1, "protocol").otherwise("other")
+    number = F.when(k % 7 == 0, "x").otherwise((k % 40).cast("string"))
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", kind.alias("kind"), number.alias("number"))
+    found = inventory.nested(rows, "p_brand", "p_partkey", "kind", "number", "p_name")
+    return found.select("p_brand", F.array_join(F.transform("sections", lambda x: x["id"].cast("string")), ",").alias("sections"))
+
+
+@registered("""
+    select o_orderkey, row_number() over (partition by o_custkey order by (o_orderstatus = 'O') desc, o_orderdate::varchar || o_orderkey desc)::int as rank from orders""")
+def ranked_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as versions: open ones first, then the newest."""
+    rows = table(spark, sf_dir, "orders").withColumn("version", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.col("o_orderkey").cast("string")))
+    return inventory.ranked(rows, "o_custkey", "version", "o_orderstatus", "O").select("o_orderkey", "rank")
+
+
+@registered("""
+    with f as (select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as nxt, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as i,
+                      count(*) over (partition by o_custkey) as n, last_value(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following) as newest from orders)
+    select o_orderkey as start, newest, (n - 1)::int as skipped,
+           case when n > 1 then 'Der er kommet ' || (n - 1) || ' nyere udgave' || case when n > 2 then 'r' else '' end || ' siden ' || o_orderkey || '. Bruger ' || newest || '.' else '' end as notice
+    from f where i = 1""")
+def version_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's first order as the version asked for, and what came after it."""
+    orders = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    edges = orders.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("dst")).where("dst is not null")
+    starts = orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node")).select("node")
+    names = orders.select(F.col("o_orderkey").alias("node"), F.col("o_orderstatus").alias("label"), F.col("o_orderdate").alias("date"))
+    return inventory.versions(graph.walk_whole(edges, starts), names).select("start", "newest", "skipped", "notice")
+
+
+@registered("""
+    with c as (select o_orderkey, case o_orderkey % 4 when 0 then 18 when 1 then 19 when 2 then 7 end as article, o_orderkey % 3 as days, case o_orderstatus when 'O' then 'private_foreign' when 'F' then 'public' else ' ' end as employer from orders)
+    select o_orderkey, case article when 18 then 'employment_article_18' when 19 then 'employment_article_19' else 'employment_generic' end as profile, coalesce(article, 0) <> 18 as needs_employer,
+           'KSL § 1, stk. 1, nr. 1|SSL § 4|' || case when article is null then 'DBO (ikke præciseret)' when article = 7 then 'DBO artikel 7, stk. 2' else 'DBO artikel ' || article end as sources,
+           case when article = 18 and days > 0 then 1 else 0 end as warnings, case when article = 19 and trim(employer) in ('', 'private_foreign') then 1 else 0 end as open_questions from c""")
+def article_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    article = F.when(k % 4 == 0, 18).when(k % 4 == 1, 19).when(k % 4 == 2, 7)
+    employer = F.when(F.col("o_orderstatus") == "O", "private_foreign").when(F.col("o_orderstatus") == "F", "public").otherwise(" ")
+    cases = table(spark, sf_dir, "orders").select(k.alias("case_id"), article.alias("article"), F.lit(2).alias("section"), (k % 3).alias("workdays"), employer.alias("employer_type"))
+    found = rules.profiles(cases)
+    labels = F.array_join(F.transform("sources", lambda x: x["label"]), "|")
+    return found.select(F.col("case_id").alias("o_orderkey"), "profile", "needs_employer", labels.alias("sources"), F.size("warnings").alias("warnings"), F.size("open_questions").alias("open_questions"))
+
+
+@registered("""
+    select conv_id, turn, regexp_matches(trim(role || '-' || conv_id), '^[a-zA-Z0-9_-]{8,80}$') as valid, 'svar nr. ' || turn as answer from conversations""")
+def checked_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session ids held against their form; answers without the list of their sources."""
+    said = F.format_string("\n svar nr. %d \n Anvendte kilder/love: \n- Kilde: x", F.col("turn"))
+    sid = inventory.valid_id(F.format_string(" %s-%s ", F.col("role"), F.col("conv_id").cast("string")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sid.isNotNull().alias("valid"), retrieval.without_sources_section(said).alias("answer"))
+
+
+@registered("""
+    select l_orderkey, l_linenumber from lineitem where l_returnflag in ('R', 'A') and l_linestatus in ('O', 'F') and l_returnflag || l_linestatus like 'R%'""")
+def inspected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items by construction, mark and free text."""
+    flag = F.col("l_returnflag")
+    names = F.when(flag == "R", F.array(F.lit("aendres_til"))).when(flag == "A", F.array(F.lit("ophaeves"), F.lit("omnummerering"))).otherwise(F.array(F.lit("udgaar")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", names.alias("constructions"), F.col("l_linestatus").alias("mark"), F.concat_ws(" ", flag, "l_linestatus").alias("text"))
+    return inventory.inspected(rows, ["aendres_til", "ophaeves"], ["O", "F"], r"r \w").select("l_orderkey", "l_linenumber")

@@ -109,6 +109,12 @@ def with_sources_section(answers: DataFrame, heading: str = "Anvendte kilder/lov
     return answers.withColumn("output_text", F.when(has, F.col("output_text")).otherwise(F.concat(strip("output_text"), F.lit(f"\n\n{heading}\n"), lines)))
 
 
+def without_sources_section(text: str | Column) -> Column:
+    """An answer up to the line that heads its sources, stripped."""
+    t = F.col(text) if isinstance(text, str) else text
+    return strip(F.get(F.split(t, r"(?iuU)\n\s*anvendte\s+kilder(?:/love)?\s*:?\s*\n", 2), F.lit(0)))
+
+
 def diagnose(answers: DataFrame, question: str) -> DataFrame:
     """num_results, score_min, score_max, missing (struct by kind), has_missing: what a question names and
     the retrieved material doesn't."""

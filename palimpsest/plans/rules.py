@@ -117,9 +117,69 @@ def article15(cases: DataFrame, workdays: DataFrame, case: str = "case_id") -> D
     return rows.select(case, "section", "work_country", "work_days", day.alias("day_test"), emp.alias("employer_test"), word(day).alias("day_result"), word(emp).alias("employer_result"))
 
 
+#: What each article's profile asks for and says. profile, day allocation, employer's character, sources as
+#: (label, reason), premises, conclusion.
+FULL_LIABILITY = (("KSL § 1, stk. 1, nr. 1", "Mulig fuld dansk skattepligt"), ("SSL § 4", "Globalindkomstprincip ved fuld skattepligt"))
+PROFILES = (
+    (
+        18, "employment_article_18", False, False, ("DBO artikel 18", "Valgt artikel for pension/tilsvarende ydelser"),
+        ("Det lægges til grund, at vurderingen sker efter DBO artikel 18.",),
+        "Foreløbig vurdering efter artikel 18 forudsætter yderligere afklaring af indkomsttype og kildedata.",
+    ),
+    (
+        19, "employment_article_19", False, True, ("DBO artikel 19", "Valgt artikel for offentligt hverv/ydelse"),
+        ("Det lægges til grund, at vurderingen sker efter DBO artikel 19.", "Arbejdsgivers offentlige/private karakter anses for central i vurderingen."),
+        "Foreløbig vurdering efter artikel 19 kræver afklaring af arbejdsgivers offentlige status.",
+    ),
+)
+GENERIC = "Der er ikke valgt en specialiseret artikelprofil; vurderingen er foreløbig."
+DAYS_UNUSED = "Arbejdsdage er oplyst, men artikel 18-profil bruger normalt ikke dagsbaseret allokering."
+EMPLOYER_OPEN = "For artikel 19 bør det afklares, om arbejdsgiver er offentlig myndighed/offentligt organ."
+PRIVATE_EMPLOYER = "private_foreign"
+#: Types of income by the first that a text names.
+INCOME_TYPES = ("løn", "pension", "kapital")
+
+
 def profile_of(article: Column) -> Column:
     """Which profile decides an article."""
-    return F.when(article == 15, "employment_article_15").when(article == 18, "pension_article_18").when(article == 19, "government_article_19").otherwise("generic")
+    out = F.when(article == 15, "employment_article_15")
+    for number, name, *_ in PROFILES:
+        out = out.when(article == number, name)
+    return out.otherwise("employment_generic")
+
+
+def profiles(cases: DataFrame) -> DataFrame:
+    """Cases (case_id, article, section, workdays: how many are given, employer_type) by the profiles other than article
+    15's: case_id, profile, needs_days, needs_employer, sources, premises, warnings, open_questions, conclusion. A profile is
+    a row of a table of fixed size; a case without one gets the generic profile, which names the article if there is one."""
+    rows = [(n, name, days, emp, [*FULL_LIABILITY, source], list(said), end) for n, name, days, emp, source, said, end in PROFILES]
+    fields = "_n int, profile string, needs_days boolean, needs_employer boolean, _sources array<struct<label:string,reason:string>>, premises array<string>, conclusion string"
+    known = F.broadcast(cases.sparkSession.createDataFrame(rows, fields))  # two rows
+    both = cases.where("article is null or article <> 15").join(known, F.col("article") == F.col("_n"), "left")
+    source = lambda a, b: F.struct(a.alias("label"), b.alias("reason"))
+    section = F.coalesce(F.concat(F.lit(", stk. "), F.col("section").cast("string")), F.lit(""))
+    named = F.coalesce(F.concat(F.lit("DBO artikel "), F.col("article").cast("string"), section), F.lit("DBO (ikke præciseret)"))
+    why = F.when(F.col("article").isNotNull(), "Valgt artikel til foreløbig subsumption").otherwise("Artikel skal afklares for sikker subsumption")
+    generic = F.array(*[source(F.lit(a), F.lit(b)) for a, b in FULL_LIABILITY], source(named, why))
+    only = lambda test, text: F.array_compact(F.array(F.when(test, text)))
+    employer = F.coalesce(F.trim("employer_type"), F.lit(""))
+    return both.select(
+        "case_id", profile_of(F.col("article")).alias("profile"), F.coalesce("needs_days", F.lit(False)).alias("needs_days"), F.coalesce("needs_employer", F.lit(True)).alias("needs_employer"),
+        F.coalesce("_sources", generic).alias("sources"), F.coalesce("premises", F.array().cast("array<string>")).alias("premises"),
+        only((F.col("article") == 18) & (F.col("workdays") > 0), DAYS_UNUSED).alias("warnings"),
+        only((F.col("article") == 19) & employer.isin("", PRIVATE_EMPLOYER), EMPLOYER_OPEN).alias("open_questions"),
+        F.coalesce("conclusion", F.lit(GENERIC)).alias("conclusion"),
+    )
+
+
+def income_type(text: str | Column) -> Column:
+    """The first type of income that a text names; empty if none."""
+    from palimpsest.functions.text import col
+
+    out = F.lit("")
+    for kind in reversed(INCOME_TYPES):
+        out = F.when(F.contains(F.lower(col(text)), F.lit(kind)), kind).otherwise(out)
+    return F.coalesce(out, F.lit(""))
 
 
 def article_of(text: str | Column) -> Column:

@@ -45,9 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/palimpsest-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}/{name}"
+    """A fresh path in the application's own folder, which ``sweep`` removes."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +60,22 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage so that several consumers neither recompute nor depend on an executor's disk.
     """
+    return spooled(df, name)[0]
+
+
+def spooled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``spool``, with the path, which ``discard`` removes once nothing reads it any more."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all that this application wrote to the shared folder; for when the queries' results have been read."""
+    discard(spark, _own_folder(spark))
