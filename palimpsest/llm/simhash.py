@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import spool
+from palimpsest.session import discard, spool, spooled
 
 BITS = 64
 SHINGLE = 5
@@ -218,7 +218,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     aggregate combined before the shuffle, and joined back to the edges, whose large groups Spark may
     split; no node's neighbours are gathered in one place.
     """
-    state = spool(edges.select("a", "b").where("a <> b"), "links")
+    state, path = spooled(edges.select("a", "b").where("a <> b"), "links")
     before = None
     for k in range(rounds):
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -229,7 +229,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = large.join(least, "a")
         small = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        state = spool(small, f"star-{k}")
+        past = path
+        state, path = spooled(small, f"star-{k}")
+        discard(edges.sparkSession, past)
         seen = state.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a", F.lit(1))).alias("y")).first()
         if seen == before or not seen["n"]:
             break
