@@ -15,6 +15,7 @@ from palimpsest.operators.ordering import first_wins
 from palimpsest.session import spool
 
 MATCH_THRESHOLD = 0.9
+LETTERS = "abcdefghijklmnopqrstuvwxyzæøå0123456789"
 RUN_WORDS = 8
 NAME_CHARS = 4096  # of a file's name, more than file systems allow
 
@@ -36,18 +37,26 @@ def longest_run(first: pd.Series, second: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(first, second, strict=True)], dtype="int32")
 
 
+def letter_counts(text: Column) -> Column:
+    """How often each of ``LETTERS`` is in a text, then how many other characters it has."""
+    each = [F.length(text) - F.length(F.translate(text, c, "")) for c in LETTERS]
+    return F.array(*each, F.length(F.translate(text, LETTERS, "")))
+
+
 def best_match(wanted: DataFrame, proposed: DataFrame, block: Sequence[str], *, wanted_id: str, proposed_id: str, text: str = "text", least: float = MATCH_THRESHOLD) -> DataFrame:
     """For each wanted row the most similar proposed row of its block: wanted_id, proposed_id, ratio.
 
     Equal fingerprints need no comparison; only what has no equal is compared, and only in its block, and
-    only where lengths allow the ratio at all. Of equal ratios the first proposed row wins.
+    only where lengths and the letters that both have allow the ratio at all: a match can't hold more of a letter than
+    either text. A block's rows meet in pairs, so blocks are meant to be narrow. Of equal ratios the first proposed row wins.
     """
-    w = wanted.select(*block, F.col(wanted_id).alias("_w"), fingerprint(text).alias("_a"))
-    p = proposed.select(*block, F.col(proposed_id).alias("_p"), fingerprint(text).alias("_b"))
+    w = wanted.select(*block, F.col(wanted_id).alias("_w"), fingerprint(text).alias("_a")).withColumn("_la", letter_counts(F.col("_a")))
+    p = proposed.select(*block, F.col(proposed_id).alias("_p"), fingerprint(text).alias("_b")).withColumn("_lb", letter_counts(F.col("_b")))
     same = w.join(p.withColumnRenamed("_b", "_a"), [*block, "_a"]).select("_w", "_p", F.lit(1.0).alias("ratio"))
     rest = w.join(same.select("_w").distinct(), "_w", "left_anti")
     short, long = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
-    possible = 2.0 * short >= F.lit(least) * (short + long)
+    both = F.aggregate(F.zip_with("_la", "_lb", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    possible = (2.0 * short >= F.lit(least) * (short + long)) & (2.0 * both >= F.lit(least) * (short + long))
     near = rest.join(p, list(block)).where(possible).select("_w", "_p", sequence_ratio("_b", "_a").alias("ratio"))
     found = same.unionByName(near.where(F.col("ratio") >= least))
     best = first_wins(found, ["_w"], -F.col("ratio"), "_p")
