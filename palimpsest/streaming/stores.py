@@ -15,26 +15,57 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from palimpsest.operators.ordering import latest_wins
 from palimpsest.operators.stores import upsert
 from palimpsest.plans.replay import KEY, fold_group
+from palimpsest.session import discard, spool
 
 
-def start_upserts(stream: DataFrame, folder: str, checkpoint: str, key: str, updated: str, kept: tuple[str, ...] = (), trigger: dict | None = None):
-    """Keep a table of each key's latest record: every micro-batch is merged into the newest version and
-    written as the next one, so a batch that runs again gives the same version."""
+def start_upserts(
+    stream: DataFrame, folder: str, checkpoint: str, key: str, updated: str, kept: tuple[str, ...] = (), trigger: dict | None = None, buckets: int = 64
+):
+    """Keep a table of each key's latest record. Keys are dealt to buckets; a micro-batch rewrites just the buckets that it
+    has keys of, as their next version, so a batch that runs again gives the same version. Of a bucket the version before
+    the newest is kept for that, older ones are removed."""
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = latest_wins(batch, [key], updated)
-        old = read_version(spark, folder, number - 1, batch)
-        upsert(old, new, [key], kept).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        new = spool(latest_wins(batch, [key], updated), "micro-batch")
+        touched = {r[0] for r in new.select(bucket).distinct().collect()}
+        if not touched:
+            return
+        before = _newest(spark, folder, number - 1)
+        old = _read(spark, [before[b] for b in touched if b in before], batch)
+        upsert(old, new, [key], kept).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
+        for v, b, path in _versions(spark, folder):
+            if b in touched and b in before and v < before[b][0]:
+                discard(spark, path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _versions(spark: SparkSession, folder: str) -> list[tuple[int, int, str]]:
+    """(version, bucket, path) of what is in the folder: at most a few versions of a fixed number of buckets."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/bucket=*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    paths = [str(f.getPath().toString()) for f in found]
+    return [(int(v.split("=")[1]), int(b.split("=")[1]), p) for p in paths for v, b in [p.rsplit("/", 2)[1:]]]
+
+
+def _newest(spark: SparkSession, folder: str, number: int) -> dict[int, tuple[int, str]]:
+    """Each bucket's newest version up to ``number``."""
+    out: dict[int, tuple[int, str]] = {}
+    for v, b, path in sorted(_versions(spark, folder)):
+        if v <= number:
+            out[b] = (v, path)
+    return out
+
+
+def _read(spark: SparkSession, parts: list[tuple[int, str]], like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(*[p for _, p in parts]) if parts else spark.createDataFrame([], like.schema)
+
+
 def read_version(spark: SparkSession, folder: str, number: int, like: DataFrame) -> DataFrame:
-    """The table after batch ``number``; before the first it's empty."""
-    if number < 0:
-        return like.limit(0)
-    return spark.read.schema(like.schema).parquet(f"{folder}/v={number}")
+    """The table after batch ``number``, the last or the one before it; before the first it's empty."""
+    return _read(spark, list(_newest(spark, folder, number).values()), like)
 
 
 def replay_stream(ops: DataFrame) -> DataFrame:
