@@ -544,7 +544,7 @@ def _law_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each part: an article, a protocol or another section of a convention, by its key."""
     k = F.col("p_partkey")
     kind = F.when(k % 3 == 0, F.format_string("artikel %d (%s)", k % 40, F.col("p_type"))).when(k % 3 == 1, F.lit("Protokol")).otherwise(F.concat(F.lit("Bilag "), "p_brand"))
-    name = F.format_string("%d DBO %s %d.pdf", k, kind, 1950 + k % 60)
+    name = F.format_string("%d DBO %s %d.pdf", 1950 + k % 60, kind, k)
     folder = F.when(k % 5 == 0, "norden").when(k % 5 == 1, "Danmark og Tyskland").when(k % 5 == 2, "Sverige").otherwise("andre")
     return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), folder.alias("folder"), F.lit("").alias("head"))
 
@@ -558,7 +558,7 @@ _FILES = """
 @registered(f"""{_FILES}
     select k as p_partkey, jurisdiction, version, case kind when 0 then 'article' when 1 then 'protocol' else 'document' end as kind, case kind when 0 then number end::int as number,
            case kind when 0 then jurisdiction || '_dbo_art' || lpad(number::varchar, 2, '0') || '_' || version when 1 then jurisdiction || '_dbo_protokol_' || version
-                     else jurisdiction || '_dbo_' || said || '_dbo_bilag_' || replace(lower(p_brand), '#', '_') || '_' || substr(version, 2) || '_' || version end as source_id,
+                     else jurisdiction || '_dbo_' || substr(version, 2) || '_dbo_bilag_' || replace(lower(p_brand), '#', '_') || '_' || said || '_' || version end as source_id,
            case when jurisdiction = 'norden' then 9 when jurisdiction = 'dk-de' then 6 else 3 end + case kind when 0 then 2 when 1 then 1 else 0 end as aliases from j""")
 def law_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the names and folders of law files say of them."""
