@@ -27,6 +27,14 @@ def ensure_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get whole texts a thousand at a time, not Spark's ten thousand, unless the session was set to
+    other batches: a batch is held by the JVM and the worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
