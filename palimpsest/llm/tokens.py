@@ -19,7 +19,7 @@ _RARE = re.compile("[" + SPACE.replace("\t-\r ", "\t\v-\r") + "]")
 _CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 #: Entries of one of a worker's two generations, and the longest chunk it keeps.
-MEMO_ENTRIES = 350_000
+MEMO_ENTRIES = 270_000
 MEMO_CHUNK = 48
 
 _ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
