@@ -36,3 +36,19 @@ def test_run_packs_the_mix(spark, small):
     assert all(p.ids[-1] == 0 for p in pieces if p.start + p.n == p.doc_tokens)
     assert whole("byte_bpe_50k.json", "", 0) == [0]
     assert cp.STAGES[-1][0] == "pack_windows" and cp.ORACLE_SQL is None
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    clean = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, clean, "a"), (2, clean, "a"), (None, clean + " x", None), (3, None, "a"), (4, "", None), (5, f"{clean.replace('word', 'five')} token=abcdefgh12 q{'r' * 90000}", "b"), (6, clean.replace("word", "other"), "b")]
+    rows += [(7, " ".join(f"seven{i}" for i in range(60)), "b")] * 3
+    names = ["_qr_w", "_nd_id", "_sc_k1", "_mx_size", "found", "_k1", "_domain", "_copy", "fp"]
+    docs = spark.createDataFrame([(i, t, "en", s, 0, *range(9)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        assert stage(spark, docs, "").count() > 0, name
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = cp.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} <= {1, 5, 6, 7} and {5, 6, 7} & {p.doc_id for p in pieces}
+    kept = cp.near_dedup(spark, cp.quality_rules(spark, docs, ""), "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 5, 6, 7] and kept[0]._k1 == 5
