@@ -17,7 +17,7 @@ from palimpsest.session import spool
 MATCH_THRESHOLD = 0.9
 LETTERS = "abcdefghijklmnopqrstuvwxyzæøå0123456789"
 RUN_WORDS = 8
-NAME_CHARS = 4096  # of a file's name, more than file systems allow
+GRAM = 3  # characters of the stretches by which names are found
 
 
 @F.pandas_udf(DoubleType())
@@ -64,7 +64,7 @@ def best_match(wanted: DataFrame, proposed: DataFrame, block: Sequence[str], *,
 
 
 def shingles(df: DataFrame, key: str, text: str, n: int = RUN_WORDS) -> DataFrame:
-    """key, h1, h2: distinct runs of n words, as two hashes of 64 bits of their words' hashes."""
+    """key, h1, h2: runs of n words as they follow each other, as two hashes of 64 bits of their words' hashes."""
     hashed = F.transform(words(text), lambda w: F.xxhash64(w))
     w = df.select(key, hashed.alias("_h")).where(F.size("_h") >= n)
 
@@ -73,7 +73,7 @@ def shingles(df: DataFrame, key: str, text: str, n: int = RUN_WORDS) -> DataFram
         return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(n), *reversed(parts)).alias("h2"))
 
     runs = F.transform(F.sequence(F.lit(0), F.size("_h") - n), run)
-    return w.select(key, F.explode(F.array_distinct(runs)).alias("run")).select(key, "run.h1", "run.h2")
+    return w.select(key, F.explode(runs).alias("run")).select(key, "run.h1", "run.h2")
 
 
 def shared_runs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text", n: int = RUN_WORDS) -> DataFrame:
@@ -81,10 +81,12 @@ def shared_runs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
     A run of n or more is the same as a common shingle of n, so this is an equi-join. ``right`` is meant to be the
     smaller side: its runs are written, so that Spark knows their size and, while they are small, sends them to ``left``
-    rather than shuffling all of ``left``'s. Of a run that is common on one side all pairs are wanted.
+    rather than shuffling all of ``left``'s. Repeated runs of a text are told apart only among what was matched. Of a run
+    that is common on one side all pairs are wanted, so the result is as large as that.
     """
-    runs = spool(shingles(right, right_id, text, n), "runs")
-    return shingles(left, left_id, text, n).join(runs, ["h1", "h2"]).groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+    runs = spool(shingles(right, right_id, text, n).distinct(), "runs")
+    matched = shingles(left, left_id, text, n).join(runs, ["h1", "h2"]).select(left_id, right_id, "h1", "h2").distinct()
+    return matched.groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
 
 
 def confirmation(change_text: Column, note_text: Column, section: Column, run_words: int = RUN_WORDS) -> Column:
@@ -148,27 +150,37 @@ def catalog_search(sections: DataFrame, parsed: dict, *, id_col: str = "source_i
     return out
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct stretches of n characters; of shorter texts none."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def contains_join(rows: DataFrame, files: DataFrame, row_id: str, needles: Sequence[str | Column], name: str) -> DataFrame:
     """For each row the first file, by name, whose name holds one of its needles anywhere, upper and lower case alike.
 
-    An equi-join: a file's name gives all its stretches of the lengths that needles have. Names are of a few hundred
-    characters, so both the lengths (collected, one number each) and a name's stretches are bounded. Null and empty
-    needles are none; of rows with one id any needle counts.
+    Needles of up to three characters are looked up among the stretches of that length, each with its first name. A longer
+    one meets the names that hold the rarest of its stretches of three, and these are looked at; one that has a stretch
+    which no name holds meets none. Needles and names may have any length.
+
+    Null and empty needles are none, null names no files; of rows with one id any needle counts; null ids find like others.
     """
     as_column = lambda n: F.col(n) if isinstance(n, str) else n
-    tried = rows.select(row_id, F.explode(F.array(*[F.lower(as_column(n)) for n in needles])).alias("_needle"))
-    tried = tried.where((F.length("_needle") > 0) & (F.length("_needle") <= NAME_CHARS)).distinct()
-    lengths = [r["n"] for r in tried.select(F.length("_needle").alias("n")).distinct().collect()]
-    if not lengths:
-        return tried.select(row_id, F.lit(None).cast("string").alias(name)).limit(0)
-    low = F.left(F.lower(name), F.lit(NAME_CHARS))
-
-    def stretches(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1)))
-        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    parts = files.select(name, F.explode(F.array_distinct(F.flatten(F.array(*[stretches(n) for n in sorted(lengths)])))).alias("_needle"))
-    return tried.join(parts, "_needle").groupBy(row_id).agg(F.min(name).alias(name))
+    tried = rows.select(F.col(row_id).alias("_id"), F.explode(F.array(*[F.lower(as_column(n)) for n in needles])).alias("_needle"))
+    tried = spool(tried.where(F.length("_needle") > 0).distinct(), "needles")
+    named = files.select(F.col(name).alias("_name"), F.lower(name).alias("_low")).where("_name is not null").distinct()
+    wide = F.least(F.length("_needle"), F.lit(GRAM))
+    widths = [r[0] for r in tried.select(wide).distinct().collect()]  # three numbers at most
+    every = F.flatten(F.array(*[_grams(F.col("_low"), n) for n in sorted(widths)])) if widths else F.array().cast("array<string>")
+    held = spool(named.select("_name", "_low", F.explode(every).alias("_gram")), "name-grams")
+    known = spool(held.groupBy("_gram").agg(F.count("*").alias("_names"), F.min("_name").alias("_first")), "gram-counts")
+    short = tried.where(F.length("_needle") <= GRAM).join(known, F.col("_needle") == F.col("_gram")).select("_id", F.col("_first").alias("_name"))
+    long = tried.where(F.length("_needle") > GRAM).select("_needle").distinct()
+    parts = long.select("_needle", F.size(_grams(F.col("_needle"), GRAM)).alias("_of"), F.explode(_grams(F.col("_needle"), GRAM)).alias("_gram"))
+    rarest = parts.join(known, "_gram").groupBy("_needle", "_of").agg(F.count("*").alias("_found"), F.min(F.struct("_names", "_gram"))["_gram"].alias("_gram"))
+    seen = rarest.where("_found = _of").select("_needle", "_gram").join(held, "_gram").where(F.contains("_low", F.col("_needle")))
+    found = tried.join(seen.groupBy("_needle").agg(F.min("_name").alias("_name")), "_needle").select("_id", "_name").unionByName(short)
+    return found.groupBy(F.col("_id").alias(row_id)).agg(F.min("_name").alias(name))
 
 
 def coverage(wanted: DataFrame, touched: DataFrame, key: str) -> DataFrame:

@@ -5,9 +5,11 @@ Order is always an explicit column: Spark's rows have none of their own.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from palimpsest.session import spool
 
 
+MOST_HELD = 100_000  # rows that a task of ``least_rows`` holds
+
+
 def first_wins(df: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:
     """The first row of each key. A least-row aggregate, combined before the shuffle, where Spark can order
     whole rows; hot keys then cost one row a task."""
@@ -47,6 +52,78 @@ def checked(query: str, k: int, stores: Sequence[str], max_chars: int = 4000, ma
     return query, named
 
 
+def least_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, place: str = "place") -> DataFrame:
+    """The k least rows of each key, with their ``place`` from 1, and ``rows``, how many the key has.
+
+    Mergeable: a task keeps the k least rows of each key that it has seen and hands on only these, so a key that holds
+    nearly all rows costs k rows a task, wherever they lie; a task that has seen very many keys hands on what it has and
+    begins anew. What is left is sorted by key, and the first k are taken as they come by. No group is ever held.
+
+    Keys and order columns are of plain types (text, numbers, dates, booleans). Null keys are a key, nulls in the order
+    come last; rows that the order doesn't tell apart are interchangeable; ``df`` has no columns named as the new ones.
+    """
+    columns = [*df.columns, "rows"]
+    ids, by = [f"_k{i}" for i in range(len(keys))], [(f"_o{i}", "ascending") for i in range(len(order))]
+
+    def numbered(held: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """Rows in order, each row's key as a number, and its place within its key."""
+        held = held.take(pa.compute.sort_indices(held, [*((c, "ascending") for c in ids), *by]))
+        new = np.zeros(held.num_rows, bool)
+        new[:1] = True
+        for c in ids:
+            column = held[c].combine_chunks()
+            differs = pa.compute.not_equal(column[1:], column[:-1])
+            nulls = column.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= differs.fill_null(False).to_numpy(zero_copy_only=False) | (nulls[1:] != nulls[:-1])
+        group = np.cumsum(new) - 1
+        return held, group, np.arange(held.num_rows) - np.flatnonzero(new)[group]
+
+    def least(held: pa.Table) -> pa.Table:
+        held, group, at = numbered(held)
+        total = np.bincount(group, held["rows"].to_numpy())[group].astype(np.int64)  # a key's rows stand with its first
+        rows = pa.array(np.where(at == 0, total, 0))
+        return held.set_column(held.schema.get_field_index("rows"), "rows", rows).filter(pa.array(at < k))
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = least(new if held is None else pa.concat_tables([held, new]))
+            if held.num_rows > MOST_HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    import pyarrow.compute  # noqa: F401  (used as pa.compute)
+
+    plain = [F.col(c).alias(n) for c, n in zip([*keys, *order], [*ids, *(o for o, _ in by)], strict=True)]
+    made = df.select("*", F.lit(1).cast("long").alias("rows"), *plain)
+    schema = made.schema
+    some = spool(made.mapInArrow(combine, schema), "least-rows")
+    counts = some.groupBy(*ids).agg(F.sum("rows").alias("rows"))
+    dealt = some.repartition(*ids).sortWithinPartitions(*ids, *[F.col(o).asc_nulls_last() for o, _ in by])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for batch in batches:
+            key = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ids], strict=True)) if ids else [()] * batch.num_rows
+            at = np.empty(batch.num_rows, np.int64)
+            for i, x in enumerate(key):
+                seen = seen + 1 if x == last and last is not None else 1
+                last = x
+                at[i] = seen
+            out = pa.Table.from_batches([batch]).append_column(place, pa.array(at)).filter(pa.array(at <= k))
+            yield from out.to_batches()
+
+    from pyspark.sql.types import LongType, StructType
+
+    taken = dealt.mapInArrow(first, StructType([*schema.fields]).add(place, LongType())).drop("rows", *[o for o, _ in by])
+    counts = counts.withColumnsRenamed({c: f"{c}r" for c in ids})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}r")) for c in ids], F.lit(True))
+    return taken.join(counts, same).select(*columns[:-1], place, "rows")
+
+
 def merged_stores(stores: Sequence[str], load: Callable[[str], DataFrame]) -> DataFrame:
     """Hits of all stores that answer; a store that fails is left out, all failing is an error.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import numbers, refs, text
 from palimpsest.operators import graph, matching, ordering, stores
 from palimpsest.plans import history, inventory, replay, retrieval, rules
-from palimpsest.session import table
+from palimpsest.session import new_folder, table
 from palimpsest.sources import lawxml, web
 from palimpsest.streaming.stores import windowed_counts
 
@@ -53,7 +53,7 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "label", F.col("label").cast("string").alias("file_id"), F.concat(F.lit("vector "), "vec_id").alias("text"), cosine("v", "q").alias("score"), F.col("vec_id").alias("ord")
     )
     _, named = ordering.checked("vector 0", 10, ["0", "1"])
-    merged = ordering.merged_stores(named, lambda s: scored.where(F.col("vec_id") % 2 == int(s)))
+    merged = ordering.merged_stores(named, lambda s: ordering.search_topk(scored.where(F.col("vec_id") % 2 == int(s)), 10, order=["ord"]))
     return ordering.search_topk(merged, 10).select("vec_id", "store_ord", "label", F.round("score", 6).alias("score"))
 
 
@@ -149,6 +149,20 @@ def difference_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(after, "doc_id").groupBy(text.difference_class("t", "u").alias("difference")).agg(F.count("*").alias("n"))
 
 
+@registered("""
+    with d as (select a.doc_id, trim(regexp_replace(a.text, '\\s+', ' ', 'g')) as a, trim(regexp_replace(b.text, '\\s+', ' ', 'g')) as b from documents a join documents b on b.doc_id = a.doc_id + 1),
+    e as (select doc_id, case when a = b then 'ens' when replace(a, ' ', '') = replace(b, ' ', '') then 'kun mellemrum'
+                when starts_with(b, a) then 'vi mangler tekst til sidst' when starts_with(a, b) then 'vi har for meget til sidst'
+                when contains(a, b) then 'vi har tekst udenom facit' when contains(b, a) then 'facit har tekst udenom vores'
+                when length(a) < 20 or length(b) < 20 or left(a, 20) <> left(b, 20) then 'helt forskellig tekst' else 'forskel midt i teksten' end as difference from d)
+    select difference, count(*) as n, array_to_string(list(doc_id order by doc_id)[1:5], ', ') as examples from e group by 1""")
+def difference_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each document differs from the next: the classes with their first five documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.collapse("text").alias("t"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return history.examples(docs.join(after, "doc_id").select("doc_id", text.difference_class("t", "u").alias("difference")), "difference", "doc_id")
+
+
 @registered("""
     with t as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<svg[^>]*>.*?</svg>', ' ', 'gis') as h from pages),
     u as (select page_id, replace(replace(regexp_replace(h, '<[^>]+>', ' ', 'gs'), '&nbsp;', ' '), '&amp;', '&') as h from t)
@@ -473,6 +487,94 @@ def target_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", refs.target_label(refs.target(pointer)).alias("label"))
 
 
+def touching_acts(lines: DataFrame) -> DataFrame:
+    """An amending act for each order; its lines point at sections, and each third line inserts one with a letter."""
+    n, s = F.col("l_linenumber").cast("string"), (F.col("l_suppkey") % 97 + 1).cast("string")
+    mark = F.concat(F.lit('<Char signiChar="AendringURN">§ '), s, F.lit(", stk. 1</Char>"))
+    fresh = F.concat(F.lit('<AendringNyTekst><Paragraf localId="'), s, F.chr(65 + F.col("l_partkey") % 3), F.lit('"><Linea>Ny.</Linea></Paragraf></AendringNyTekst>'))
+    said = F.concat(F.lit("I "), mark, F.lit(" udgår »x«.")), F.concat(F.lit("Efter "), mark, F.lit(" indsættes: "), fresh)
+    item = F.concat(F.lit("<AendringsNummer><Explicatus>"), n, F.lit(".</Explicatus>"), F.when(F.col("l_linenumber") % 3 == 0, said[1]).otherwise(said[0]), F.lit("</AendringsNummer>"))
+    xs = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), item.alias("x")))).alias("xs"))  # an order has a few lines
+    xml = F.concat(F.lit('<Dokument><AendringCentreretParagraf localId="1"><Exitus>I prøveloven foretages:</Exitus>'), F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit("</AendringCentreretParagraf></Dokument>"))
+    return xs.select(F.col("l_orderkey").cast("string").alias("eli"), F.encode(xml, "UTF-8").alias("body"))
+
+
+def indexed_acts(spark: SparkSession, sf_dir: str) -> history.Index:
+    """Two thirds of the orders' acts; then the others; then a tenth again with the lines of even numbers only, and some withdrawn."""
+    lines = table(spark, sf_dir, "lineitem")
+    k = F.col("l_orderkey")
+    index = history.section_index(spark, new_folder(spark, "section-index"))
+    history.index_acts(index, touching_acts(lines.where(k % 3 != 0)), "prøvelov", buckets=8)
+    history.index_acts(index, touching_acts(lines.where(k % 3 == 0)), "prøvelov")
+    gone = lines.where((k % 50 == 7)).select(k.cast("string").alias("eli")).distinct()
+    history.index_acts(index, touching_acts(lines.where((k % 10 == 1) & (F.col("l_linenumber") % 2 == 0))), "prøvelov", gone.unionByName(emptied(lines)))
+    return index
+
+
+def emptied(lines: DataFrame) -> DataFrame:
+    """Acts of which no line of an even number is left."""
+    return lines.where("l_orderkey % 10 = 1").groupBy("l_orderkey").agg(F.count_if(F.col("l_linenumber") % 2 == 0).alias("n")).where("n = 0").select(F.col("l_orderkey").cast("string").alias("eli"))
+
+
+LIVE_POSTINGS = """
+    with live as (select * from lineitem where l_orderkey % 50 <> 7 and (l_orderkey % 10 <> 1 or l_linenumber % 2 = 0)),
+    posted as (select l_orderkey::varchar as eli, l_linenumber as n, (l_suppkey % 97 + 1)::varchar as section, true as as_target from live
+        union all select l_orderkey::varchar, l_linenumber, (l_suppkey % 97 + 1)::varchar || chr((65 + l_partkey % 3)::int), false from live where l_linenumber % 3 = 0)"""
+
+
+@registered(f"""{LIVE_POSTINGS}
+    select section, count(*) filter (as_target) as targets, count(*) filter (not as_target) as inserted, count(distinct eli) as acts, min(eli) as first_act from posted group by 1""")
+def section_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and the acts that touch them, from an index kept by three deltas."""
+    held = indexed_acts(spark, sf_dir).postings()
+    return held.groupBy("section").agg(F.count_if("as_target").alias("targets"), F.count_if(~F.col("as_target")).alias("inserted"), F.countDistinct("eli").alias("acts"), F.min("eli").alias("first_act"))
+
+
+@registered(f"""{LIVE_POSTINGS}
+    select section, eli, as_target, '§ 1, nr. ' || n as amendment_path from posted where section in ('7', '12A', '96', '97C')""")
+def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that touch four sections, from a merged index of which four buckets are read."""
+    index = indexed_acts(spark, sf_dir)
+    index.merge()
+    return index.postings(["7", "12A", "96", "97C"]).select("section", "eli", "as_target", "amendment_path")
+
+
+def surveyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parts, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    letter = F.when(F.col("p_partkey") % 4 < 3, F.chr(65 + F.col("p_partkey") % 4)).otherwise("")
+    wanted = parts.select(F.concat((F.col("p_partkey") % 120).cast("string"), letter).alias("section"))
+    said = orders.select((F.col("o_orderkey") + F.col("o_custkey") % 2).alias("k"), F.year("o_orderdate").alias("y"))
+    changed_by = said.select(F.when(F.col("k") % 5 == 0, F.concat(F.lit("eli/lta/"), "y", F.lit("/"), "k")).otherwise(F.col("k").cast("string")).alias("document_path"))
+    declared = said.where("k % 3 = 0").select(F.concat(F.lit("eli/lta/"), "y", F.lit("/"), "k").alias("document_path"))
+    return history.survey(indexed_acts(spark, sf_dir), wanted, changed_by, declared, 1996)
+
+
+SURVEY = f"""{LIVE_POSTINGS},
+    wanted as (select distinct (p_partkey % 120)::varchar || case when p_partkey % 4 < 3 then chr((65 + p_partkey % 4)::int) else '' end as section from part),
+    t as (select section, count(*) as items, bool_or(as_target) as named, min(struct_pack(eli := eli, n := n)) as f from posted group by 1),
+    covered as (select w.section, coalesce(t.items, 0) as items, case when named then 'found' when not named then 'only_inserted' when regexp_matches(w.section, '^[0-9]+[A-ZÆØÅ]$') then 'missing_lettered' else 'missing' end as verdict,
+        coalesce(f.eli || ' § 1, nr. ' || f.n, '') as first_item from wanted w left join t using (section))"""
+
+
+@registered(f"{SURVEY} select section, verdict, items, first_item from covered")
+def section_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sections of a law have changes in the index, and the first."""
+    return surveyed(spark, sf_dir)[0]
+
+
+@registered(f"""{SURVEY},
+    said as (select o_orderkey + o_custkey % 2 as k, year(o_orderdate) as y from orders),
+    changed_by as (select distinct case when k % 5 = 0 then 'eli/lta/' || y || '/' || k else k::varchar end as path, k, y from said),
+    outside as (select path, case when k % 5 = 0 and y > 1996 then 'newer' when k % 5 = 0 and k % 3 = 0 then 'declared' end as excuse from changed_by where path not in (select l_orderkey::varchar from lineitem))
+    select (select count(*) from covered) as sections, (select count(*) from covered where items > 0) as found, (select count(*) from covered where verdict = 'only_inserted') as only_inserted,
+        (select count(*) from covered where items = 0) as missing, (select count(*) from covered where verdict = 'missing_lettered') as missing_lettered,
+        (select count(*) from posted) as items, (select count(distinct eli) from posted) as acts,
+        (select count(distinct path) from outside) as outside, (select count(distinct path) from outside where excuse is null) as unexplained""")
+def survey_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a law's changes can be found at all, and which acts its chain never reached."""
+    return surveyed(spark, sf_dir)[1]
+
+
 @registered("""
     select l_orderkey, l_linenumber, array_to_string(list_concat(list_concat(range(l_linenumber, l_linenumber + 3), [l_quantity::bigint]), [l_suppkey]), ',') as numbers from lineitem""")
 def item_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import refs
-from palimpsest.operators import graph, matching
+from palimpsest.operators import graph, matching, ordering
 from palimpsest.operators.ordering import first_wins
+from palimpsest.operators.postings import Index
 from palimpsest.sources import lawxml
 
 WHOLE, INSERTED = "hele paragraffen", "hele paragraffen — indsat"
@@ -57,7 +58,7 @@ def changes(docs: DataFrame, asked: DataFrame, law: str, max_steps: int = 8) ->
     return rows.select(
         "start", "section", F.col("node").alias("consolidation"), "document_path", "amendment_path", F.col("ord").alias("item_ord"), "text", "places",
         (F.get("places", F.lit(0))["place"] == INSERTED).alias("inserted"),
-        F.element_at(parts, -2).try_cast("int").alias("year"), F.element_at(parts, -1).try_cast("int").alias("number"), "depth", "seq",
+        F.try_element_at(parts, F.lit(-2)).try_cast("int").alias("year"), F.try_element_at(parts, F.lit(-1)).try_cast("int").alias("number"), "depth", "seq",
     )
 
 
@@ -143,7 +144,7 @@ def leaks(changed_by: DataFrame, seen: DataFrame, unincorporated: DataFrame, new
     """Acts said to change a law that no consolidation lists: document_path, excuse (null: a leak)."""
     lost = changed_by.select("document_path").distinct().join(seen.select("document_path").distinct(), "document_path", "left_anti")
     excused = unincorporated.select("document_path", F.lit(True).alias("_said")).distinct()
-    year = F.element_at(F.split("document_path", "/"), -2).try_cast("int")
+    year = F.try_element_at(F.split("document_path", "/"), F.lit(-2)).try_cast("int")
     excuse = F.when(year > newest_year, "newer").when(F.col("_said").isNotNull(), "declared")
     return lost.join(excused, "document_path", "left").select("document_path", excuse.alias("excuse"))
 
@@ -155,6 +156,59 @@ def touched_sections(items: DataFrame) -> DataFrame:
     return items.select(F.explode(F.array_distinct(F.concat(named, fresh))).alias("x")).select("x.*").where("section <> ''")
 
 
+def section_postings(items: DataFrame) -> DataFrame:
+    """section, eli, as_target, ord, amendment_path, text: one row for each section that an item points at or inserts.
+
+    A section that an item both points at and inserts is a target, as ``places`` has it.
+    """
+    named = F.array_distinct(F.filter(F.transform("probable_targets", lambda t: F.upper(refs.target(t)["paragraph_id"])), lambda s: s != ""))
+    fresh = F.array_except(F.transform("inserted", lambda s: F.upper(s)), named)
+    both = F.concat(F.transform(named, lambda s: F.struct(s.alias("section"), F.lit(True).alias("as_target"))), F.transform(fresh, lambda s: F.struct(s.alias("section"), F.lit(False).alias("as_target"))))
+    rows = items.select("eli", "ord", "amendment_path", "text", F.explode(both).alias("x"))
+    return rows.select("x.section", "eli", "x.as_target", "ord", "amendment_path", "text").where("section <> ''")
+
+
+def section_index(spark: SparkSession, folder: str) -> Index:
+    """The index from sections to the items that touch them, in ``folder``; ``index_acts`` fills it."""
+    return Index(spark, folder, term="section", doc="eli")
+
+
+def index_acts(index: Index, docs: DataFrame, law: str, withdrawn: DataFrame | None = None, buckets: int = 64) -> None:
+    """Add acts (eli, body), or put them in place of what was known of them, and take out ``withdrawn`` ones (eli)."""
+    spoken_for = docs.select("eli") if withdrawn is None else docs.select("eli").unionByName(withdrawn.select("eli"))
+    index.update(section_postings(lawxml.instructions(docs, law)), spoken_for, buckets)
+
+
+def survey(index: Index, wanted: DataFrame, changed_by: DataFrame, unincorporated: DataFrame, newest_year: int) -> tuple[DataFrame, DataFrame]:
+    """(sections, totals) of a law, read from the index: how far its changes can be found.
+
+    sections: each wanted section (``section``) with its verdict (``matching.coverage``), how many items touch it, and the
+    first of these, by act and place. totals, one row: sections, found ones, ones found only as inserted, missing ones and
+    of these lettered ones, which must have been inserted; items, acts; acts that are said to change the law
+    (``changed_by``: document_path) and aren't in the index, and those of them without an excuse.
+    """
+    held = index.postings()
+    covered = matching.coverage(wanted, held.select("section", "as_target"), "section")
+    first = held.groupBy("section").agg(F.min(F.struct("eli", "ord", "amendment_path")).alias("_f")).withColumnRenamed("section", "_s")
+    rows = covered.join(first, F.upper("section") == F.col("_s"), "left").select("section", "verdict", "items", F.concat_ws(" ", "_f.eli", "_f.amendment_path").alias("first_item"))
+    lost = leaks(changed_by, index.documents().select(F.col("eli").alias("document_path")), unincorporated, newest_year)
+    of = lambda *kinds: F.count_if(F.col("verdict").isin(*kinds))
+    counted = rows.agg(
+        F.count("*").alias("sections"), of("found", "only_inserted").alias("found"), of("only_inserted").alias("only_inserted"),
+        of("missing", "missing_lettered").alias("missing"), of("missing_lettered").alias("missing_lettered"),
+    )
+    items = held.agg(F.count("*").alias("items"), F.countDistinct("eli").alias("acts"))
+    outside = lost.agg(F.count("*").alias("outside"), F.count_if(F.col("excuse").isNull()).alias("unexplained"))
+    return rows, counted.crossJoin(F.broadcast(items)).crossJoin(F.broadcast(outside))  # a row each
+
+
+def examples(rows: DataFrame, kind: str, label: str, k: int = 5) -> DataFrame:
+    """kind, n, examples: each class with the number of its rows and its first k labels, comma-separated."""
+    first = ordering.least_rows(rows.select(kind, label), [kind], [label], k)
+    each = [F.max(F.when(F.col("place") == i, F.col(label).cast("string"))) for i in range(1, k + 1)]
+    return first.groupBy(kind).agg(F.max("rows").alias("n"), F.concat_ws(", ", *each).alias("examples"))
+
+
 def segmentation(units: DataFrame) -> DataFrame:
     """How well sentences are told apart: blocks, sentences, blocks of several, units whose own references
     name more sentences than they have."""

@@ -84,6 +84,13 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that fit a pattern of the file system's, such as ``folder/*/name``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    return [str(f.getPath().toString()) for f in found]
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove all that this application wrote to the shared folder; for when the queries' results have been read."""
     discard(spark, _own_folder(spark))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from palimpsest.operators.ordering import latest_wins
 from palimpsest.operators.stores import upsert
 from palimpsest.plans.replay import KEY, fold_group
-from palimpsest.session import discard, spool
+from palimpsest.session import discard, paths_like, spool
 
 
 def start_upserts(
@@ -44,9 +44,7 @@ def start_upserts(
 
 def _versions(spark: SparkSession, folder: str) -> list[tuple[int, int, str]]:
     """(version, bucket, path) of what is in the folder: at most a few versions of a fixed number of buckets."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/bucket=*")
-    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
-    paths = [str(f.getPath().toString()) for f in found]
+    paths = paths_like(spark, f"{folder}/v=*/bucket=*")
     return [(int(v.split("=")[1]), int(b.split("=")[1]), p) for p in paths for v, b in [p.rsplit("/", 2)[1:]]]
 
 
