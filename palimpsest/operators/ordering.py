@@ -102,7 +102,7 @@ def least_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int,
     schema = made.schema
     some = spool(made.mapInArrow(combine, schema), "least-rows")
     counts = some.groupBy(*ids).agg(F.sum("rows").alias("rows"))
-    dealt = some.repartition(*ids).sortWithinPartitions(*ids, *[F.col(o).asc_nulls_last() for o, _ in by])
+    dealt = (some.repartition(*ids) if ids else some.coalesce(1)).sortWithinPartitions(*ids, *[F.col(o).asc_nulls_last() for o, _ in by])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, 0

@@ -11,7 +11,7 @@ from palimpsest.functions import numbers, refs, text
 from palimpsest.operators import graph, matching, ordering, stores
 from palimpsest.plans import history, inventory, replay, retrieval, rules
 from palimpsest.session import new_folder, table
-from palimpsest.sources import lawxml, web
+from palimpsest.sources import lawtree, lawxml, odata, web
 from palimpsest.streaming.stores import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -575,6 +575,57 @@ def survey_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surveyed(spark, sf_dir)[1]
 
 
+@registered("""
+    with n as (select *, row_number() over (partition by l_orderkey order by l_linenumber) as k from lineitem)
+    select l_orderkey::varchar as eli, 4 + 7 * (k - 1) + 4 as node, 4 + 7 * (k - 1) + 5 as last, 3 as depth, '0,1,' || (4 + 7 * (k - 1)) as above, '§ ' || l_linenumber || ', stk. 1' as text from n""")
+def tree_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marked targets of all acts as nodes of their trees, with their ancestors and texts."""
+    tree = lawtree.nodes(acts(spark, sf_dir))
+    marks = tree.where("tag = 'Char' and attributes['signiChar'] = 'AendringURN'")
+    said = lawtree.texts(tree, marks)
+    return marks.join(said, ["eli", "node"]).select("eli", "node", "last", "depth", F.array_join(F.col("above").cast("array<string>"), ",").alias("above"), "text")
+
+
+@registered("""
+    with b as (select l_orderkey, l_linenumber, l_linenumber || '.I § ' || l_linenumber || ', stk. 1 ' ||
+        case l_returnflag when 'R' then 'ændres »' || l_quantity::int || '« til: »' || l_linestatus || '«.' when 'A' then 'ophæves, og efter »' || l_quantity::int || '« bliver stk. 2 til stk. 3.' else 'udgår »' || l_quantity::int || '«.' end as t from lineitem)
+    select l_orderkey::varchar as eli, 'item' as unit, md5(t) as digest from b
+    union all select l_orderkey::varchar, 'act', md5('I prøveloven foretages følgende ændringer:' || string_agg(t, '' order by l_linenumber, t)) from b group by 1""")
+def tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of each item and of each act, from the numbers of their nodes."""
+    tree = lawtree.nodes(acts(spark, sf_dir))
+    units = tree.where("tag in ('Dokument', 'AendringsNummer')")
+    said = lawtree.texts(tree, units).join(units.select("eli", "node", "tag"), ["eli", "node"])
+    return said.select("eli", F.when(F.col("tag") == "Dokument", "act").otherwise("item").alias("unit"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> str:
+    """Orders with their lines as the recorded pages of a service, a thousand keys a page."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("nr"), F.col("l_returnflag").alias("art")))).alias("linjer"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    entity = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("total"), F.col("o_orderdate").cast("string").alias("dato"), "linjer", F.struct(F.col("o_custkey").alias("id")).alias("kunde"))
+    low = F.floor(F.col("o_orderkey") / 1000) * 1000
+    pages = orders.groupBy(F.concat_ws("..", low, low + 999).alias("id")).agg(F.to_json(F.struct(F.collect_list(entity).alias("value"))).alias("page"))  # a thousand entities at most
+    folder = new_folder(spark, "record")
+    pages.select("id", "page").write.partitionBy("id").text(folder)
+    return folder
+
+
+FIELDS = "id long, status string, total double, dato string, linjer array<struct<nr:int,art:string>>, kunde struct<id:long>"
+
+
+@registered("""
+    with n as (select l_orderkey, count(*) as n, count(*) filter (l_returnflag = 'R') as returned from lineitem group by 1)
+    select o_orderkey as id, o_totalprice::double as total, coalesce(n, -1)::int as lines, coalesce(returned, 0)::int as returned, true as unexpanded
+    from orders left join n on l_orderkey = o_orderkey where o_orderstatus = 'O' and o_orderkey between 500 and 4999 and starts_with(o_orderdate::varchar, '199') order by total desc, id limit 60""")
+def odata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded entity scan with $filter, $orderby, $top and $expand; pages outside the range aren't opened."""
+    asked = "status eq 'O' and id ge 500 and id lt 5000 and startswith(dato, '199')"
+    got = odata.query(spark, recorded(spark, sf_dir), FIELDS, filter=asked, orderby="total desc, id", top=60, expand="linjer")
+    returned = F.size(F.filter(F.coalesce("linjer", F.array().cast("array<struct<nr:int,art:string>>")), lambda x: x["art"] == "R"))
+    return got.select("id", "total", F.coalesce(F.size("linjer"), F.lit(-1)).alias("lines"), returned.alias("returned"), F.col("kunde").isNull().alias("unexpanded"))
+
+
 @registered("""
     select l_orderkey, l_linenumber, array_to_string(list_concat(list_concat(range(l_linenumber, l_linenumber + 3), [l_quantity::bigint]), [l_suppkey]), ',') as numbers from lineitem""")
 def item_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
