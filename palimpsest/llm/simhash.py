@@ -70,19 +70,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, *, text_col: str = "text", out: str = "fp", shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns of ``docs`` (all, if none are named) and the fingerprint as a signed long."""
+    """The ``carry`` columns of ``docs`` (all, if none are named) and the fingerprint as a signed long. Columns named as the
+    result, or beginning with ``_sh_``, are left out."""
     carry = docs.columns if carry is None else carry
-    carry = [c for c in carry if c != out]
+    carry = [c for c in carry if c != out and not c.startswith("_sh_")]
     fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), f"`{out}` bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.names.index("_text"))
+            text = batch.column(batch.schema.names.index("_sh_text"))
             fp = np.array([fingerprint(t.as_py(), shingle) for t in text], dtype=np.uint64).view(np.int64)
             kept = [batch.column(batch.schema.names.index(c)) for c in carry]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(fp)], names=[*carry, out])
 
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, fields)
+    return docs.select(*carry, F.col(text_col).alias("_sh_text")).mapInArrow(run, fields)
 
 
 # --- partitions and thresholds -------------------------------------------------------------------

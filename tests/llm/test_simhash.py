@@ -94,3 +94,10 @@ def test_edges(spark):
     for r in got:
         assert r.component_id == want[r.fp % (1 << 64)], by_text
     assert simhash.groups(docs.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, 8)], "doc_id int, text string, _text int, fp int")
+    got = simhash.with_fingerprints(docs)
+    assert got.columns == ["doc_id", "text", "_text", "fp"] and got.first()._text == 7
+    assert got.first().fp == simhash.with_fingerprints(docs.select("doc_id", "text")).first().fp
