@@ -12,6 +12,7 @@ from palimpsest.operators import graph, matching, ordering, stores
 from palimpsest.plans import history, inventory, replay, retrieval, rules
 from palimpsest.session import new_folder, table
 from palimpsest.sources import lawtree, lawxml, odata, web
+from palimpsest.streaming import chunks
 from palimpsest.streaming.stores import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -669,6 +670,21 @@ def parsed_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.groupBy("op_type", "status", F.col("target.paragraph_id").alias("paragraph_id")).agg(F.count("*").alias("n"))
 
 
+@registered("""
+    select conv_id, turn, role, md5(text) as digest, false as corrupt from conversations where role is not null
+    union all select conv_id, null, null, null, true from (select distinct conv_id from conversations)""")
+def chunked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as event streams cut at any place, read back whole; a line of each is no JSON."""
+    turns = table(spark, sf_dir, "conversations")
+    line = F.concat(F.lit(chunks.MARK), F.to_json(F.struct("turn", "role", "text")), F.lit("\n\n"))
+    said = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))), lambda t: t["x"]), "").alias("t"))  # a conversation
+    said = said.select("conv_id", F.concat("t", F.lit('data: {"turn": \ndata: [DONE]')).alias("t"), (3 + F.pmod(F.xxhash64("conv_id"), F.lit(90))).cast("int").alias("w"))
+    parts = said.select("conv_id", "t", "w", F.explode(F.sequence(F.lit(0), F.floor(F.length("t") / F.col("w")).cast("int"))).alias("seq"))
+    cut = parts.select("conv_id", "seq", F.substring(F.col("t"), F.col("seq") * F.col("w") + 1, F.col("w")).alias("piece"))
+    found = chunks.events(chunks.lines(cut, "conv_id", "seq", "piece"), "turn int, role string, text string")
+    return found.select("conv_id", "event.turn", "event.role", F.md5(F.col("event.text").cast("binary")).alias("digest"), F.col("corrupt").isNotNull().alias("corrupt"))
+
+
 @registered("""
     select o_custkey, count(*) as applied, md5('Saldo er nul.' || string_agg(' Ordre ' || o_orderkey || ' er ' || o_orderstatus || '.', '' order by o_orderkey)) as digest from orders group by 1""")
 def replayed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
