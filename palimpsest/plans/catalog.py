@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import numbers, refs, text
+from palimpsest.functions import numbers, refs, tables, text
 from palimpsest.operators import graph, matching, ordering, stores
-from palimpsest.plans import history, inventory, replay, retrieval, rules
+from palimpsest.plans import history, inventory, payloads, replay, retrieval, rules
 from palimpsest.session import new_folder, table
-from palimpsest.sources import lawtree, lawxml, odata, web
+from palimpsest.sources import catalogsink, lawtree, lawxml, odata, web
 from palimpsest.streaming import chunks
 from palimpsest.streaming.stores import windowed_counts
 
@@ -685,6 +685,76 @@ def chunked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "event.turn", "event.role", F.md5(F.col("event.text").cast("binary")).alias("digest"), F.col("corrupt").isNotNull().alias("corrupt"))
 
 
+@registered("""
+    with c as (select p_brand as id, count(*)::int as sections, md5(string_agg('p' || p_partkey, ',' order by p_size, p_partkey)) as digest from part group by 1),
+    v as (select p_brand as id, count(*)::int as previews, sum(p_size % 3)::int as pages from part group by 1)
+    select id, sections, digest, previews, pages from c join v using (id)""")
+def written_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sections of their brand, committed as a catalog with its previews, and read back."""
+    page = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.when(i <= F.col("p_size") % 3, F.concat_ws(" ", "p_name", i)))
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("instrument"), F.concat(F.lit("Mærke "), "p_brand").alias("title"), F.concat(F.lit("P"), "p_partkey").alias("source_id"), F.lit("").alias("label"), F.col("p_name").alias("section_title"),
+        F.array_compact(page).alias("pages"), "p_size", "p_partkey",
+    )
+    folder = new_folder(spark, "catalog")
+    catalogsink.write(rows, folder, "p_size", "p_partkey")
+    found, previews = catalogsink.read(spark, folder)
+    ids = F.array_join(F.transform("sections", lambda s: F.lower(s["id"])), ",")
+    sections = found.select("id", F.size("sections").alias("sections"), F.md5(ids.cast("binary")).alias("digest"))
+    brand = rows.select(F.lower("source_id").alias("_p"), F.col("instrument").alias("_b"))
+    shown = previews.join(brand, F.col("id") == F.col("_p")).groupBy(F.col("_b").alias("id")).agg(F.count("*").cast("int").alias("previews"), F.sum(F.size("pages")).cast("int").alias("pages"))
+    return sections.join(shown, "id")
+
+
+@registered("""
+    with i as (select o_orderkey as k, o_orderkey % 6 as m, year(o_orderdate) as y, o_custkey as c from orders)
+    select k as case_id, case when m = 5 then '' when m = 4 then y::varchar else y || ',' || (y + 1) end as income_years,
+        case m when 0 then 'Indkomst fra udlandet: lønindkomst og pension' when 1 then 'Fast ejendom i udlandet: hus ' || c when 2 then 'Særlige skattepligtsforhold: forskudt indkomstår; egen' when 3 then 'Hovedaktionærstatus' else '' end as foreign_income,
+        case m when 0 then 'Da du altid har haft bopæl i Danmark' when 1 then 'Da du har haft bopæl i Danmark siden ' || y when 2 then 'bopæl ' || c else '' end as residence_fact,
+        case m when 0 then 'lønindkomst og pension' when 1 then 'hus ' || c when 2 then 'forskudt indkomstår' else '' end as detail, m in (0, 1, 3) as one_trigger from i""")
+def case_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of cases whose facts have fields of their own, from VARIANT."""
+    held = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), payloads.facts(case_json()).alias("v")).select("case_id", F.col("v"))
+    made = held.select("case_id", *[c.alias(n) for n, c in payloads.payload(F.col("v")).items()])
+    return made.select("case_id", "income_years", "foreign_income", "residence_fact", F.col("selected_trigger_detail").alias("detail"), "one_trigger")
+
+
+@registered("""
+    select 'years' as field, count(*) as cases from orders where o_orderkey % 6 <> 5 union all select 'mode', count(*) from orders where o_orderkey % 6 in (0, 1)
+    union all select 'since', count(*) from orders where o_orderkey % 6 = 1 union all select 'factors', count(*) from orders where o_orderkey % 6 < 4""")
+def case_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cases have some fields, read into the schema merged over all cases."""
+    held = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), payloads.facts(case_json()).alias("v"))
+    flat = payloads.flattened(held, "v")
+    asked = {"years": "incomeYears", "mode": "residenceMode", "since": "residenceSinceYear", "factors": "selectedFactors"}
+    counts = flat.agg(*[F.count(c).alias(n) for n, c in asked.items()])
+    return counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in asked]), F.array(*asked))).alias("field", "cases"))
+
+
+def case_json():
+    """A case as JSON: each kind has fields that others haven't, and some no JSON at all."""
+    y, m = F.year("o_orderdate"), F.col("o_orderkey") % 6
+    years = F.concat(y.cast("string"), F.lit(" og "), (y + 1).cast("string"))
+    return (
+        F.when(m == 0, F.format_string('{"incomeYears": "%s", "selectedFactors": ["foreign_income"], "foreignIncomeTypes": ["salary", "unknown", "pension"], "residenceMode": "always"}', years))
+        .when(m == 1, F.format_string('{"incomeYears": "%s", "selectedFactors": ["foreign_real_estate"], "factorDetails": {"foreign_real_estate": " hus %d "}, "residenceMode": "since_year", "residenceSinceYear": %d}', years, F.col("o_custkey"), y))
+        .when(m == 2, F.format_string('{"incomeYears": "%s", "selectedFactors": ["special_tax_liability_conditions", "egen"], "specialTaxLiabilityMode": "offset_income_year", "residenceFact": "bopæl %d"}', years, F.col("o_custkey")))
+        .when(m == 3, F.format_string('{"incomeYears": "%s", "selectedFactors": ["major_shareholder_status"], "factorDetails": null}', years))
+        .when(m == 4, F.format_string('{"incomeYears": %d, "residenceFact": ["no text"]}', y))
+        .otherwise(F.lit("[not an object"))
+    )
+
+
+@registered("""
+    select l_orderkey, l_linenumber || '.' as item_number, l_linenumber || '.I § ' || l_linenumber || ', stk. 1 ' ||
+        case l_returnflag when 'R' then 'ændres »' || l_quantity::int || '« til: »' || l_linestatus || '«.' when 'A' then 'ophæves, og efter »' || l_quantity::int || '« bliver stk. 2 til stk. 3.' else 'udgår »' || l_quantity::int || '«.' end as text from lineitem""")
+def lateral_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of all acts read by a table function in SQL."""
+    tables.register(spark)
+    docs = acts(spark, sf_dir).select(F.col("eli").cast("long").alias("k"), "body")
+    return spark.sql("select i.key as l_orderkey, i.item_number, i.text from {docs} d, lateral parse_instructions(d.k, d.body) i", docs=docs)
+
+
 @registered("""
     select o_custkey, count(*) as applied, md5('Saldo er nul.' || string_agg(' Ordre ' || o_orderkey || ' er ' || o_orderstatus || '.', '' order by o_orderkey)) as digest from orders group by 1""")
 def replayed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
