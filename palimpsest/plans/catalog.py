@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import numbers, refs, tables, text
 from palimpsest.operators import graph, matching, ordering, stores
-from palimpsest.plans import history, inventory, payloads, replay, retrieval, rules
+from palimpsest.plans import history, inventory, logs, payloads, replay, retrieval, rules
 from palimpsest.session import new_folder, table
 from palimpsest.sources import catalogsink, lawtree, lawxml, odata, web
 from palimpsest.streaming import chunks
@@ -860,12 +860,44 @@ def article_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-    select conv_id, turn, regexp_matches(trim(role || '-' || conv_id), '^[a-zA-Z0-9_-]{8,80}$') as valid, 'svar nr. ' || turn as answer from conversations""")
+    select conv_id, turn, regexp_matches(trim(role || '-' || conv_id), '^[a-zA-Z0-9_-]{8,80}$') as valid,
+        md5(trim(case when turn % 2 = 0 then text else text || ' ' || turn end, E' \t\n\r')) as answer from conversations""")
 def checked_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session ids held against their form; answers without the list of their sources."""
-    said = F.format_string("\n svar nr. %d \n Anvendte kilder/love: \n- Kilde: x", F.col("turn"))
+    sources = F.when(F.col("turn") % 2 == 0, F.lit("\n Anvendte kilder/love: \n- Kilde: x")).otherwise(F.concat(F.lit(" "), F.col("turn").cast("string"), F.lit("\n\nAnvendte kilder\n- Kilde: y")))
+    said = F.concat(F.lit("\n "), "text", sources)
     sid = inventory.valid_id(F.format_string(" %s-%s ", F.col("role"), F.col("conv_id").cast("string")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sid.isNotNull().alias("valid"), retrieval.without_sources_section(said).alias("answer"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sid.isNotNull().alias("valid"), F.md5(retrieval.without_sources_section(said).cast("binary")).alias("answer"))
+
+
+@registered("""
+    select conv_id, md5(E'Chat-log\nOprettet: ' || min(turn) || E'\nOpdateret: ' || max(turn) || E'\nModel brugt: m\n\n─── Samtale ───' || string_agg(E'\n' || case role when 'user' then 'Du:' when 'assistant' then 'Assistent:' else 'System:' end || E'\n' || text || E'\n', '' order by turn, role, text)) as digest
+    from conversations group by 1""")
+def chat_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as texts to read."""
+    found = logs.chat_texts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", "m")
+    return found.select("conv_id", F.md5(F.col("log").cast("binary")).alias("digest"))
+
+
+@registered("""
+    with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey) as i from lineitem),
+    g as (select l_orderkey, string_agg(E'\n  ' || i || '. ' || case when l_suppkey % 5 = 0 then 'f' || l_suppkey else 'supplier ' || l_suppkey end, '' order by i) as cited,
+                 coalesce(string_agg(E'\n  ' || i || '. part ' || l_partkey || ': ' || left(repeat('ord ' || l_partkey || ' ', 30), 100) || '…', '' order by i) filter (i <= 10), '') as found from l group by 1)
+    select o_orderkey, md5('Juridisk forespørgselslog' || E'\nTidspunkt: ' || o_orderdate::varchar || E'\nModel brugt: \nVector stores: vs' || o_custkey % 3 || ', vs9\n\n─── Spørgsmål ───\nordre ' || o_orderkey || E'?\n\n─── Svar ───\n' || case when o_orderkey % 4 = 0 then '(Tomt svar)' else o_orderstatus end ||
+        E'\n\n─── Kilder (citations) ───' || coalesce(cited, '') || E'\n\n─── Retrieval-træf ───' || coalesce(found, '')) as digest
+    from orders left join g on l_orderkey = o_orderkey""")
+def retrieval_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with their answers, sources and hits as texts to read."""
+    cited = F.struct(F.concat(F.lit("f"), "l_suppkey").alias("file_id"), F.when(F.col("l_suppkey") % 5 != 0, F.concat(F.lit("supplier "), "l_suppkey")).alias("filename"))
+    hit = F.struct(F.concat(F.lit("part "), "l_partkey").alias("filename"), F.repeat(F.concat(F.lit("ord"), F.lit("\n"), "l_partkey", F.lit(" ")), F.lit(30)).alias("text"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", cited.alias("c"), hit.alias("h")))).alias("_l"))  # an order's lines
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        "o_orderkey", F.col("o_orderdate").cast("string").alias("created"), F.lit(None).cast("string").alias("model"), F.array(F.concat(F.lit("vs"), F.col("o_custkey") % 3), F.lit("vs9")).alias("stores"),
+        F.concat(F.lit("ordre "), "o_orderkey", F.lit("?")).alias("question"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")).alias("answer"),
+        F.transform("_l", lambda x: x["c"]).alias("cited"), F.transform("_l", lambda x: x["h"]).alias("hits"),
+    )
+    text_ = logs.log_text("created", "model", "stores", "question", "answer", "cited", "hits")
+    return rows.select("o_orderkey", F.md5(text_.cast("binary")).alias("digest"))
 
 
 @registered("""

@@ -81,14 +81,33 @@ def bills_of(acts: DataFrame, bills: DataFrame) -> DataFrame:
     return one.withColumn("accession", refs.accession(F.col("period"), F.col("bill_number")))
 
 
-def notes_for(rows: DataFrame, acts: DataFrame, bills: DataFrame, bill_docs: DataFrame, law: str) -> DataFrame:
+#: Why a change has no note, as it is told.
+NO_BILL, UNREAD = "lovforslaget findes ikke i Folketingets data", "L %s kunne ikke hentes"
+NOT_IN_BILL, NO_NOTE = "punktet findes ikke i L %s", "L %s har ingen bemærkning til punktet"
+AMENDED = "punktet findes ikke i L %s som fremsat, men der blev stillet ændringsforslag (%s). Bemærkningen står i %s, som Folketinget kun udgiver som PDF, vi ikke kan hente"
+UNAMENDED = "punktet findes ikke i L %s, og der blev ikke stillet ændringsforslag på sagen. Årsagen er ukendt"
+THE_REPORT = "betænkningen"
+
+
+def _not_in_bill(number: Column, asked: bool) -> Column:
+    """Why a bill hasn't the item: an amendment in committee if one was moved, else nothing that is known."""
+    if not asked:
+        return F.format_string(NOT_IN_BILL, number)
+    moved = F.format_string(AMENDED, number, F.get("amendment_titles", F.lit(0)), F.coalesce(F.nullif("report_title", F.lit("")), F.lit(THE_REPORT)))
+    return F.when(F.col("explains").isNull(), F.format_string(NOT_IN_BILL, number)).when(F.col("explains"), moved).otherwise(F.format_string(UNAMENDED, number))
+
+
+def notes_for(rows: DataFrame, acts: DataFrame, bills: DataFrame, bill_docs: DataFrame, law: str, committee: DataFrame | None = None) -> DataFrame:
     """Changes with the note of their bill: note, precise, realigned, problem, confirmation.
 
+    ``committee``: of each bill's case (id) what ``survey.committee_stage`` says. A change that its bill hasn't is then put down
+    to an amendment in committee where one was moved, and ``report_title`` and ``report_url`` say where its reasons are.
+
     An item is found again in the bill by its text, since its numbers may differ there; its note is looked
     up by the bill's own numbers, else that of the whole section, which isn't precise.
     """
     keyed = rows.withColumn("change_id", F.concat_ws("|", "start", "section", "document_path", "amendment_path", F.col("item_ord").cast("string")))
-    with_bill = keyed.join(bills_of(acts, bills).select("document_path", "bill_number", "accession"), "document_path", "left")
+    with_bill = keyed.join(bills_of(acts, bills).select("document_path", F.col("id").alias("case_id"), "bill_number", "accession"), "document_path", "left")
     proposed = lawxml.instructions(bill_docs, law).select(F.regexp_extract("eli", r"([^/]+)\z", 1).alias("accession"), "ord", "text", "act_number", F.regexp_replace("item_number", r"\.\z", "").alias("item_number"))
     proposed = proposed.withColumn("proposed_id", F.struct("ord", "act_number", "item_number"))
     match = matching.best_match(with_bill.where("accession is not null").select("accession", "change_id", "text"), proposed, ["accession"], wanted_id="change_id", proposed_id="proposed_id")
@@ -101,11 +120,15 @@ def notes_for(rows: DataFrame, acts: DataFrame, bills: DataFrame, bill_docs: Dat
     here = bill_docs.select(F.regexp_extract("eli", r"([^/]+)\z", 1).alias("accession"), F.lit(True).alias("_here")).distinct()
     found = found.join(here, "accession", "left")
     law_p, law_i = (F.regexp_extract("amendment_path", r"§\s*(\d+), nr\. (\d+)", g).try_cast("int") for g in (1, 2))
+    if committee is not None:
+        stage = committee.select(F.col("id").alias("case_id"), "report_title", "report_url", "amendment_titles", "explains")
+        found = found.join(first_wins(stage, ["case_id"], "report_title"), "case_id", "left")
+    number = F.col("bill_number").cast("string")
     problem = (
-        F.when(F.col("accession").isNull(), "lovforslaget findes ikke i Folketingets data")
-        .when(F.col("_here").isNull(), F.concat(F.lit("L "), F.col("bill_number").cast("string"), F.lit(" kunne ikke hentes")))
-        .when(F.col("_p").isNull(), F.concat(F.lit("punktet findes ikke i L "), F.col("bill_number").cast("string")))
-        .when(F.coalesce("_own", "_whole").isNull(), F.concat(F.lit("L "), F.col("bill_number").cast("string"), F.lit(" har ingen bemærkning til punktet")))
+        F.when(F.col("accession").isNull(), NO_BILL)
+        .when(F.col("_here").isNull(), F.format_string(UNREAD, number))
+        .when(F.col("_p").isNull(), _not_in_bill(number, committee is not None))
+        .when(F.coalesce("_own", "_whole").isNull(), F.format_string(NO_NOTE, number))
     )
     out = found.withColumns(
         {

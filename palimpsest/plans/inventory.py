@@ -146,6 +146,10 @@ def inspected(items: DataFrame, constructions: Sequence[str] = (), marks: Sequen
     return out
 
 
+#: Fixed value: the notice that an older version was asked for.
+NEWER = "Der er kommet %d nyere udgave%s siden %s. Bruger %s."
+
+
 def versions(chain: DataFrame, names: DataFrame) -> DataFrame:
     """Of walks from a known version to newer ones (start, node, depth) with ``names`` (node, label, date): start, newest,
     skipped, notice, versions (newest first). The notice says that an older version was asked for."""
@@ -153,7 +157,7 @@ def versions(chain: DataFrame, names: DataFrame) -> DataFrame:
     row = F.struct(F.col("depth"), F.col("node"), F.col("label"), F.col("date"))
     listed = F.reverse(F.array_sort(F.collect_list(row)))
     out = rows.groupBy("start").agg(listed.alias("versions")).withColumns({"newest": F.get("versions", F.lit(0))["node"], "skipped": F.size("versions") - 1})
-    notice = F.format_string("Der er kommet %d nyere udgave%s siden %s. Bruger %s.", F.col("skipped"), F.when(F.col("skipped") > 1, "r").otherwise(""), F.col("start").cast("string"), F.col("newest").cast("string"))
+    notice = F.format_string(NEWER, F.col("skipped"), F.when(F.col("skipped") > 1, "r").otherwise(""), F.col("start").cast("string"), F.col("newest").cast("string"))
     return out.select("start", "newest", "skipped", F.when(F.col("skipped") > 0, notice).otherwise("").alias("notice"), "versions")
 
 

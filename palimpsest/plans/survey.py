@@ -13,6 +13,12 @@ from palimpsest.operators.ordering import char_budget, first_wins
 CONTEXT_KINDS = ("fakta", "retskilde", "skrivevejledning")
 
 
+#: A context's frame, what stands for names it lacks, and the mark where it was cut.
+FRAME = ("[Kontekstfil: ", " | type: ", "]\n")
+NO_NAME, NO_TYPE = "ukendt_fil", "ukendt"
+CUT = "\n[NOTE: Kontekst afkortet pga. længde]\n"
+
+
 # --- contexts -------------------------------------------------------------------------------------
 
 
@@ -24,10 +30,10 @@ def context_blocks(files: DataFrame, budget: int, session: str = "session_id") -
     """
     kind = F.when(F.col("kind").isin(*CONTEXT_KINDS), F.col("kind")).otherwise(CONTEXT_KINDS[0])
     named = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
-    block = F.concat(F.lit("[Kontekstfil: "), named("filename", "ukendt_fil"), F.lit(" | type: "), named("file_type", "ukendt"), F.lit("]\n"), F.trim("text"), F.lit("\n"))
+    block = F.concat(F.lit(FRAME[0]), named("filename", NO_NAME), F.lit(FRAME[1]), named("file_type", NO_TYPE), F.lit(FRAME[2]), F.trim("text"), F.lit("\n"))
     rows = files.where(F.coalesce("enabled", F.lit(True)) & (F.coalesce(F.trim("text"), F.lit("")) != ""))
     rows = rows.withColumns({"kind": kind, "block": block})
-    return char_budget(rows, "block", budget, [F.desc("created"), "filename"], [session], out="kept_block", mark="\n[NOTE: Kontekst afkortet pga. længde]\n")
+    return char_budget(rows, "block", budget, [F.desc("created"), "filename"], [session], out="kept_block", mark=CUT)
 
 
 def context_text(blocks: DataFrame, session: str = "session_id") -> DataFrame:

@@ -50,6 +50,7 @@ def extension(name: str | Column) -> Column:
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def docx_text(data: bytes) -> str:
@@ -64,17 +65,27 @@ def docx_text(data: bytes) -> str:
     return "\n".join(lines)
 
 
+def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of a workbook's sheets in its order, by its relations; without these, by number."""
+    sheets = list(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_S}sheet"))
+    parts: dict[str | None, str] = {}
+    if "xl/_rels/workbook.xml.rels" in book.namelist():
+        for relation in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            target = relation.get("Target") or ""
+            parts[relation.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    return [(s.get("name") or "", parts.get(s.get(_RELATION), f"xl/worksheets/sheet{k}.xml")) for k, s in enumerate(sheets, start=1)]
+
+
 def xlsx_text(data: bytes) -> str:
     """Sheets by name, rows of non-blank cells parted by " | ", a mark where rows were left out."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_S}si")]
-    names = [s.get("name") or "" for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
     lines = []
-    for k, name in enumerate(names[:SHEETS], start=1):
+    for name, part in _sheets(z)[:SHEETS]:
         lines.append(f"# {name}")
-        rows = list(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{_S}row"))
+        rows = list(ElementTree.fromstring(z.read(part)).iter(f"{_S}row"))
         for row in rows[:SHEET_ROWS]:
             cells = []
             for c in row.findall(f"{_S}c"):
@@ -90,14 +101,21 @@ def xlsx_text(data: bytes) -> str:
     return "\n".join(lines)
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Pages' texts where a PDF library is installed; none otherwise or if the file can't be read."""
+def pdf_read(data: bytes) -> tuple[list[str], str | None]:
+    """(pages' texts, problem): no pages, and why, where no PDF library is installed or the file can't be read."""
     try:
         from pypdf import PdfReader
+    except ImportError:
+        return [], "no PDF library"
+    try:
+        return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages], None
+    except Exception as error:  # noqa: BLE001 - the library raises anything on broken files
+        return [], f"{type(error).__name__}: {error}"
+
 
-        return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
-    except Exception:  # noqa: BLE001 - unreadable files give no pages
-        return []
+def pdf_pages(data: bytes) -> list[str]:
+    """Pages' texts; none if the file can't be read (``pdf_read`` says why)."""
+    return pdf_read(data)[0]
 
 
 def _parser(parse: Callable[[bytes], str]):

@@ -25,6 +25,7 @@ def start_upserts(
     has keys of, as their next version, so a batch that runs again gives the same version. Of a bucket the version before
     the newest is kept for that, older ones are removed."""
     spark = stream.sparkSession
+    _same_buckets(spark, folder, buckets)
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -42,6 +43,14 @@ def start_upserts(
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _same_buckets(spark: SparkSession, folder: str, buckets: int) -> None:
+    """The number of buckets is kept beside the table; another number would look for keys where they aren't."""
+    if not paths_like(spark, f"{folder}/_buckets/_SUCCESS"):
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/_buckets")
+    if (held := spark.read.parquet(f"{folder}/_buckets").first()[0]) != buckets:
+        raise ValueError(f"{folder} has {held} buckets, not {buckets}")
+
+
 def _versions(spark: SparkSession, folder: str) -> list[tuple[int, int, str]]:
     """(version, bucket, path) of what is in the folder: at most a few versions of a fixed number of buckets."""
     paths = paths_like(spark, f"{folder}/v=*/bucket=*")
