@@ -12,7 +12,7 @@ from palimpsest.operators import graph, matching, ordering, stores
 from palimpsest.plans import history, inventory, logs, payloads, replay, retrieval, rules
 from palimpsest.session import new_folder, table
 from palimpsest.sources import catalogsink, lawtree, lawxml, odata, web
-from palimpsest.streaming import chunks
+from palimpsest.streaming import chunks, progress
 from palimpsest.streaming.stores import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +365,13 @@ def chain_walk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walk_whole(*order_chains(spark, sf_dir))
 
 
+@registered(_CHAINS.format(bound="c.depth + 1 < 5"))
+def told_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five orders back from every customer's last, told step by step by a stream, and put together again."""
+    edges, starts = order_chains(spark, sf_dir)
+    return progress.told(edges, starts, new_folder(spark, "told-walk"), 5, files=64).select("start", "node", "depth")
+
+
 @registered("""
     with n as (select o_orderkey, o_custkey, o_orderpriority, o_orderkey + i as other from orders, unnest(range(1, 6)) t(i)),
     e as (select n.o_orderkey as src, max(b.o_orderkey) as dst from n join orders b on b.o_orderkey = n.other and b.o_orderpriority = n.o_orderpriority group by 1)
