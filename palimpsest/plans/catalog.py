@@ -762,6 +762,71 @@ def lateral_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select i.key as l_orderkey, i.item_number, i.text from {docs} d, lateral parse_instructions(d.k, d.body) i", docs=docs)
 
 
+@registered("""
+    select doc_id, md5(regexp_replace(regexp_replace(text, '([\\p{L}])-\\n([\\p{Ll}])', '\\1\\2', 'g'), '([\\p{L}\\p{N},])\\n([\\p{Ll}])', '\\1 \\2', 'g')) as unwrapped,
+        md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '[Ll]icen')), chr(10))) as without_lines,
+        md5(case when instr(text, '. ') > 0 then substr(text, instr(text, '. ') + 2) else text end) as after_marker,
+        md5(case when length(text) > 100 then left(text, 100) || '…' else text end) as truncated,
+        md5(array_to_string(regexp_extract_all(text, '(?s).{0,10}er.{0,10}')[1:3], '|')) as windows,
+        md5(trim(regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), '\\s+([,.;:])', '\\1', 'g'), E' \\t\\n\\r')) as tidied from documents""")
+def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of whole texts, cleaned in six ways."""
+    made = {
+        "unwrapped": text.unwrap_lines("text"), "without_lines": text.drop_lines("text", "[Ll]icen"), "after_marker": text.from_marker("text", ". "), "truncated": text.truncate("text", 100, "…"),
+        "windows": F.array_join(text.windows_around("text", "er", 10, 3), "|"), "tidied": text.tidy("text"),
+    }
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(c.cast("binary")).alias(n) for n, c in made.items()])
+
+
+@registered("""
+    with k as (select o_orderkey as k, year(o_orderdate) as y from orders)
+    select k as o_orderkey, '§' || (k % 50 + 1) || lower(chr((65 + k % 3)::int)) as paragraphs, 'ligningslov' as laws, 'skm' || y || k || 'hr' as rulings, 'artikel' || k % 30 as articles,
+        'ligningslovens § ' || (k % 50 + 1) || ' ' || chr((65 + k % 3)::int) as citation, 1800 + k % 300 between 1849 and 2030 as plausible, k::int as leading from k""")
+def asked_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What questions name: sections, laws, rulings, articles and citations."""
+    k = F.col("o_orderkey")
+    said = F.format_string("Hvad siger ligningslovens § %d %s, artikel %d og SKM%d.%d.HR?", k % 50 + 1, F.chr(65 + k % 3), k % 30, F.year("o_orderdate"), k)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("t")).select("*", refs.reference_keys("t").alias("r"))
+    named = {n: F.array_join(F.col("r")[kind], "|").alias(n) for n, kind in zip(("paragraphs", "laws", "rulings", "articles"), refs.KINDS, strict=True)}
+    return rows.select(
+        "o_orderkey", *named.values(), F.array_join(refs.law_citations(F.array("t")), "|").alias("citation"),
+        refs.plausible_year(F.concat_ws("/", F.lit("eli/lta"), 1800 + k % 300, k), 2030).alias("plausible"), numbers.leading_int(F.concat(F.lit(" "), k.cast("string"), F.lit("x"))).alias("leading"),
+    )
+
+
+@registered("""
+    select l_orderkey, l_linenumber, l_partkey, case l_linenumber % 4 when 1 then 'section named' when 2 then 'words repeated' end as how, case l_linenumber % 4 when 2 then 8 else 0 end as run,
+        l_linenumber % 4 <> 0 as checkable, l_linenumber % 4 = 1 and l_partkey % 2 = 0 as exact_mention from lineitem""")
+def confirmed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a note is about the change for which it was found."""
+    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 4
+    change = F.format_string("I § %d A ændres »alfa beta gamma %d delta epsilon zeta eta theta« til »x«.", q, F.col("l_partkey"))
+    named = F.format_string("Om § %d A%s mere", q, F.when(F.col("l_partkey") % 2 == 0, ",").otherwise("og"))
+    repeated = F.format_string("Det foreslås alfa beta gamma %d Delta, epsilon zeta eta", F.col("l_partkey"))
+    note = F.when(n == 1, named).when(n == 2, repeated).when(n == 3, "Noget helt andet.").otherwise("")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", change.alias("c"), note.alias("n"), F.concat(q.cast("string"), F.lit("A")).alias("s"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", matching.confirmation(F.col("c"), F.col("n"), F.col("s")).alias("x")).select("l_orderkey", "l_linenumber", "l_partkey", "x.*")
+
+
+@registered("""
+    with k as (select o_orderkey as k, o_orderdate::date as d from orders)
+    select k as o_orderkey, k || 'B' as section, 'prøve' || k || 'loven' as name, 'eli/lta/2020/' || k as path,
+        'LBK ' || k || ' af ' || day(d) || '. ' || ['januar', 'februar', 'marts', 'april', 'maj', 'juni', 'juli', 'august', 'september', 'oktober', 'november', 'december'][month(d)] || ' ' || year(d) as label,
+        '20202L' || lpad(k::varchar, greatest(5, length(k::varchar))::int, '0') as accession, k || 'C|' || (k + 1) as inserted, case k % 3 when 0 then 2 when 1 then 0 end::int as places from k""")
+def law_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, paths and labels of laws as they are written, in their normal form."""
+    k = F.col("o_orderkey")
+    key = k.cast("string")
+    rows = table(spark, sf_dir, "orders")
+    places = F.when(k % 3 == 0, "to steder ændres").when(k % 3 == 1, "alle steder ændres").otherwise("stederne ændres")
+    return rows.select(
+        "o_orderkey", refs.normal_section(F.concat(F.lit("§ "), key, F.lit(" b"))).alias("section"), refs.law_name(F.concat(F.lit("Bekendtgørelse af lov om prøver (prøve"), key, F.lit("loven)"))).alias("name"),
+        refs.path_of_uri(F.concat(F.lit("https://www.retsinformation.dk/eli/lta/2020/"), key, F.lit("/"))).alias("path"),
+        refs.consolidation_label(F.concat(F.lit("eli/lta/2020/"), key), F.col("o_orderdate").cast("string")).alias("label"), refs.accession(F.lit("2020"), k).alias("accession"),
+        F.array_join(refs.inserted_sections(F.concat(F.lit("§ "), key, F.lit(" C. Ny. § "), (k + 1).cast("string"), F.lit(". x"))), "|").alias("inserted"), refs.occurrence_count(places).alias("places"),
+    )
+
+
 @registered("""
     select o_custkey, count(*) as applied, md5('Saldo er nul.' || string_agg(' Ordre ' || o_orderkey || ' er ' || o_orderstatus || '.', '' order by o_orderkey)) as digest from orders group by 1""")
 def replayed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
