@@ -43,21 +43,33 @@ def letter_counts(text: Column) -> Column:
     return F.array(*each, F.length(F.translate(text, LETTERS, "")))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct stretches of n characters; of shorter texts none."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def best_match(wanted: DataFrame, proposed: DataFrame, block: Sequence[str], *, wanted_id: str, proposed_id: str, text: str = "text", least: float = MATCH_THRESHOLD) -> DataFrame:
     """For each wanted row the most similar proposed row of its block: wanted_id, proposed_id, ratio.
 
     Equal fingerprints need no comparison; only what has no equal is compared, and only in its block, and
     only where lengths and the letters that both have allow the ratio at all: a match can't hold more of a letter than
-    either text. A block's rows meet in pairs, so blocks are meant to be narrow. Of equal ratios the first proposed row wins.
+    either text. Then the pairs of neighbouring letters are counted: what isn't matched, x characters of one text and y of
+    the other, breaks at most 2x of its pairs and adds at most y. A block's rows meet in pairs, so blocks are meant to be
+    narrow. Of equal ratios the first proposed row wins.
     """
-    w = wanted.select(*block, F.col(wanted_id).alias("_w"), fingerprint(text).alias("_a")).withColumn("_la", letter_counts(F.col("_a")))
-    p = proposed.select(*block, F.col(proposed_id).alias("_p"), fingerprint(text).alias("_b")).withColumn("_lb", letter_counts(F.col("_b")))
+    w = wanted.select(*block, F.col(wanted_id).alias("_w"), fingerprint(text).alias("_a")).withColumns({"_la": letter_counts(F.col("_a")), "_ga": _grams(F.col("_a"), 2)})
+    p = proposed.select(*block, F.col(proposed_id).alias("_p"), fingerprint(text).alias("_b")).withColumns({"_lb": letter_counts(F.col("_b")), "_gb": _grams(F.col("_b"), 2)})
     same = w.join(p.withColumnRenamed("_b", "_a"), [*block, "_a"]).select("_w", "_p", F.lit(1.0).alias("ratio"))
     rest = w.join(same.select("_w").distinct(), "_w", "left_anti")
     short, long = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
     both = F.aggregate(F.zip_with("_la", "_lb", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
     possible = (2.0 * short >= F.lit(least) * (short + long)) & (2.0 * both >= F.lit(least) * (short + long))
-    near = rest.join(p, list(block)).where(possible).select("_w", "_p", sequence_ratio("_b", "_a").alias("ratio"))
+    # Repeated pairs of letters count once in the arrays, so as many as either text repeats may be missing there.
+    repeats = F.least(F.length("_a") - 1 - F.size("_ga"), F.length("_b") - 1 - F.size("_gb"))
+    kept = F.length("_a") - 1 - 2 * F.length("_a") - F.length("_b") + 1.5 * F.lit(least) * (short + long)
+    alike = F.when(kept - repeats > 0, F.size(F.array_intersect("_ga", "_gb")) >= kept - repeats - 1e-9).otherwise(True)
+    near = rest.join(p, list(block)).where(possible & alike).select("_w", "_p", sequence_ratio("_b", "_a").alias("ratio"))
     found = same.unionByName(near.where(F.col("ratio") >= least))
     best = first_wins(found, ["_w"], -F.col("ratio"), "_p")
     return best.select(F.col("_w").alias(wanted_id), F.col("_p").alias(proposed_id), "ratio")
@@ -150,12 +162,6 @@ def catalog_search(sections: DataFrame, parsed: dict, *, id_col: str = "source_i
     return out
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct stretches of n characters; of shorter texts none."""
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-
-
 def contains_join(rows: DataFrame, files: DataFrame, row_id: str, needles: Sequence[str | Column], name: str) -> DataFrame:
     """For each row the first file, by name, whose name holds one of its needles anywhere, upper and lower case alike.
 

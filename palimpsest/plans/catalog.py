@@ -205,10 +205,10 @@ def catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def similarity_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each part of an even key the most alike part of an odd key of its brand."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    """For each part of an even key the most alike part of an odd key of its brand, among a thousand keys."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.floor(F.col("p_partkey") / 1000).alias("lot"), "p_size", F.concat_ws(" ", "p_name", "p_type").alias("text"))
     even, odd = parts.where("p_partkey % 2 = 0"), parts.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "other")
-    return matching.best_match(even, odd, ["p_brand"], wanted_id="p_partkey", proposed_id="other", least=0.6)
+    return matching.best_match(even, odd, ["p_brand", "lot"], wanted_id="p_partkey", proposed_id="other", least=0.6)
 
 
 # --- order, budgets, titles -----------------------------------------------------------------------
@@ -879,17 +879,18 @@ def law_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""
     with s as (select *, case p_partkey % 3 when 0 then 'article' when 1 then 'protocol' else 'other' end as kind, case when p_partkey % 7 = 0 then 'x' else (p_partkey % 40)::varchar end as number from part),
-    o as (select p_brand, p_partkey, row_number() over (partition by p_brand order by case kind when 'article' then 0 when 'protocol' then 1 else 2 end,
+    o as (select p_brand || '-' || p_partkey // 1000 as instrument, p_partkey, row_number() over (partition by p_brand, p_partkey // 1000 order by case kind when 'article' then 0 when 'protocol' then 1 else 2 end,
              case when kind = 'article' then coalesce(try_cast(number as int), 9999) else 0 end, case when kind = 'article' and try_cast(number as int) is not null then '' else p_name end, p_partkey) as place from s)
-    select p_brand, string_agg(p_partkey::varchar, ',' order by place) as sections from o group by 1""")
+    select instrument, string_agg(p_partkey::varchar, ',' order by place) as sections from o group by 1""")
 def nested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each brand's parts as a catalog's sections, in their order."""
+    """Each brand's parts as a catalog's sections, in their order; an instrument is a brand's share of a thousand keys."""
     k = F.col("p_partkey")
     kind = F.when(k % 3 == 0, "article").when(k % 3 == 1, "protocol").otherwise("other")
     number = F.when(k % 7 == 0, "x").otherwise((k % 40).cast("string"))
-    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", kind.alias("kind"), number.alias("number"))
-    found = inventory.nested(rows, "p_brand", "p_partkey", "kind", "number", "p_name")
-    return found.select("p_brand", F.array_join(F.transform("sections", lambda x: x["id"].cast("string")), ",").alias("sections"))
+    instrument = F.concat_ws("-", "p_brand", F.floor(k / 1000))
+    rows = table(spark, sf_dir, "part").select(instrument.alias("instrument"), "p_partkey", "p_name", kind.alias("kind"), number.alias("number"))
+    found = inventory.nested(rows, "instrument", "p_partkey", "kind", "number", "p_name")
+    return found.select("instrument", F.array_join(F.transform("sections", lambda x: x["id"].cast("string")), ",").alias("sections"))
 
 
 @registered("""

@@ -55,3 +55,30 @@ def test_shared_runs_of_a_long_text(spark):
     started = time.time()
     got = {(r.l, r.r): r.shared for r in matching.shared_runs(left, right, "l", "r").collect()}
     assert got == {(1, 9): 8, (2, 9): 8} and time.time() - started < 20
+
+
+def test_best_match_is_brute_force(spark):
+    import difflib
+
+    rng = random.Random(11)
+
+    def changed(t, n):
+        t = list(t)
+        for _ in range(n):
+            k = rng.randrange(len(t) + 1)
+            t[k : k + rng.randrange(2)] = rng.choice(["", "a", "øb", "ab"])
+        return "".join(t)
+
+    base = ["".join(rng.choice("abcdø") for _ in range(rng.randrange(1, 60))) for _ in range(12)] + ["", "ababab" * 8, "a" * 30]
+    wanted = [(i, i % 2, changed(b, rng.randrange(6))) for i, b in enumerate(base * 3)]
+    proposed = [(i, i % 2, changed(b, rng.randrange(6))) for i, b in enumerate(base * 3)]
+    w, p = spark.createDataFrame(wanted, "w int, block int, text string"), spark.createDataFrame(proposed, "p int, block int, text string")
+    for least in (0.5, 0.75, 0.9):
+        want = {}
+        for i, x, a in wanted:
+            scored = [(-difflib.SequenceMatcher(None, b, a, autojunk=False).ratio(), j) for j, y, b in proposed if x == y]
+            ratio, j = min(scored)
+            if -ratio >= least:
+                want[i] = (j, -ratio)
+        got = {r.w: (r.p, r.ratio) for r in matching.best_match(w, p, ["block"], wanted_id="w", proposed_id="p", least=least).collect()}
+        assert got == want and len(got) > 5
