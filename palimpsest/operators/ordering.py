@@ -6,7 +6,7 @@ Order is always an explicit column: Spark's rows have none of their own.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,21 +150,60 @@ def search_topk(hits: DataFrame, k: int, *, score: str = "score", key: Sequence[
     return best.orderBy(*by).limit(k)
 
 
+# --- running values of keys of any size --------------------------------------------------------------
+
+
+def dealt(df: DataFrame, key: Sequence[str], *order: str | Column) -> DataFrame:
+    """``df`` in ranges of key and order, written, with ``_range``, the range's number.
+
+    A key that holds many rows lies in many ranges, one after the other in its order, and no task gets more than a range.
+    Rows equal in key and order share one.
+    """
+    return spool(df.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def with_earlier(parts: DataFrame, key: Sequence[str], of_range: Column, together: Callable[[str], Column], out: str) -> DataFrame:
+    """``parts`` of ``dealt`` with ``out``: ``of_range``, an aggregate, of the key's earlier ranges, put ``together``.
+
+    A running value is then that of the row's own range, by a window over range and key, after ``out``. Only the first
+    key of a range has earlier ones, so what is broadcast is at most a row a range; other rows have null.
+    """
+    ends = parts.groupBy("_range", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(of_range.alias("_end"))
+    names = [f"_k{i}" for i in range(len(key))]
+    before = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ends.withColumn(out, together("_end").over(before)).where(F.col(out).isNotNull()).drop("_end").withColumnRenamed("_range", "_r")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)], F.col("_range") == F.col("_r"))
+    return parts.join(F.broadcast(earlier), same, "left").drop("_r", *names)
+
+
+def with_count(df: DataFrame, key: Sequence[str], out: str) -> DataFrame:
+    """``df`` with ``out``: how many rows its key has. Counted before the shuffle; a hot key's rows stay where they are or
+    are split by the adaptive join."""
+    names = [f"_n{i}" for i in range(len(key))]
+    counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)]).agg(F.count("*").alias(out))
+    if not key:
+        return df.crossJoin(F.broadcast(counts))  # one row
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)])
+    return df.join(counts, same).drop(*names)
+
+
 def char_budget(df: DataFrame, text: str, budget: int, newest: Sequence[str | Column], group: Sequence[str] = (), out: str = "kept_text", mark: str = "") -> DataFrame:
-    """Rows in order while their texts fit into ``budget`` characters; the last is cut to what remains."""
-    w = Window.partitionBy(*group).orderBy(*newest).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
-    left = F.lit(budget) - used
+    """Rows in order while their texts fit into ``budget`` characters; the last is cut to what remains. Null and empty
+    texts are left out; a group of any size, or the whole table without one, is summed by ranges."""
+    parts = dealt(df.where(F.length(text) > 0), group, *newest)
+    here = Window.partitionBy("_range", *group).orderBy(*newest).rowsBetween(Window.unboundedPreceding, -1)
+    summed = with_earlier(parts, group, F.sum(F.length(text)), F.sum, "_earlier")
+    used = F.coalesce(F.sum(F.length(text)).over(here), F.lit(0)) + F.coalesce("_earlier", F.lit(0))
+    left = F.col("_left")
     cut = F.when(F.length(text) > left, F.concat(F.left(F.col(text), left.cast("int")), F.lit(mark))).otherwise(F.col(text))
-    return df.where(F.length(text) > 0).withColumn("_left", left).where("_left > 0").withColumn(out, F.when(F.col("_left") > 0, cut)).drop("_left")
+    return summed.withColumn("_left", F.lit(budget) - used).where("_left > 0").withColumn(out, cut).drop("_left", "_range", "_earlier")
 
 
 def shared_budget(df: DataFrame, text: str, budget: int, order: Sequence[str | Column], group: Sequence[str] = (), least: int = 500) -> DataFrame:
     """Each row gets an equal share of the budget, ``least`` at least, then the total holds."""
-    n = F.count("*").over(Window.partitionBy(*group))
-    share = F.greatest(F.lit(least), F.floor(F.lit(budget) / n)).cast("int")
-    cut = df.withColumn("_cut", F.left(F.col(text), share))
-    return char_budget(cut, "_cut", budget, order, group).drop("_cut")
+    share = F.greatest(F.lit(least), F.floor(F.lit(budget) / F.col("_n"))).cast("int")
+    cut = with_count(df, group, "_n").withColumn("_cut", F.left(F.col(text), share))
+    return char_budget(cut, "_cut", budget, order, group).drop("_cut", "_n")
 
 
 def pages(df: DataFrame, key: Sequence[str], items: str, size: int) -> DataFrame:
@@ -195,29 +234,21 @@ def transcript(messages: DataFrame, key: str, order: str, role: str, text: str)
     return said.groupBy(key).agg(joined.alias("transcript"), F.count("*").alias("messages"))
 
 
-def numbered(df: DataFrame, order: str, out: str, key: Sequence[str] = ()) -> DataFrame:
+def numbered(df: DataFrame, order: str | Column | Sequence[str | Column], out: str, key: Sequence[str] = ()) -> DataFrame:
     """``df`` with a long ``out``: each row's place by ``order``, from 1, within its key or, without one, in the table.
 
-    A table is numbered without gathering it: rows are dealt to ranges of ``order``, written, numbered in their range, and
-    what the ranges before hold is added. Rows equal in ``order`` share a range and are numbered in any order.
+    Neither a table nor a key is gathered: see ``dealt``. Rows equal in ``order`` are numbered in any order.
     """
-    if key:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(order)).cast("long"))
-    ranged = spool(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    starts = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn("_place", place).join(starts, "_range").withColumn(out, F.col("_start") + F.col("_place")).drop("_range", "_start", "_place")
+    by = [order] if isinstance(order, (str, Column)) else list(order)
+    counted = with_earlier(dealt(df, key, *by), key, F.count("*"), F.sum, "_earlier")
+    place = F.row_number().over(Window.partitionBy("_range", *key).orderBy(*by))
+    return counted.withColumn(out, place + F.coalesce("_earlier", F.lit(0)).cast("long")).drop("_range", "_earlier")
 
 
 def remaining_steps(versions: DataFrame, order: str, key: Sequence[str] = ()) -> DataFrame:
     """How many versions are left from each on, at least one; of each ``key`` apart, if there is one."""
-    placed = numbered(versions, order, "_at", key)
-    if key:
-        n = F.count("*").over(Window.partitionBy(*key))
-    else:
-        n = F.lit(versions.count())
-    return placed.withColumn("remaining", F.greatest(F.lit(1), n - F.col("_at") + 1).cast("int")).drop("_at")
+    placed = with_count(numbered(versions, order, "_at", key), key, "_n")
+    return placed.withColumn("remaining", F.greatest(F.lit(1), F.col("_n") - F.col("_at") + 1).cast("int")).drop("_at", "_n")
 
 
 def by_priority(df: DataFrame, key: str, ranks: dict[str, int], default: int = 999) -> DataFrame:
@@ -235,5 +266,9 @@ def numbered_pool(slots: DataFrame, pool: DataFrame, slot_order: str, pool_order
 
 
 def forward_fill(df: DataFrame, value: str, key: Sequence[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(order)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    """``value`` of the last row that has one, up to each row of its key; null before the first. Nulls in the order come
+    first; of rows equal in it any may be the last."""
+    last_here = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(order)))
+    filled = with_earlier(dealt(df, key, order), key, last_here, partial(F.last, ignorenulls=True), "_earlier")
+    here = F.last(value, ignorenulls=True).over(Window.partitionBy("_range", *key).orderBy(order))
+    return filled.withColumn(value, F.coalesce(here, "_earlier")).drop("_range", "_earlier")

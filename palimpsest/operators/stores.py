@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.ordering import dealt, with_earlier
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
     """New rows replace old ones of the same key; ``kept`` columns keep the old value where there is one."""
@@ -83,13 +86,15 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def valid_as_of(rows: DataFrame, asked: DataFrame, key: str, at: str, valid_from: str) -> DataFrame:
     """Each asked (key, date) with the latest row that was valid then; none: nulls.
 
-    Both are put in one order and the last valid row is carried forward, so no pairs are made.
+    Both are put in one order and the last valid row is carried forward, so no pairs are made; a key with many rows is
+    carried through range by range. Null dates of rows come before all others; of rows of one key and date any counts.
     """
-    from pyspark.sql import Window
-
     carried = [c for c in rows.columns if c not in (key,)]
     a = rows.select(key, F.col(valid_from).alias("_t"), F.lit(0).alias("_k"), F.struct(*carried).alias("_row"), F.lit(None).cast(asked.schema[at].dataType).alias(at))
     b = asked.select(key, F.col(at).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), at)
-    w = Window.partitionBy(key).orderBy("_t", "_k")
-    both = a.unionByName(b).withColumn("_row", F.last("_row", ignorenulls=True).over(w))
+    parts = dealt(a.unionByName(b), [key], "_t", "_k")
+    last_here = F.max_by("_row", F.when(F.col("_k") == 0, F.struct("_t")))
+    filled = with_earlier(parts, [key], last_here, partial(F.last, ignorenulls=True), "_earlier")
+    here = F.last("_row", ignorenulls=True).over(Window.partitionBy("_range", key).orderBy("_t", "_k"))
+    both = filled.withColumn("_row", F.coalesce(here, "_earlier"))
     return both.where("_k = 1").select(key, at, *[F.col("_row")[c].alias(c) for c in carried])

@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import col, collapse, match_text, strip
-from palimpsest.operators.ordering import first_wins
+from palimpsest.operators.ordering import first_wins, numbered
 
 #: Names of countries as folders and first pages write them, and their codes.
 COUNTRIES = (
@@ -112,8 +112,8 @@ def nested(sections: DataFrame, instrument: str, source: str, kind: str, number:
 
 def ranked(hits: DataFrame, instrument: str, version: str, status: str, active: str = "active") -> DataFrame:
     """Search results with ``rank`` in their instrument: what is active first, then the newest version."""
-    w = Window.partitionBy(instrument).orderBy(F.desc(F.coalesce(F.col(status) == active, F.lit(False))), F.desc_nulls_last(version))
-    return hits.withColumn("rank", F.row_number().over(w))
+    by = [F.desc(F.coalesce(F.col(status) == active, F.lit(False))), F.desc_nulls_last(version)]
+    return numbered(hits, by, "rank", [instrument]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def labels_with(registry: DataFrame, label: str, term: str) -> DataFrame:
@@ -163,7 +163,7 @@ def versions(chain: DataFrame, names: DataFrame) -> DataFrame:
 
 def by_valid_from(rows: DataFrame, key: Sequence[str], valid_from: str) -> DataFrame:
     """Versions with ``place``: the latest validFrom first, compared as text."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last(F.col(valid_from).cast("string")))))
+    return numbered(rows, F.desc_nulls_last(F.col(valid_from).cast("string")), "place", key).withColumn("place", F.col("place").cast("int"))
 
 
 def first_pages(pages: DataFrame, document: str, page: str, text: str, most: int = 2) -> DataFrame:
