@@ -76,6 +76,47 @@ def strict_sourcing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.audit(answers).select("l_orderkey", F.size("citations").alias("citations"), F.size("rejected").alias("rejected"), "problem")
 
 
+@registered("""
+    with l as (select l_orderkey as k, l_suppkey as s, l_quantity::int as q, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_quantity) as i from lineitem),
+    f as (select k, s, s % 7 = 0 as law, min(i) as first, min(i) filter (i % 2 = 1) as cited from l group by 1, 2),
+    c as (select k, s, (cited is not null)::int as later, coalesce(cited, first) as place from f where cited is not null or law),
+    u as (select l.k, q, i, later, place, row_number() over (partition by l.k, l.s order by i) as nth from l join c on l.k = c.k and l.s = c.s),
+    g as (select k, count(*) as citations, arg_min('f' || s, later * 100000 + place) as first_cited from c group by 1),
+    h as (select k, count(*) as used, md5(string_agg('§ ' || q || ' afsnit ' || i, '|' order by later, place, i)) as used_digest from u where nth <= 3 group by 1),
+    d as (select k, count(*) as n, bool_or(q = k % 50 + 1) as section, bool_or(s % 7 = 0) as law from l group by 1)
+    select k as l_orderkey, citations::int as citations, first_cited, used::int as used, used_digest, n::int as num_results, 0.125::double as score_min, (n / 8)::double as score_max,
+        case when section then '' else '§' || k % 50 + 1 end as missing_sections, case when law then '' else 'ligningslov' end as missing_laws, not (section and law) as has_missing
+    from d join g using (k) join h using (k)""")
+def retrieved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as a model's response in JSON: parsed, named laws attached, audited, the hits used, diagnosed."""
+    row = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity")))  # an order's lines
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(row.alias("l"))
+
+    def file(x):
+        name = F.when(x["l_suppkey"] % 7 == 0, F.concat(F.lit("love/ligningslov "), x["l_suppkey"].cast("string"), F.lit(".pdf"))).otherwise(F.concat(F.lit("supplier "), x["l_suppkey"].cast("string")))
+        return F.concat(F.lit("f"), x["l_suppkey"].cast("string")).alias("file_id"), name.alias("filename")
+
+    def hit(x, i):
+        said = F.concat(F.lit("§ "), x["l_quantity"].cast("int").cast("string"), F.lit(" afsnit "), (i + 1).cast("string"))
+        return F.struct(*file(x), ((i + 1) / 8).cast("string").alias("score"), said.alias("text"))
+
+    odd = F.filter("l", lambda x, i: i % 2 == 0)
+    notes = F.transform(odd, lambda x: F.struct(F.lit("file_citation").alias("type"), *file(x)))
+    text = F.struct(F.lit("output_text").alias("type"), F.lit("Efter **ligningsloven** gælder det.").alias("text"), notes.alias("annotations"))
+    search = F.struct(F.lit("file_search_call").alias("type"), F.transform("l", hit).alias("results"))
+    message = F.struct(F.lit("message").alias("type"), F.array(text).alias("content"))
+    items = F.concat_ws(",", F.to_json(search), F.to_json(message))
+    question = F.concat(F.lit("Hvad siger ligningsloven § "), (F.col("l_orderkey") % 50 + 1).cast("string"), F.lit("?"))
+    answers = orders.select("l_orderkey", question.alias("question"), F.concat(F.lit('{"output":['), items, F.lit("]}")).alias("body"))
+    audited = retrieval.audit(retrieval.attach_named_laws(retrieval.parse_responses(answers, "body")))
+    found = retrieval.diagnose(retrieval.used_results(audited), "question")
+    return found.select(
+        "l_orderkey", F.size("citations").alias("citations"), F.get("citations", F.lit(0))["file_id"].alias("first_cited"), F.size("used").alias("used"),
+        F.md5(F.array_join(F.transform("used", lambda x: x["text"]), "|").cast("binary")).alias("used_digest"), "num_results", "score_min", "score_max",
+        F.array_join(F.col("missing")[refs.KINDS[0]], "|").alias("missing_sections"), F.array_join(F.col("missing")[refs.KINDS[1]], "|").alias("missing_laws"), "has_missing",
+    )
+
+
 @registered("""
     with w as (select conv_id, role, unnest(list_distinct(regexp_extract_all(lower(text), '[0-9a-zæøå]+'))) as word from conversations where role in ('user', 'assistant')),
     u as (select distinct conv_id, word from w where role = 'user'), a as (select distinct conv_id, word from w where role = 'assistant')
@@ -848,6 +889,78 @@ def replayed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(applied, "paragraph_id").select(F.col("paragraph_id").cast("long").alias("o_custkey"), "applied", digest.alias("digest"))
 
 
+def _changes_of_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(units, operations): a unit of two sentences for each order; its lines change it, each by another kind of operation.
+    Every eleventh supplier's lines point at a subsection that isn't there."""
+    row = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity")))  # an order's lines
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(row.alias("l")).select("l_orderkey", F.posexplode("l").alias("at", "x"))
+    i, k, p = F.col("at") + 1, F.col("l_orderkey").cast("string"), F.col("x.l_partkey").cast("string")
+    no_item = F.lit(None).cast("int")
+    units = lines.select(k.alias("paragraph_id")).distinct().select(
+        "paragraph_id", F.concat(F.lit("§ "), "paragraph_id").alias("paragraph_label"), F.lit(1).alias("stk_number"), no_item.alias("nr_number"),
+        F.array(F.lit("Alfa beta gamma."), F.lit("Delta K.")).alias("sentences"), F.lit(0).alias("ord"),
+    )
+    recast = (i == 1) & (F.col("l_orderkey") % 3 == 0)
+
+    def by_line(*values):
+        return F.coalesce(F.get(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values[:-1]]), F.least(F.col("at"), F.lit(len(values)))), F.lit(values[-1]))
+
+    kind = F.when(recast, "recast").otherwise(by_line("replace_text", "insert_phrase", "delete_phrase", "insert_sentence", "replace_text", "replace_text", "renumber"))
+    new = F.when(recast, F.concat(F.lit("Alfa beta gamma om "), p, F.lit(". Delta K.")))
+    new = F.coalesce(new, by_line(F.concat(F.lit("b"), p), "nu", "", F.concat(F.lit("Ny del "), p, F.lit(".")), "x", "Delta", "X."))
+    numbers = F.when(i == 2, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    target = F.struct(k.alias("paragraph_id"), F.when(F.col("x.l_suppkey") % 11 == 0, 2).otherwise(1).alias("stk_number"), no_item.alias("nr_number"), numbers.alias("sentence_numbers"))
+    ops = lines.select(
+        k.alias("eli"), i.alias("seq"), F.lit(0).alias("ord"), F.lit("§ 1, nr. 1").alias("amendment_path"), kind.alias("op_type"), target.alias("target"),
+        by_line("beta", "gamma", "Alfa", "", "Delta", "zeta", "").alias("old_text"), new.alias("new_part"), F.when(i == 5, 2).alias("count"), F.lit("parsed").alias("status"), F.lit("").alias("note"),
+    )
+    return units, ops
+
+
+_CHANGES = """
+    with l as (select l_orderkey as k, l_partkey as p, l_suppkey % 11 <> 0 as ok, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_quantity) as i from lineitem)"""
+
+
+@registered(_CHANGES + """,
+    n as (select *, case when not ok then 'stykket findes ikke i teksten' when i = 5 then 'forventede 2 forekomster, fandt 1' when i = 6 then 'resultatet står allerede' when i >= 7 then 'ukendt type ''renumber''' else '' end as note from l),
+    g as (select k, count(*) filter (ok and i <= 4) as applied, count(*) filter (ok and i = 6) as stands, count(*) filter (not ok or i = 5 or i >= 7) as failed, string_agg(note, '|' order by i) as notes,
+                 max(p) filter (ok and i = 1) as p1, bool_or(ok and i = 2) as a2, bool_or(ok and i = 3) as a3, max(p) filter (ok and i = 4) as p4 from n group by 1)
+    select k as l_orderkey, applied, stands, failed, md5(notes) as notes,
+        md5(case when a3 then '' else 'Alfa ' end || case when k % 3 = 0 or p1 is null then 'beta' else 'b' || p1 end || ' gamma' || case when a2 then ' nu' else '' end ||
+            case when k % 3 = 0 and p1 is not null then ' om ' || p1 else '' end || '. Delta K.' || case when p4 is null then '' else ' Ny del ' || p4 || '.' end) as digest from g""")
+def replayed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units replayed through all kinds of operations: recast, replaced, inserted and deleted phrases, new sentences, and
+    ones that fail, stand already or have no unit."""
+    results, texts = replay.replay(*_changes_of_orders(spark, sf_dir))
+    count = lambda status, name: F.count(F.when(F.col("status") == status, 1)).alias(name)
+    notes = F.array_sort(F.collect_list(F.struct("seq", "note")))  # an order's lines
+    told = results.groupBy("paragraph_id").agg(count("applied", "applied"), count("already_applied", "stands"), count("failed", "failed"), notes.alias("n"))
+    digest = F.md5(F.array_join("sentences", " ").cast("binary")).alias("digest")
+    said = F.md5(F.array_join(F.transform("n", lambda x: x["note"]), "|").cast("binary")).alias("notes")
+    return texts.join(told, "paragraph_id").select(F.col("paragraph_id").cast("long").alias("l_orderkey"), "applied", "stands", "failed", said, digest)
+
+
+@registered(_CHANGES + """,
+    g as (select k, not bool_or(ok and i <= 4) as same, bool_or(ok and (i = 5 or i >= 7)) as polluted from l group by 1)
+    select same, polluted, count(*) as n from g group by 1, 2""")
+def replay_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replayed units beside the text before the changes: how many are the same, and of those that aren't, how many had
+    an operation fail."""
+    units, ops = _changes_of_orders(spark, sf_dir)
+    results, texts = replay.replay(units, ops)
+    published = units.select(*replay.KEY, F.array_join("sentences", " ").alias("text"))
+    return replay.pollution(results, replay.reconcile(texts, published))
+
+
+@registered(_CHANGES + """,
+    n as (select case when not ok or i = 5 or i >= 7 then 'failed' when i = 6 then 'already_applied' else 'applied' end as status,
+                 case when not ok then 'stykket findes ikke i teksten' when i = 5 then 'forventede N forekomster, fandt N' when i >= 7 then 'ukendt type ''…''' else '' end as reason from l)
+    select status, reason, count(*) as n from n group by 1, 2""")
+def replay_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the changes went, and why those failed that did."""
+    return replay.report(replay.replay(*_changes_of_orders(spark, sf_dir))[0])
+
+
 # --- catalogs of files, versions, profiles --------------------------------------------------------
 
 
