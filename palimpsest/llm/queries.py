@@ -69,10 +69,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+#: The session's setting for the Parquet table of (term, weight) that urls are judged by; unset: ``urls.STRICT`` and ``SOFT``.
+URL_TERMS = "spark.palimpsest.urlTerms"
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select(
-        "page_id", "host", "path", "rule", "verdict"
-    )
+    path = spark.conf.get(URL_TERMS, None)
+    strict, soft = urls.vocabulary(spark.read.parquet(path)) if path else (urls.STRICT, urls.SOFT)
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), strict=strict, soft=soft)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ weights: a term of weight 1 or more is strict, a lighter one soft. Distinct urls
 
 Defined results: a null url, or one without ://, has empty host and path, and a null url is allowed;
 repeated rows are judged each; a url of any length is scanned whole, once; of two rules of one length that fit, the
-greater (host, path) decides; an empty table gives an empty table; columns of ``pages`` named like an added one are
+greater (host, path) decides; an empty vocabulary finds nothing; an empty table gives an empty table; columns of ``pages`` named like an added one are
 replaced, and those whose names start with ``_uf_`` are left out.
 """
 
@@ -90,9 +90,9 @@ def term_hits(url: Column, strict: Sequence[str] = STRICT, soft: Sequence[str] =
         automaton.make_automaton()
 
         def count(url: str | None) -> tuple[int, int]:
-            text = (url or "").lower()
+            text = (url or "").lower() if weights else ""
             found = set()
-            for end, (term, is_strict) in automaton.iter(text):
+            for end, (term, is_strict) in automaton.iter(text) if text else ():
                 start = end - len(term) + 1
                 if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
                     found.add((term, is_strict))

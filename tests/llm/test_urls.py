@@ -48,3 +48,19 @@ def test_working_names_a_vocabulary_table_and_long_urls(spark):
     got = urls.judge(pages, strict=strict, soft=soft)
     assert got.columns == ["page_id", "url", "_r", "_h", "host", "path", "rule", "verdict"]
     assert {r.page_id: (r._r, r._h, r.verdict) for r in got.collect()} == {1: (5, 6, "allow"), 2: (5, 6, "block"), 3: (5, 6, "block")}
+
+
+def test_query_by_a_table_of_terms(spark, middle, tmp_path):
+    terms = spark.createDataFrame([("example", 1.5), ("org", 0.4), ("index", 0.4)], "term string, weight double")
+    for name, rows in (("some", terms), ("none", terms.limit(0))):
+        rows.write.parquet(str(tmp_path / name))
+        spark.conf.set(queries.URL_TERMS, str(tmp_path / name))
+        try:
+            got = {r.page_id: r for r in queries.op9_urls(spark, middle).collect()}
+        finally:
+            spark.conf.unset(queries.URL_TERMS)
+        for page in spark.read.parquet(f"{middle}/pages.parquet").select("page_id", "url").collect():
+            words = set(re.split(r"[\W_]", (page.url or "").lower()))
+            bad = name == "some" and ("example" in words or {"org", "index"} <= words)
+            rule = brute(page.url)[2:]
+            assert (got[page.page_id].rule, got[page.page_id].verdict) == (rule if rule[0] else (None, "block" if bad else "allow"))
