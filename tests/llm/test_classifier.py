@@ -15,6 +15,34 @@ def test_held_out_accuracy(spark, middle):
     assert np.mean([p == q for p, q in held]) > 0.95
 
 
+def test_query_is_brute_force(spark, middle):
+    """Features one by one, ridge by least squares over penalty rows, the calibration by greatest least averages."""
+    docs = {r.doc_id: classifier.statistics(r.text) for r in spark.read.parquet(f"{middle}/documents.parquet").select("doc_id", "text").collect()}
+    labels = [r for r in spark.read.parquet(f"{middle}/labels.parquet").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in docs]
+    x, y = np.array([docs[r.doc_id] for r in labels]), np.array([float(r.quality) for r in labels])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale < 1e-5, 1.0, scale)
+    directions, phases = classifier.draw_features(x.shape[1])
+
+    def features(rows):
+        z = np.clip((rows - mean) / scale, -classifier.CLIP, classifier.CLIP)
+        waves = [np.sqrt(2 / len(phases)) * np.cos(z @ d + p) for d, p in zip(directions.T, phases, strict=True)]
+        return np.stack([np.ones(len(rows)), *waves], axis=1)
+
+    f = features(x)
+    penalty = np.sqrt(classifier.RIDGE * len(x) / len(phases)) * np.eye(f.shape[1])[1:]
+    weights = np.linalg.lstsq(np.r_[f, penalty], np.r_[y, np.zeros(len(penalty))], rcond=None)[0]
+    raw = np.clip(f @ weights, -0.5, 1.5)
+    bins = np.minimum(((raw + 0.5) / 2 * classifier.BINS).astype(int), classifier.BINS - 1)
+    used = sorted(set(bins))
+    n, ones, at = (np.array([v[bins == b].sum() for b in used]) for v in (np.ones(len(x)), y, raw))
+    fit = [max(min(ones[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))]
+    ids = sorted(docs)
+    want = dict(zip(ids, np.interp(features(np.array([docs[i] for i in ids])) @ weights, at / n, fit), strict=True))
+    got = {r.doc_id: r.score for r in queries.op10_classifier(spark, middle).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in ids) < 1e-6
+
+
 def test_isotonic():
     assert classifier.isotonic(np.array([1.0, 0.0, 2.0]), np.array([1.0, 3.0, 1.0])).tolist() == [0.25, 0.25, 2.0]
     rng = np.random.default_rng(0)
