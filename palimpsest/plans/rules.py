@@ -182,14 +182,18 @@ def income_type(text: str | Column) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
+#: How a text writes an article ("art. 15, stk. 2"), and one that isn't called so ("15, stk. 2").
+CALLED_ARTICLE = r"(?U)\b(?:artikel|art)\s*\.?\s*\d{1,2}(?:\s*,?\s*stk\.?\s*\d{1,2})?"
+BARE_ARTICLE = r"(?U)\b\d{1,2}\s*,?\s*stk\.?\s*\d{1,2}\b"
+
+
 def candidate_articles(text: str | Column) -> Column:
     """All articles that a text names, each once, as they are written but for case and white space: those called articles
     first, then numbers that only a subsection's number follows."""
     from palimpsest.functions.text import col, collapse
 
     t = F.lower(F.coalesce(col(text), F.lit("")))
-    called = F.regexp_extract_all(t, F.lit(r"(?U)\b(?:artikel|art)\s*\.?\s*\d{1,2}(?:\s*,?\s*stk\.?\s*\d{1,2})?"), F.lit(0))
-    bare = F.regexp_extract_all(t, F.lit(r"(?U)\b\d{1,2}\s*,?\s*stk\.?\s*\d{1,2}\b"), F.lit(0))
+    called, bare = (F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in (CALLED_ARTICLE, BARE_ARTICLE))
     return F.array_distinct(F.transform(F.concat(called, bare), collapse))
 
 
