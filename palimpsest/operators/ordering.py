@@ -81,8 +81,9 @@ def least_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int,
     def least(held: pa.Table) -> pa.Table:
         held, group, at = numbered(held)
         total = np.bincount(group, held["rows"].to_numpy())[group].astype(np.int64)  # a key's rows stand with its first
-        rows = pa.array(np.where(at == 0, total, 0))
-        return held.set_column(held.schema.get_field_index("rows"), "rows", rows).filter(pa.array(at < k))
+        i = held.schema.get_field_index("rows")
+        # The field stays as it came, null or not, so that what is held fits the batches still to come.
+        return held.set_column(i, held.schema.field(i), pa.array(np.where(at == 0, total, 0))).filter(pa.array(at < k))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

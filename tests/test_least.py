@@ -32,6 +32,18 @@ def test_least_rows_of_a_hot_key_and_of_many(spark, monkeypatch):
     assert got.count() == 3 + 20_000
 
 
+def test_least_rows_of_tasks_that_get_many_batches(spark):
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "100")
+    try:
+        df = spark.range(5000).select((F.col("id") % 3).alias("g"), (-F.col("id")).alias("o"))  # no column holds nulls
+        got = sorted(tuple(r) for r in ordering.least_rows(df, ["g"], ["o"], 2).collect())
+    finally:
+        spark.conf.set(key, before)
+    want = [(g, -i, place, len(range(g, 5000, 3))) for g in range(3) for place, i in enumerate(sorted(range(g, 5000, 3))[: -3 : -1], 1)]
+    assert got == sorted(want)
+
+
 def test_names_that_hold_needles(spark):
     rng = random.Random(5)
     some = lambda n: "".join(rng.choice("ab cøA") for _ in range(rng.randrange(n)))
