@@ -11,7 +11,7 @@ nodes; a unit without text has an empty one; documents of one id are taken as on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -75,6 +75,74 @@ def nodes(docs: DataFrame) -> DataFrame:
     return docs.select("eli", "body").mapInArrow(run, SCHEMA)
 
 
+def _wanted(root: ElementTree.Element, tags: frozenset[str], attributes: dict[str, str]) -> list[list]:
+    """[node, last, depth, parent, above, tag, attributes, text] of each wanted element, in document order; the nodes are
+    numbered as by ``_numbered``."""
+    rows: list[list] = []
+    above: list[int] = []
+    parts: list[str] = []  # the texts met so far
+    stack: list[tuple[ElementTree.Element, Iterator[ElementTree.Element], list | None, int]] = []
+    n = 0
+
+    def enter(element: ElementTree.Element) -> None:
+        nonlocal n
+        row = None
+        if element.tag in tags and all(element.get(k) == v for k, v in attributes.items()):
+            row = [n, n, len(above), above[-1] if above else None, list(above), element.tag, list(element.items()), ""]
+            rows.append(row)
+        stack.append((element, iter(element), row, len(parts)))
+        above.append(n)
+        n += 1
+        if element.text:
+            parts.append(element.text)
+            n += 1
+
+    enter(root)
+    while stack:
+        element, children, row, start = stack[-1]
+        child = next(children, None)
+        if child is not None:
+            enter(child)
+            continue
+        stack.pop()
+        above.pop()
+        if row is not None:
+            row[1], row[7] = n - 1, "".join(parts[start:])
+        if element.tail and above:
+            parts.append(element.tail)
+            n += 1
+    return rows
+
+
+def found(docs: DataFrame, tags: Sequence[str], attributes: dict[str, str] | None = None) -> DataFrame:
+    """The elements of some tags, and with some attributes' values, as ``nodes`` has them, each with its ``text`` as ``texts``
+    has it. They are picked where a document is read: other nodes are neither handed on nor joined, and nothing is shuffled."""
+    asked, having = frozenset(tags), dict(attributes or {})
+    names = [*_NAMES[:-1], "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held, strict=True), _KINDS, strict=True)], names=names)
+
+        held: list[list] = []
+        for batch in batches:
+            for eli, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    root = ElementTree.fromstring(body.as_py() or b"")
+                except ElementTree.ParseError:
+                    continue
+                for row in _wanted(root, asked, having):
+                    held.append([eli, *row])
+                    if len(held) >= 5000:
+                        yield rows(held)
+                        held = []
+        if held:
+            yield rows(held)
+
+    said = docs.select("eli", "body").mapInArrow(run, SCHEMA.replace("content string", "text string"))
+    return said.withColumn("text", visible("text"))
+
+
 def save(tree: DataFrame, folder: str) -> None:
     """Write nodes in the order of documents and numbers, so that ``inside`` reads few row groups."""
     tree.repartitionByRange("eli", "node").sortWithinPartitions("eli", "node").write.parquet(folder)

@@ -2,6 +2,8 @@
 
 from xml.etree import ElementTree
 
+from pyspark.sql import functions as F
+
 from palimpsest.session import new_folder
 from palimpsest.sources import lawtree, lawxml
 
@@ -64,3 +66,21 @@ def test_a_saved_tree_is_read_by_ranges(spark):
     chars = tree.where("tag = 'Char'")
     above = lawtree.ancestors(tree, chars).orderBy("node").collect()
     assert [r.tag for r in above] == ["Dokument", "Paragraf", "Stk", "Exitus", "Linea"]
+
+
+def test_found_elements_are_nodes_with_their_texts(spark):
+    bodies = {
+        "a": '<D>x<P k="1">\u00a0en <C s="m">§ 1</C>\u00ad to<P k="2">\ntre</P> </P><C s="m"/> <C s="n">q</C>hale</D>',
+        "b": "<P/>", "c": "<P>ikke lukket", "d": "<D>intet</D>",
+    }
+    docs = spark.createDataFrame([(k, v.encode()) for k, v in bodies.items()] + [("e", None)], "eli string, body binary")
+    tree = lawtree.nodes(docs)
+    for tags, having, where in ((["P", "D"], {}, "tag in ('P', 'D')"), (["C"], {"s": "m"}, "tag = 'C' and attributes['s'] = 'm'"), (["Q"], {}, "tag = 'Q'")):
+        units = tree.where(where)
+        shown = [*[c for c in tree.columns if c not in ("content", "attributes")], "text"]
+        want = units.join(lawtree.texts(tree, units), ["eli", "node"])
+        got = lawtree.found(docs, tags, having)
+        key = lambda df: sorted(str(r) for r in df.select(*shown, F.to_json("attributes").alias("x")).collect())
+        assert key(got) == key(want)
+        plan = got._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "Join" not in plan
