@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import refs
@@ -152,9 +152,11 @@ def summary(noted: DataFrame) -> DataFrame:
 def mining(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(constructions, totals) of items: each construction with its share of items (shares sum to more than
     one), and counts of items, acts, items with several targets, by kind of markup."""
-    n = items.select(F.count("*").alias("_n"))
-    hist = items.select(F.explode("constructions").alias("construction")).groupBy("construction").agg(F.count("*").alias("items"))
-    hist = hist.crossJoin(F.broadcast(n)).select("construction", "items", (F.col("items") / F.col("_n")).alias("share"))  # n: one row
+    # An item counts once under the names it has, taken together, and these counts are few: items are read once.
+    kinds = items.groupBy("constructions").agg(F.count("*").alias("n"))
+    kinds = kinds.select("constructions", "n", F.sum("n").over(Window.partitionBy()).alias("_n"))  # a row for each set of names
+    hist = kinds.select(F.explode("constructions").alias("construction"), "n", "_n").groupBy("construction", "_n").agg(F.sum("n").alias("items"))
+    hist = hist.select("construction", "items", (F.col("items") / F.col("_n")).alias("share"))
     markup = F.col("target_markup")
     totals = items.agg(
         F.count("*").alias("items"), F.countDistinct("eli").alias("acts"), F.count_if(F.size("targets") > 1).alias("several_targets"),
@@ -185,9 +187,9 @@ def section_postings(items: DataFrame) -> DataFrame:
     A section that an item both points at and inserts is a target, as ``places`` has it.
     """
     named = F.array_distinct(F.filter(F.transform("probable_targets", lambda t: F.upper(refs.target(t)["paragraph_id"])), lambda s: s != ""))
-    fresh = F.array_except(F.transform("inserted", lambda s: F.upper(s)), named)
-    both = F.concat(F.transform(named, lambda s: F.struct(s.alias("section"), F.lit(True).alias("as_target"))), F.transform(fresh, lambda s: F.struct(s.alias("section"), F.lit(False).alias("as_target"))))
-    rows = items.select("eli", "ord", "amendment_path", "text", F.explode(both).alias("x"))
+    fresh = F.array_except(F.transform("inserted", lambda s: F.upper(s)), F.col("_named"))
+    both = F.concat(F.transform("_named", lambda s: F.struct(s.alias("section"), F.lit(True).alias("as_target"))), F.transform(fresh, lambda s: F.struct(s.alias("section"), F.lit(False).alias("as_target"))))
+    rows = items.withColumn("_named", named).select("eli", "ord", "amendment_path", "text", F.explode(both).alias("x"))
     return rows.select("x.section", "eli", "x.as_target", "ord", "amendment_path", "text").where("section <> ''")
 
 
