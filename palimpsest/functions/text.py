@@ -159,14 +159,18 @@ def windows_around(text: str | Column, needle: str, around: int, most: int) -> C
     return F.slice(found, 1, most)
 
 
-def clean_answer(text: str | Column, keep_markup: bool = False) -> Column:
+def without_marks(text: str | Column, keep_markup: bool = False) -> Column:
     """An answer without private-use citation marks, quote and bold marks, and surplus blank lines."""
     out = F.regexp_replace(col(text), "(?s)\ue200filecite.*?\ue201", "")
     if not keep_markup:
         out = F.regexp_replace(out, r"(?m)^\s*>\s?", "")
         out = F.replace(F.regexp_replace(out, r"(?s)\*\*(.*?)\*\*", "$1"), F.lit("**"), F.lit(""))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+\n", "\n"), "\n{3,}", "\n\n")
-    return strip(mojibake_repaired(out))
+    return F.regexp_replace(F.regexp_replace(out, r"[ \t]+\n", "\n"), "\n{3,}", "\n\n")
+
+
+def clean_answer(text: str | Column, keep_markup: bool = False) -> Column:
+    """``without_marks``, with the traces of a wrong code page repaired, stripped."""
+    return strip(mojibake_repaired(without_marks(text, keep_markup)))
 
 
 # --- what Catalyst has no function for: Arrow-batched, skipped by rows that need it not -------------
