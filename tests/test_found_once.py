@@ -47,3 +47,16 @@ def test_references_by_their_patterns(spark):
         assert r.r[refs.KINDS[1]] == sorted({x.lower() for x in re.findall(r"(?i)([a-zæøå]{4,}lov)(?:en|ens|e|s)?\b", r.t or "")}), r
         assert r.r[refs.KINDS[3]] == sorted({"artikel" + n for n in re.findall(r"(?i)\bartikel\s*(\d+)", r.t or "")}), r
     assert sum(bool(r.r[refs.KINDS[2]]) for r in got) > 20
+
+
+def test_documents_in_batches_give_the_sources_rows(spark):
+    tables.register(spark)
+    docs = spark.createDataFrame([("a", LAW.encode()), ("b", b"<broken"), ("c", None), (None, b"<r/>"), ("d", LAW.encode())], "eli string, body binary").coalesce(1)
+    got = spark.sql("select d.eli, i.* from {d} d lateral view inline(instructions_in(d.body)) i", d=docs)
+    want = lawxml.instructions(docs).select("eli", "ord", "intro", "act_number", "item_number", "text", "targets", "italic_spans", "new_text", "inserted_ids").collect()
+    assert got.collect() == want and len(want) == 4 and want[1].inserted_ids == ["9C"]
+    as_text = docs.select("eli", F.decode("body", "UTF-8").alias("body")).where("eli = 'a'")
+    assert spark.sql("select i.line from {d} d lateral view inline(note_lines_in(d.body)) i", d=as_text).collect()[0].line == "Ny."
+    empty = spark.sql("select i.* from {d} d lateral view inline(provisions_in(d.body)) i", d=docs)
+    assert empty.count() == 0
+    assert "BatchEvalPythonUDTF" not in plan(catalog.lateral_items(spark, "/root/testdata/sf0.001"))
