@@ -21,6 +21,8 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff"
 PLAIN = {"\u00a0": " ", "\u2011": "-"}
 #: Traces of text decoded by a wrong code page.
 MOJIBAKE = ("Ã", "Â", "â")
+#: Fixed value: a word, as (?iu)[0-9a-zæøå]+ has it; its letters written out, so that none has to be folded.
+WORD = "[0-9A-Za-zæøåÆØÅ\u0130\u0131\u017f\u212a\u212b]+"
 #: Marks that follow a word without a space.
 NO_SPACE_BEFORE = ",.;:)!?"
 #: Names of the classes of differences, in the order in which they are tried.
@@ -107,7 +109,12 @@ def quotes_real_text(text: str | Column, words: int = 3) -> Column:
 
 def words(text: str | Column) -> Column:
     """Lower-cased words of letters and digits."""
-    return F.transform(F.regexp_extract_all(col(text), F.lit("(?iu)[0-9a-zæøå]+"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(col(text), F.lit(WORD), F.lit(0)), F.lower)
+
+
+def spaced_words(text: str | Column) -> Column:
+    """``words`` as one text, parted by spaces."""
+    return F.lower(F.array_join(F.regexp_extract_all(col(text), F.lit(WORD), F.lit(0)), " "))
 
 
 def truncate(text: str | Column, most: int, mark: str = "") -> Column:

@@ -6,11 +6,12 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from palimpsest.functions.text import fingerprint, match_text, words
+from palimpsest.functions.text import fingerprint, match_text, spaced_words, words
 from palimpsest.operators.ordering import first_wins
 from palimpsest.session import spool
 
@@ -26,15 +27,26 @@ def sequence_ratio(candidate: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).ratio() for a, b in zip(candidate, wanted, strict=True)])
 
 
-@F.pandas_udf(IntegerType())
-def longest_run(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Longest run of items that two arrays share."""
+def _longest(first: str | None, second: str | None) -> int:
+    """Length of the longest run of words that both have: of each run that goes on, where it ends in the second."""
+    a, b = (first or "").split(), (second or "").split()
+    if not a or not b or set(a).isdisjoint(b):
+        return 0
+    places: dict = {}
+    for j, item in enumerate(b):
+        places.setdefault(item, []).append(j)
+    best, ends = 0, {}
+    for item in a:
+        ends = {j: ends.get(j - 1, 0) + 1 for j in places.get(item, ())}
+        if ends:
+            best = max(best, *ends.values())
+    return best
 
-    def one(a, b) -> int:
-        a, b = list(a if a is not None else ()), list(b if b is not None else ())
-        return difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b)).size
 
-    return pd.Series([one(a, b) for a, b in zip(first, second, strict=True)], dtype="int32")
+@F.arrow_udf(IntegerType())
+def longest_run(first: pa.Array, second: pa.Array) -> pa.Array:
+    """Longest run of words that two texts, of words parted by spaces, share."""
+    return pa.array([_longest(a, b) for a, b in zip(first.to_pylist(), second.to_pylist(), strict=True)], pa.int32())
 
 
 def letter_counts(text: Column) -> Column:
@@ -101,19 +113,39 @@ def shared_runs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return matched.groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
 
 
-def confirmation(change_text: Column, note_text: Column, section: Column, run_words: int = RUN_WORDS) -> Column:
+def flat(note_text: str | Column) -> Column:
+    """A note upper-cased and without white space, in which sections are looked for; empty of no note."""
+    note = F.col(note_text) if isinstance(note_text, str) else note_text
+    return F.upper(F.regexp_replace(F.coalesce(note, F.lit("")), r"(?U)\s+", ""))
+
+
+#: Fixed value: stands for a section's name while what follows it is looked at.
+MARK = "\x01"
+
+
+def _mentioned(held: Column, section: Column) -> Column:
+    """Somewhere no letter or digit follows the section's name. A pattern made from each row's section would be compiled
+    for each row; that way only rows go where names may overlap or the mark stands for itself."""
+    name = F.concat(F.lit("§"), F.upper(section))
+    odd = F.contains(section, F.lit("§")) | F.contains(held, F.lit(MARK))
+    own = F.rlike(held, F.concat(F.lit("§\\Q"), F.upper(section), F.lit("\\E(?![\\p{L}\\p{N}])")))
+    return F.when(odd, own).otherwise(F.rlike(F.replace(held, name, F.lit(MARK)), F.lit(MARK + r"(?![\p{L}\p{N}])")))
+
+
+def confirmation(change_text: Column, note_text: Column, section: Column, run_words: int = RUN_WORDS, held: Column | None = None) -> Column:
     """struct(how, run, checkable, exact_mention): whether a note is about the change it was found for.
 
     It names the section (as a substring; ``exact_mention``: no letter follows), or shares a run of words
-    with the change; otherwise it is suspect if the change quotes text that a note would repeat.
+    with the change; otherwise it is suspect if the change quotes text that a note would repeat. ``held``: ``flat`` of the
+    note, best a column, found once.
     """
     from palimpsest.functions.text import quotes_real_text
 
     found = F.coalesce(note_text, F.lit("")) != ""
-    flat = F.upper(F.regexp_replace(F.coalesce(note_text, F.lit("")), r"(?U)\s+", ""))
-    named = F.contains(flat, F.concat(F.lit("§"), F.upper(section)))
-    exact = F.rlike(flat, F.concat(F.lit("§\\Q"), F.upper(section), F.lit("\\E(?![\\p{L}\\p{N}])")))
-    run = F.when(found & ~named, longest_run(words(F.when(found & ~named, change_text)), words(F.when(found & ~named, note_text))))
+    held = flat(note_text) if held is None else held
+    named = F.contains(held, F.concat(F.lit("§"), F.upper(section)))
+    exact = F.when(named, _mentioned(held, section)).otherwise(named)
+    run = F.when(found & ~named, longest_run(spaced_words(F.when(found & ~named, change_text)), spaced_words(F.when(found & ~named, note_text))))
     how = F.when(found & named, "section named").when(run >= run_words, "words repeated")
     checkable = F.when(~found, False).when(how.isNotNull(), True).otherwise(quotes_real_text(change_text))
     return F.struct(how.alias("how"), F.coalesce(run, F.lit(0)).alias("run"), checkable.alias("checkable"), (found & exact).alias("exact_mention"))

@@ -138,7 +138,8 @@ def notes_for(rows: DataFrame, acts: DataFrame, bills: DataFrame, bill_docs: Dat
             "problem": problem,
         }
     )
-    return out.withColumn("confirmation", matching.confirmation(F.col("text"), F.col("note"), F.col("section"))).drop("_p", "_i", "_own", "_whole", "_here")
+    out = out.withColumn("_flat", matching.flat("note"))
+    return out.withColumn("confirmation", matching.confirmation(F.col("text"), F.col("note"), F.col("section"), held=F.col("_flat"))).drop("_p", "_i", "_own", "_whole", "_here", "_flat")
 
 
 def summary(noted: DataFrame) -> DataFrame:

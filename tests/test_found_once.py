@@ -60,3 +60,33 @@ def test_documents_in_batches_give_the_sources_rows(spark):
     empty = spark.sql("select i.* from {d} d lateral view inline(provisions_in(d.body)) i", d=docs)
     assert empty.count() == 0
     assert "BatchEvalPythonUDTF" not in plan(catalog.lateral_items(spark, "/root/testdata/sf0.001"))
+
+
+def test_words_are_those_of_the_folding_pattern(spark):
+    every = spark.range(1, 0x10000).where(f"id not between {0xD800} and {0xDFFF}")
+    one = every.select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    differ = one.where(F.rlike("c", F.lit("(?iu)^[0-9a-zæøå]\\z")) != F.rlike("c", F.lit(f"^{text.WORD}\\z")))
+    assert differ.count() == 0
+    rows = spark.createDataFrame([("Ærø 12b, İx: Å-Å",), ("",), (None,)], "t string").select(text.words("t").alias("w"), text.spaced_words("t").alias("s")).collect()
+    assert [None if r.w is None else " ".join(r.w) for r in rows] == [r.s for r in rows]
+
+
+def test_longest_runs_and_mentions(spark):
+    rng = random.Random(3)
+    pairs = [(" ".join(rng.choice("abc") for _ in range(rng.randrange(30))), " ".join(rng.choice("abcd") for _ in range(rng.randrange(30)))) for _ in range(200)] + [(None, "a"), ("a", None)]
+    got = spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(matching.longest_run("a", "b")).collect()
+    for (a, b), (n,) in zip(pairs, got, strict=True):
+        x, y = (a or "").split(), (b or "").split()
+        assert n == difflib.SequenceMatcher(None, x, y, autojunk=False).find_longest_match(0, len(x), 0, len(y)).size
+    some = ["§", "A", "5", "\x01", ",", "§A§", "$", "\\"]
+    held = [("".join(rng.choice(some) for _ in range(rng.randrange(9))), "".join(rng.choice(some) for _ in range(rng.randrange(1, 4)))) for _ in range(500)]
+    df = spark.createDataFrame(held, "h string, s string").coalesce(1).select(matching._mentioned(F.col("h"), F.col("s")))
+    assert [r[0] for r in df.collect()] == [re.search(re.escape("§" + s) + r"(?![^\W_])", h) is not None for h, s in held]
+
+
+def test_a_note_is_flattened_once(spark):
+    rows = spark.createDataFrame([("I § 1 A", "Om § 1 A, mere", "1A")], "c string, n string, s string").withColumn("f", matching.flat("n"))
+    told = plan(rows.select(matching.confirmation(F.col("c"), F.col("n"), F.col("s"), held=F.col("f")).alias("x")))
+    assert told.count("(?U)\\s+") == 1
+    notes = catalog.confirmed_notes(spark, "/root/testdata/sf0.001")
+    assert plan(notes).count("(?U)\\s+") == 1
