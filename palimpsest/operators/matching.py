@@ -221,13 +221,14 @@ def contains_join(rows: DataFrame, files: DataFrame, row_id: str, needles: Seque
     return found.groupBy(F.col("_id").alias(row_id)).agg(F.min("_name").alias(name))
 
 
-def coverage(wanted: DataFrame, touched: DataFrame, key: str) -> DataFrame:
+def coverage(wanted: DataFrame, touched: DataFrame, key: str, **also: Column) -> DataFrame:
     """key, verdict, items: of each wanted key whether items touch it, found it only as inserted, or miss it.
 
-    ``touched``: key, as_target (boolean). Keys compare upper-cased.
+    ``touched``: key, as_target (boolean). Keys compare upper-cased. ``also``: aggregates of the touching rows, by name,
+    found in the same pass; null where there are none.
     """
-    t = touched.groupBy(F.upper(key).alias("_k")).agg(F.count("*").alias("items"), F.bool_or("as_target").alias("_t"))
+    t = touched.groupBy(F.upper(key).alias("_k")).agg(F.count("*").alias("items"), F.bool_or("as_target").alias("_t"), *[c.alias(n) for n, c in also.items()])
     lettered = F.rlike(F.upper(key), F.lit(r"^\d+[A-ZÆØÅ]\z"))
     rows = wanted.select(key).distinct().join(t, F.upper(key) == F.col("_k"), "left")
     verdict = F.when(F.col("items").isNull(), F.when(lettered, "missing_lettered").otherwise("missing")).when(F.col("_t"), "found").otherwise("only_inserted")
-    return rows.select(key, verdict.alias("verdict"), F.coalesce("items", F.lit(0)).alias("items"))
+    return rows.select(key, verdict.alias("verdict"), F.coalesce("items", F.lit(0)).alias("items"), *also)

@@ -214,9 +214,8 @@ def survey(index: Index, wanted: DataFrame, changed_by: DataFrame, unincorporate
     (``changed_by``: document_path) and aren't in the index, and those of them without an excuse.
     """
     held = index.postings()
-    covered = matching.coverage(wanted, held.select("section", "as_target"), "section")
-    first = held.groupBy("section").agg(F.min(F.struct("eli", "ord", "amendment_path")).alias("_f")).withColumnRenamed("section", "_s")
-    rows = covered.join(first, F.upper("section") == F.col("_s"), "left").select("section", "verdict", "items", F.concat_ws(" ", "_f.eli", "_f.amendment_path").alias("first_item"))
+    covered = matching.coverage(wanted, held, "section", _f=F.min(F.struct("eli", "ord", "amendment_path")))  # postings are read once
+    rows = covered.select("section", "verdict", "items", F.concat_ws(" ", "_f.eli", "_f.amendment_path").alias("first_item"))
     lost = leaks(changed_by, index.documents().select(F.col("eli").alias("document_path")), unincorporated, newest_year)
     of = lambda *kinds: F.count_if(F.col("verdict").isin(*kinds))
     counted = rows.agg(

@@ -90,3 +90,16 @@ def test_a_note_is_flattened_once(spark):
     assert told.count("(?U)\\s+") == 1
     notes = catalog.confirmed_notes(spark, "/root/testdata/sf0.001")
     assert plan(notes).count("(?U)\\s+") == 1
+
+
+def test_a_survey_reads_the_index_once(spark, tmp_path):
+    index = history.section_index(spark, f"file://{tmp_path}/index")
+    docs = spark.createDataFrame([("a", LAW.encode()), ("d", LAW.encode())], "eli string, body binary")
+    history.index_acts(index, docs, "loven", buckets=2)
+    wanted = spark.createDataFrame([("3",), ("9c",), ("5B",), ("6",)], "section string")
+    acts = spark.createDataFrame([("a",)], "document_path string")
+    rows, totals = history.survey(index, wanted, acts, acts.limit(0), 2000)
+    assert plan(rows).count("FileScan") == 1
+    got = {r.section: (r.verdict, r["items"], r.first_item) for r in rows.collect()}
+    assert got == {"3": ("found", 2, "a § 2, nr. 1"), "9c": ("only_inserted", 2, "a § 2, nr. 2"), "5B": ("missing_lettered", 0, ""), "6": ("missing", 0, "")}
+    assert totals.first()["items"] == 4
