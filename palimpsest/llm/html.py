@@ -3,11 +3,17 @@
 Each page is read once, in linear time, by a tolerant tokenizer into blocks of text, in page order, without what is
 never main text by its markup: scripts, styles, menus, page headers, footers, sidebars, notices, adverts, forms,
 reader comments. An element that encloses an article or main is not dropped with it. Blocks inside an article (else
-main) element are the page's text and stay whole, repeated or not: quotations, licence lines and copied articles are
-text, and repetition says nothing against it. Where a page has neither, all its remaining blocks are candidates, and
-repetition on its host decides.
+main) element are the page's text; all others are its frame. Where a page has neither, all its remaining blocks are
+candidates, and repetition on its host decides.
 
-Candidate pages are gathered by host, copies of a page once, a busy host in several buckets of a bounded size. The
+Every page goes through suffix arrays. Those of pages with an article (``frame_runs``) are built over the token streams of
+their texts and of their frames: a run that is in the texts and in the frames of ``RUN_PAGES`` distinct pages of
+the host and of ``RUN_SHARE`` of them each is a notice, menu or footer that the template puts inside articles too, and blocks
+covered by such runs go. Repetition among texts alone says nothing against a block: quotations, licence lines and copied
+articles are text. Streams are dealt by ranges of host and page, so that a busy host lies in many tasks and
+buckets; runs found there are counted exactly over the whole host from the pages themselves.
+
+Pages without an article are gathered by host, copies of a page once, a busy host in several buckets of a bounded size. The
 token streams of a bucket are concatenated, and a suffix array over them, sorted as deep as the least length of a run,
 brings equal runs together. A run is boilerplate if it is on ``RUN_PAGES`` distinct pages of its host and on
 ``RUN_SHARE`` of them, whatever the number of buckets: one that is must be on that share of some bucket's pages (the
@@ -17,7 +23,7 @@ would lose ``PAGE_SHARE`` of its words is a near copy rather than a frame, and s
 
 Defined results: null html is empty and gives an empty text; malformed markup is read as far as it goes, a tag or
 quoted value that never ends takes the rest of the page, as in browsers; a null url is a host of its own; repeated
-rows are each extracted, and copies of a page count as one page; pages of any length are read whole; an empty table
+rows are each extracted, and copies of a page (equal html, without an article equal blocks) count as one page; pages of any length are read whole; an empty table
 gives an empty table; other columns, whatever their names, are ignored.
 """
 
@@ -39,6 +45,7 @@ RUN = 8  # tokens
 RUN_PAGES, RUN_SHARE = 3, 0.2  # distinct pages of a host, at least, and of all its distinct candidate pages
 BLOCK_SHARE, PAGE_SHARE = 0.8, 0.9
 BUCKET_CHARS, BUCKET_PAGES = 3 << 20, 200  # of a bucket, on average: characters of text, pages
+BROADCAST_BYTES = 16 << 20
 
 #: Quotes count only after =, as in browsers; what was scanned is never given back, so that reading is linear.
 _ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+"
@@ -99,18 +106,26 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
 def blocks_of(html: str | None) -> list[str]:
     """The page's blocks of possible main text, white space collapsed, in page order; the first item
     says what they are: "article" or "page"."""
-    out: list[tuple[int, str]] = []  # 4 in an article, 3 in main, 2 and 1 the same in a menu and the like, 0 elsewhere
+    kind, blocks, _ = parts_of(html)
+    return [kind, *blocks]
+
+
+def parts_of(html: str | None) -> tuple[str, list[str], list[str]]:
+    """"article" or "page", its blocks of possible main text, and the blocks of its frame."""
+    out: list[tuple[int, str]] = []  # 4 in an article, 3 in main, 2 and 1 the same in a menu and the like, 0 elsewhere, -1 dropped
     stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped here or above, zone, in a menu and the like
     opened: dict[str, int] = {}  # of each tag, how often it is on the stack
     held: list[str] = []
+    away: list[str] = []
     dropped, zone, aside = False, 0, False
 
     def end_block() -> None:
-        if held:
-            words = unescape("".join(held)).split()
-            held.clear()
-            if words:
-                out.append((zone, " ".join(words)))
+        for texts, level in ((held, zone), (away, -1)):
+            if texts:
+                words = unescape("".join(texts)).split()
+                texts.clear()
+                if words:
+                    out.append((level, " ".join(words)))
 
     def leave(k: int) -> None:
         nonlocal dropped, zone, aside
@@ -122,8 +137,7 @@ def blocks_of(html: str | None) -> list[str]:
     for m in _TOKEN.finditer(html or ""):
         kind = m.lastgroup
         if kind == "text":
-            if not dropped:
-                held.append(m["text"])
+            (away if dropped else held).append(m["text"])
         elif kind == "attrs":
             tag = m["start"].lower()
             attrs = m["attrs"]
@@ -174,8 +188,8 @@ def blocks_of(html: str | None) -> list[str]:
     end_block()
     for level in (4, 3, 2, 1):
         if any(z >= level for z, _ in out):
-            return ["article", *(t for z, t in out if z >= level)]
-    return ["page", *(t for _, t in out)]
+            return "article", [t for z, t in out if z >= level], [t for z, t in out if z < level]
+    return "page", [t for z, t in out if z >= 0], [t for z, t in out if z < 0]
 
 
 def ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -264,6 +278,151 @@ class Streams:
         return texts
 
 
+def numbers_of(blocks: list[str], known: dict[str, int]) -> np.ndarray:
+    """The blocks' words as 32-bit hashes; ``known`` keeps them."""
+    words = " ".join(blocks).split(" ") if blocks else []
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.array([known[w] for w in words], dtype=np.uint32)
+
+
+def run_hashes(numbers: np.ndarray) -> np.ndarray:
+    """Of each run of ``RUN`` words."""
+    n = max(len(numbers) - RUN + 1, 0)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(RUN):
+        h = (h ^ numbers[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def runs_of_pages(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pages' streams, by hash, and on how many pages each is: equal ranks of the suffix array over all streams."""
+    long = [s for s in streams if len(s) >= RUN]
+    if not long:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    tokens = np.concatenate([np.append(s.astype(np.int64), -1 - k) for k, s in enumerate(long)])
+    page = np.repeat(np.arange(len(long)), [len(s) + 1 for s in long])
+    within = np.concatenate([np.arange(len(s), -1, -1) for s in long]) >= RUN  # what runs over a page's end is no run
+    rank, page = ranks(tokens, RUN)[within], page[within]
+    hashes = np.concatenate([run_hashes(s) for s in long])
+    order = np.lexsort((page, rank))
+    r, p = rank[order], page[order]
+    first = np.append(True, r[1:] != r[:-1])
+    fresh = first | np.append(True, p[1:] != p[:-1])
+    return hashes[order[first]], np.add.reduceat(fresh.astype(np.int64), np.nonzero(first)[0])
+
+
+OWN, FRAME, SIZE, BOTH, LOOSE = range(5)  # what a row of ``frame_candidates`` tells of its host
+
+
+def frame_candidates(named: DataFrame, bucket_chars: int, bucket_pages: int) -> DataFrame:
+    """host, run, what, pages: for each bucket of a host's distinct pages with an article its number of pages (SIZE), runs on
+    ``RUN_SHARE`` of its texts (OWN) and of its frames (FRAME); for a host that is one bucket only the runs it wants (BOTH). What is on
+    that share of a host is so on that of some bucket. LOOSE: there are pages without an article."""
+
+    def read(batches):
+        for batch in batches:
+            known: dict[str, int] = {}
+            rows = []
+            for html in batch.column(2):
+                kind, *parts = parts_of(html.as_py())
+                rows.append([numbers_of(p, known).tobytes() for p in parts] if kind == "article" else (None, None))
+            made = [pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["host", "page", "own", "frame"])
+
+    def told(host, whole, pages):
+        (own, frame), n = zip(*pages, strict=True), len(pages)
+        least = max(RUN_PAGES if whole else 1, int(np.ceil(n * RUN_SHARE)))
+        rows = [(np.zeros(1, dtype=np.int64), np.full(1, n), SIZE)]
+        often = []
+        for what, streams in ((OWN, own), (FRAME, frame)):
+            runs, count = runs_of_pages(list(streams))
+            often.append(runs[count >= least])
+            rows.append((often[-1], count[count >= least], what))
+        if whole:
+            both = np.intersect1d(*often)
+            rows = [rows[0], (both, np.zeros(len(both), dtype=np.int64), BOTH)]
+        for runs, count, what in rows:
+            k = len(runs)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * k, pa.string()), pa.array(runs, pa.int64()), pa.array([what] * k, pa.int32()), pa.array(count, pa.int64())], names=["host", "run", "what", "pages"])
+
+    def frequent(batches):
+        held, words, at, last, begun, loose = [], 0, None, None, False, False  # begun: the host's first page is here
+        for batch in batches:
+            for host, page, own, frame in zip(*(batch.column(k) for k in range(4)), strict=True):
+                host, page, own = host.as_py(), page.as_py(), own.as_py()
+                if own is None:
+                    loose = True
+                    continue
+                if (host, page) == (at, last):
+                    continue
+                if held and (host != at or len(held) >= bucket_pages or words >= bucket_chars // 6):
+                    yield from told(at, begun and host != at, held)
+                    held, words = [], 0
+                    begun = host != at
+                held.append((np.frombuffer(own, np.uint32), np.frombuffer(frame.as_py(), np.uint32)))
+                words += len(own) // 4
+                at, last = host, page
+        if held:
+            yield from told(at, False, held)
+        if loose:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([LOOSE], pa.int32()), pa.array([1], pa.int64())], names=["host", "run", "what", "pages"])
+
+    streams = named.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(read, "host string, page bigint, own binary, frame binary")
+    dealt = streams.repartitionByRange("host", "page").sortWithinPartitions("host", "page")
+    return spool(dealt.mapInArrow(frequent, "host string, run bigint, what int, pages bigint"), "frame-candidates")
+
+
+def by_host(runs: DataFrame) -> DataFrame:
+    """host, runs: sorted; to be broadcast if that is small. ``runs``: written (host, run)."""
+    size = runs.agg(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 16)).first()[0] or 0
+    lists = runs.groupBy("host").agg(F.sort_array(F.collect_set("run")).alias("runs"))  # at most five pages' worth
+    return F.broadcast(lists) if size <= BROADCAST_BYTES else lists
+
+
+def frame_runs(named: DataFrame, found: DataFrame) -> DataFrame:
+    """host, run: those in the texts and in the frames of enough of the host's distinct pages. ``found``: ``frame_candidates``."""
+    of = lambda what: found.where(F.col("what") == what).select("host", "run")
+    wanted = spool(of(OWN).distinct().join(of(FRAME).distinct(), ["host", "run"], "left_semi"), "wanted-runs")
+    if wanted.isEmpty():
+        return spool(of(BOTH), "frame-runs")
+
+    def hits(batches):
+        for batch in batches:
+            known: dict[str, int] = {}
+            rows = []
+            for html, runs in zip(batch.column(2), batch.column(3), strict=True):
+                kind, *parts = parts_of(html.as_py())
+                wanted = runs.values.to_numpy()
+                rows.append([np.intersect1d(run_hashes(numbers_of(p, known)), wanted) for p in parts] if kind == "article" else [[], []])
+            made = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["host", "page", "own", "frame"])
+
+    met = named.select("host", F.xxhash64("html").alias("page"), "html").join(by_host(wanted), "host").mapInArrow(hits, "host string, page bigint, own array<bigint>, frame array<bigint>")
+    met = met.where(F.size("own") + F.size("frame") > 0).dropDuplicates(["host", "page"])
+    tagged = lambda c: F.transform(c, lambda x: F.struct(x.alias("run"), F.lit(c == "own").cast("int").alias("own")))
+    counts = met.select("host", F.explode(F.concat(tagged("own"), tagged("frame"))).alias("x")).groupBy("host", "x.run")
+    counts = counts.agg(F.sum("x.own").alias("own"), F.sum(1 - F.col("x.own")).alias("frame"))
+    least = found.where(F.col("what") == SIZE).groupBy("host").agg(F.greatest(F.lit(RUN_PAGES), F.ceil(F.sum("pages") * F.lit(RUN_SHARE))).alias("least"))
+    common = counts.join(least, "host").where("own >= least and frame >= least").select("host", "run")
+    return spool(common.unionByName(of(BOTH)).distinct(), "frame-runs")
+
+
+def without_frame(blocks: list[str], common: np.ndarray) -> list[str]:
+    """The blocks that runs of the frame don't cover; all, if next to nothing were left."""
+    size = np.array([b.count(" ") + 1 for b in blocks], dtype=np.int64)
+    edge = np.zeros(size.sum() + 1, dtype=np.int64)
+    hits = np.nonzero(np.isin(run_hashes(numbers_of(blocks, {})), common))[0]
+    if not len(hits):
+        return blocks
+    np.add.at(edge, hits, 1)
+    np.add.at(edge, hits + RUN, -1)
+    gone = np.add.reduceat((np.cumsum(edge[:-1]) > 0).astype(np.int64), np.cumsum(size) - size)
+    stays = gone < BLOCK_SHARE * size
+    return blocks if size[~stays].sum() >= PAGE_SHARE * size.sum() else [b for b, k in zip(blocks, stays, strict=True) if k]
+
+
 def clean_hosts(loose: DataFrame, bucket_chars: int, bucket_pages: int) -> DataFrame:
     """host, page, text: the cleaned text of each distinct page (host, page, blocks) of ``loose``."""
     chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + F.length(b) + 1)
@@ -306,24 +465,31 @@ def clean_hosts(loose: DataFrame, bucket_chars: int, bucket_pages: int) -> DataF
 def extract(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bucket_chars: int = BUCKET_CHARS, bucket_pages: int = BUCKET_PAGES
 ) -> DataFrame:
-    """id, url, text for each row of ``pages``. What was read is written once; only pages without an article are shuffled."""
+    """id, url, text for each row of ``pages``. Pages with an article are read twice, only their streams are shuffled; what was
+    read of others is written once."""
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 
     def parse(batches):
         for batch in batches:
-            found = [blocks_of(h.as_py()) for h in batch.column(3)]
-            whole = pa.array([kind == "article" for kind, *_ in found], pa.bool_())
-            texts = pa.array(["\n".join(blocks) if kind == "article" else None for kind, *blocks in found], pa.string())
-            loose = pa.array([None if kind == "article" else blocks for kind, *blocks in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), whole, texts, loose], names=["id", "url", "host", "whole", "text", "blocks"])
+            found = [parts_of(h.as_py())[:2] for h in batch.column(3)]
+            whole = pa.array([kind == "article" for kind, _ in found], pa.bool_())
+            texts = []
+            for (kind, blocks), runs in zip(found, batch.column(4), strict=True):
+                cut = kind == "article" and blocks and runs.is_valid
+                texts.append("\n".join(without_frame(blocks, runs.values.to_numpy()) if cut else blocks) if kind == "article" else None)
+            loose = pa.array([None if kind == "article" else blocks for kind, blocks in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), whole, pa.array(texts, pa.string()), loose], names=["id", "url", "host", "whole", "text", "blocks"])
 
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    parsed = named.mapInArrow(parse, f"id {kinds[id_col]}, url {kinds[url_col]}, host string, whole boolean, text string, blocks array<string>")
-    parsed = spool(parsed, "pages")
+    found = frame_candidates(named, bucket_chars, bucket_pages)
+    common = frame_runs(named, found)
+    none = F.lit(None).cast("array<bigint>").alias("runs")
+    led = named.select("*", none) if common.isEmpty() else named.join(by_host(common), "host", "left").select(*named.columns, "runs")
+    parsed = led.mapInArrow(parse, f"id {kinds[id_col]}, url {kinds[url_col]}, host string, whole boolean, text string, blocks array<string>")
     out = lambda rows: rows.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
-    whole, loose = parsed.where("whole"), parsed.where("not whole")
-    if loose.isEmpty():
+    whole = parsed.where("whole")
+    if found.where(F.col("what") == LOOSE).isEmpty():
         return out(whole)
-    loose = loose.select("id", "url", "host", F.xxhash64("blocks").alias("page"), "blocks")
+    loose = spool(parsed.where("not whole").select("id", "url", "host", F.xxhash64("blocks").alias("page"), "blocks"), "pages")
     cleaned = spool(clean_hosts(loose, bucket_chars, bucket_pages), "clean-pages")
     return out(whole).unionByName(out(loose.drop("blocks").join(cleaned, ["host", "page"])))

@@ -152,3 +152,28 @@ def test_no_article_vanishes_by_what_encloses_it():
     assert html.blocks_of(f"{article}<aside><article>Teaser</article></aside>") == ["article", "Whole text"]
     assert html.blocks_of("<main><p>m</p><aside><article>Teaser</article></aside></main>") == ["article", "m"]
     assert html.blocks_of('<div class="no-sidebar"><p>x</p></div><div class="sidebar">y</div>') == ["page", "x"]
+
+
+def test_frame_inside_articles_goes_and_repeated_text_stays(spark):
+    """Pages with an article go through the suffix arrays: what a host's frames repeat is cut where its articles hold it too."""
+    rng = random.Random(11)
+    words = lambda s, n: " ".join(f"{s}{rng.randrange(10**6)}" for _ in range(n))
+    rows, want = [], []
+    for h in range(3):
+        notice, licence = words(f"n{h}", 20), words(f"l{h}", 20)
+        titles = [words("title", 9) for _ in range(40)]
+        for k in range(40):
+            body = [titles[k], words("t", 40), f"{words('t', 60)} {notice}", licence]
+            inside = [*body[:2], notice, *body[2:]] if k % 2 else body
+            html_ = f"<nav>{titles[0]}</nav><article>" + "".join(f"<p>{b}</p>" for b in inside) + f"</article><footer>{notice if k % 3 else licence[:30]}</footer>"
+            rows.append((f"http://h{h}/x{k}", html_))
+            want.append("\n".join(body))
+        for k in range(2):  # a frame inside too few articles is text
+            rows.append((f"http://few{h}/x{k}", f"<article><p>{notice}</p><p>{words('t', 40)}</p></article><footer>{notice}</footer>"))
+            want.append(html.blocks_of(rows[-1][1])[1] + "\n" + html.blocks_of(rows[-1][1])[2])
+    rows += [rows[1]] * 30
+    want += [want[1]] * 30
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    for bucket in (200, 7):
+        got = {r.page_id: r.text for r in html.extract(df, bucket_pages=bucket).collect()}
+        assert got == dict(enumerate(want)), bucket
