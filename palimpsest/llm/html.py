@@ -30,6 +30,7 @@ gives an empty table; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -278,12 +279,30 @@ class Streams:
         return texts
 
 
-def numbers_of(blocks: list[str], known: dict[str, int]) -> np.ndarray:
-    """The blocks' words as 32-bit hashes; ``known`` keeps them."""
-    words = " ".join(blocks).split(" ") if blocks else []
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.array([known[w] for w in words], dtype=np.uint32)
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of an odd number and of its inverse modulo 2^64."""
+    base = 0x9E3779B97F4A7C15
+    made = (np.full(size, x, dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    return tuple(np.cumprod(x, dtype=np.uint64) for x in made)
+
+
+_BYTES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
+
+
+def numbers_of(blocks: list[str]) -> np.ndarray:
+    """The blocks' words as 32-bit hashes: polynomials of their bytes, from differences of running sums."""
+    if not blocks:
+        return np.empty(0, dtype=np.uint32)
+    data = np.frombuffer(" ".join(blocks).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    power, back = _powers(1 << max(len(data).bit_length(), 16))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+    ends = np.append(np.nonzero(data == 32)[0], len(data))
+    starts = np.append(0, ends[:-1] + 1)
+    h = (sums[ends] - sums[starts]) * back[starts]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def run_hashes(numbers: np.ndarray) -> np.ndarray:
@@ -323,11 +342,10 @@ def frame_candidates(named: DataFrame, bucket_chars: int, bucket_pages: int) ->
 
     def read(batches):
         for batch in batches:
-            known: dict[str, int] = {}
             rows = []
             for html in batch.column(2):
                 kind, *parts = parts_of(html.as_py())
-                rows.append([numbers_of(p, known).tobytes() for p in parts] if kind == "article" else (None, None))
+                rows.append([numbers_of(p).tobytes() for p in parts] if kind == "article" else (None, None))
             made = [pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["host", "page", "own", "frame"])
 
@@ -390,12 +408,11 @@ def frame_runs(named: DataFrame, found: DataFrame) -> DataFrame:
 
     def hits(batches):
         for batch in batches:
-            known: dict[str, int] = {}
             rows = []
             for html, runs in zip(batch.column(2), batch.column(3), strict=True):
                 kind, *parts = parts_of(html.as_py())
                 wanted = runs.values.to_numpy()
-                rows.append([np.intersect1d(run_hashes(numbers_of(p, known)), wanted) for p in parts] if kind == "article" else [[], []])
+                rows.append([np.intersect1d(run_hashes(numbers_of(p)), wanted) for p in parts] if kind == "article" else [[], []])
             made = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["host", "page", "own", "frame"])
 
@@ -413,7 +430,7 @@ def without_frame(blocks: list[str], common: np.ndarray) -> list[str]:
     """The blocks that runs of the frame don't cover; all, if next to nothing were left."""
     size = np.array([b.count(" ") + 1 for b in blocks], dtype=np.int64)
     edge = np.zeros(size.sum() + 1, dtype=np.int64)
-    hits = np.nonzero(np.isin(run_hashes(numbers_of(blocks, {})), common))[0]
+    hits = np.nonzero(np.isin(run_hashes(numbers_of(blocks)), common))[0]
     if not len(hits):
         return blocks
     np.add.at(edge, hits, 1)
